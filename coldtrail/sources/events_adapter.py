@@ -20,6 +20,17 @@ ERROR_CODES = (
 )
 
 
+# Declared so that building a plan reads no file.
+STAR_SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def _unless(skip: Column, value: Column) -> Column:
     return F.when(~skip, value)
 
@@ -61,7 +72,7 @@ def error_frame(events: DataFrame) -> DataFrame:
 
 def fleet_from_events(spark: SparkSession, folder: str, since=None, until=None) -> FleetTables:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
     raw = table("events")
     # one second of slack on the raw column reaches the scan; rounding alone would hide it
