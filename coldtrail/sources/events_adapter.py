@@ -7,18 +7,11 @@ device ``user_id``. The session time zone must be UTC.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import cached_property
 
-from ..functions.timebucket import as_datetime, round_second
-from .tables import FleetTables
-
-# Error codes by event number modulo 20.
-ERROR_CODES = (
-    "640C", "4408", "440D", "5881", "5882", "5884", "5885", "5888", "5889", "5084",
-    "6181", "618B", "E0A1", "4406", "6402", "5404", "6782", "6784", "6301", "630D",
-)
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.timebucket import as_datetime
 
 # Declared so that building a plan reads no file.
 STAR_SCHEMAS = {
@@ -30,83 +23,116 @@ STAR_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
 }
 
+# Error codes by event number modulo 20.
+ERROR_CODES = (
+    "640C", "4408", "440D", "5881", "5882", "5884", "5885", "5888", "5889", "5084",
+    "6181", "618B", "E0A1", "4406", "6402", "5404", "6782", "6784", "6301", "630D",
+)
 
-def _unless(skip: Column, value: Column) -> Column:
-    return F.when(~skip, value)
-
-
-def sensor_frame(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    n, kind, value = F.col("event_id"), F.col("event_type"), F.col("value")
-    doubles = {
-        "EVLN": _unless(n % 11 == 0, value * 4), "EHZLN": k * 0.3 + 40,
-        "EWCP2": F.when(n % 5 == 0, 0.5).otherwise(value * 12), "EWCP": value * 2, "EWDCA": value,
-        "TVCTOPCTL": _unless(n % 6 == 0, value / 10), "TVCBOT": k / 10,
-        "TAMDAQ": _unless(n % 9 == 0, k * 0.5 - 2), "TICMCTL": _unless(n % 8 == 0, k * 0.1),
-        "TICBKCTL": _unless(n % 10 == 0, k * 0.2), "CTBH": _unless(n % 4 == 1, k * 1.5),
-        "EVDBAT": k / 100, "ECDBAT": k / 10, "TEVIN": value - 20, "TCPDISCTL": value + 20,
-    }
-    ints = {
-        "SCPX": F.when(kind == "click", 1).when(kind == "view", 0).when(kind == "purchase", 6)
-                 .when(kind == "signup", 2),
-        "SCPS": F.when(n % 7 == 0, 2000).otherwise(1000), "ICPS": k % 3,
-        "SLNX": _unless(n % 4 == 0, k % 2),
-        "SDXC": F.when((kind == "signup") & (n % 3 == 0), 1).otherwise(0),
-    }
-    return events.select(
-        F.col("user_id").alias("fridgeid"), F.col("second").alias("measureddtm"), n.alias("reading_id"),
-        *[c.cast("double").alias(name) for name, c in doubles.items()],
-        *[c.cast("int").alias(name) for name, c in ints.items()],
-    )
-
-
-def error_frame(events: DataFrame) -> DataFrame:
-    n = F.col("event_id")
-    code = F.element_at(F.array(*[F.lit(c) for c in ERROR_CODES]), (n % len(ERROR_CODES) + 1).cast("int"))
-    counted = F.concat((n % 3).cast("string"), F.lit("("), F.floor("value").cast("string"), F.lit(")"))
-    blank = (n % 20 == 5) & (n % 3 == 0)
-    return events.where(F.col("event_type") == "error").select(
-        F.col("user_id").alias("fridgeid"), code.alias("id"), F.concat(F.lit("error "), code).alias("description"),
-        F.when(blank, "").otherwise(counted).alias("message"), F.col("second").alias("measureddtm"))
-
-
-def fleet_from_events(spark: SparkSession, folder: str, since=None, until=None) -> FleetTables:
-    def table(name: str) -> DataFrame:
-        return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
-
-    raw = table("events")
-    # one second of slack on the raw column reaches the scan; rounding alone would hide it
-    if since is not None:
-        raw = raw.where(F.col("ts") >= F.lit(f"{as_datetime(since)}").cast("timestamp_ntz") - F.expr("interval 1 second"))
-    if until is not None:
-        raw = raw.where(F.col("ts") < F.lit(f"{as_datetime(until)}").cast("timestamp_ntz") + F.expr("interval 1 second"))
-    events = raw.withColumn("second", round_second(F.col("ts").cast("timestamp")))
-
-    users = table("events").select(F.col("user_id").alias("fridgeid")).distinct()
-    orders, nation, region, customer = table("orders"), table("nation"), table("region"), table("customer")
-    placed = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(
-        F.col("n_nationkey").cast("long").alias("place"), "n_name", "r_name")
-    ordered = F.col("o_orderdate").cast("timestamp")
-    history = (
-        orders.withColumn("fridgeid", F.col("o_custkey"))
-        .join(users, "fridgeid", "left_semi")
-        .withColumn("place", F.col("o_orderkey") % 25)
-        .join(placed, "place", "left")
-        .select(
-            "fridgeid", ordered.alias("createddtm"), F.col("o_orderkey").alias("location_id"),
-            F.col("n_name").alias("country"), F.col("r_name").alias("L1"), F.col("o_orderpriority").alias("L3"),
-            F.to_date("o_orderdate").alias("commDte"),
-            F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("report"))
-    )
-    device = customer.select(F.col("c_custkey").alias("fridgeid"), F.col("c_name").alias("FridgeShortSN"))
-    groups = F.array_compact(F.array(
-        F.when(F.col("fridgeid") % 3 == 0, "solar"), F.when(F.col("fridgeid") % 17 == 0, "freezer")))
-    return FleetTables(
-        sensor=sensor_frame(events),
-        errors=error_frame(events),
-        bad_time_errors=events.where(F.col("event_type") == "signup").select(
-            F.col("user_id").alias("fridgeid"), F.col("second").alias("createddtm")),
-        location_history=history,
-        device=device.join(users, "fridgeid", "left_semi"),
-        device_group=users.select("fridgeid", F.explode(groups).alias("GroupName")),
-    )
+_K = "cast(get_json_object(props, '$.k') as int)"
+# Sensor columns as expressions over one event.
+DOUBLES = {
+    "EVLN": "if(event_id % 11 = 0, null, value * 4)",
+    "EHZLN": f"{_K} * 0.3d + 40",
+    "EWCP2": "if(event_id % 5 = 0, 0.5d, value * 12)",
+    "EWCP": "value * 2",
+    "EWDCA": "value",
+    "TVCTOPCTL": "if(event_id % 6 = 0, null, value / 10)",
+    "TVCBOT": f"{_K} / 10d",
+    "TAMDAQ": f"if(event_id % 9 = 0, null, {_K} * 0.5d - 2)",
+    "TICMCTL": f"if(event_id % 8 = 0, null, {_K} * 0.1d)",
+    "TICBKCTL": f"if(event_id % 10 = 0, null, {_K} * 0.2d)",
+    "CTBH": f"if(event_id % 4 = 1, null, {_K} * 1.5d)",
+    "EVDBAT": f"{_K} / 100d",
+    "ECDBAT": f"{_K} / 10d",
+    "TEVIN": "value - 20",
+    "TCPDISCTL": "value + 20",
+}
+INTS = {
+    "SCPX": "case event_type when 'click' then 1 when 'view' then 0 when 'purchase' then 6 when 'signup' then 2 end",
+    "SCPS": "if(event_id % 7 = 0, 2000, 1000)",
+    "ICPS": f"{_K} % 3",
+    "SLNX": f"if(event_id % 4 = 0, null, {_K} % 2)",
+    "SDXC": "if(event_type = 'signup' and event_id % 3 = 0, 1, 0)",
+}
+_SECOND = "date_trunc('second', cast(ts as timestamp) + interval 500 milliseconds)"
+
+
+class EventFleet:
+    """The relations of :class:`~coldtrail.sources.tables.FleetTables`, planned on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str, since=None, until=None):
+        self._spark, self._folder = spark, folder
+        self._since, self._until = since, until
+
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
+
+    @cached_property
+    def _events(self) -> DataFrame:
+        rows = self._table("events")
+        # one second of slack on the raw column reaches the scan; the rounded column alone would hide it
+        if self._since is not None:
+            rows = rows.where(f"ts >= timestamp_ntz '{as_datetime(self._since)}' - interval 1 second")
+        if self._until is not None:
+            rows = rows.where(f"ts < timestamp_ntz '{as_datetime(self._until)}' + interval 1 second")
+        return rows
+
+    @cached_property
+    def _users(self) -> DataFrame:
+        return self._table("events").selectExpr("user_id as fridgeid").distinct()
+
+    @cached_property
+    def sensor(self) -> DataFrame:
+        return self._events.selectExpr(
+            "user_id as fridgeid", f"{_SECOND} as measureddtm", "event_id as reading_id",
+            *[f"cast({e} as double) as {name}" for name, e in DOUBLES.items()],
+            *[f"cast({e} as int) as {name}" for name, e in INTS.items()])
+
+    @property
+    def solar_sensor(self) -> DataFrame:
+        return self.sensor
+
+    @property
+    def pv(self) -> DataFrame:
+        return self.sensor
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        codes = ", ".join(f"'{code}'" for code in ERROR_CODES)
+        return self._events.where("event_type = 'error'").selectExpr(
+            "user_id as fridgeid", f"array({codes})[cast(event_id % 20 as int)] as id",
+            f"concat('error ', array({codes})[cast(event_id % 20 as int)]) as description",
+            "if(event_id % 20 = 5 and event_id % 3 = 0, '', concat(event_id % 3, '(', cast(floor(value) as int), ')')) as message",
+            f"{_SECOND} as measureddtm")
+
+    @cached_property
+    def bad_time_errors(self) -> DataFrame:
+        return self._events.where("event_type = 'signup'").selectExpr("user_id as fridgeid", f"{_SECOND} as createddtm")
+
+    @cached_property
+    def location_history(self) -> DataFrame:
+        nation, region = self._table("nation"), self._table("region")
+        places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").selectExpr(
+            "cast(n_nationkey as long) as place", "n_name as country", "r_name as L1")
+        placed = self._table("orders").selectExpr(
+            "o_custkey as fridgeid", "cast(o_orderdate as timestamp) as createddtm", "o_orderkey as location_id",
+            "o_orderkey % 25 as place", "o_orderpriority as L3", "cast(o_orderdate as date) as commDte",
+            "if(o_orderstatus = 'F', 1, 0) as report")
+        rows = placed.join(self._users, "fridgeid", "left_semi").join(places, "place", "left")
+        return rows.select("fridgeid", "createddtm", "location_id", "country", "L1", "L3", "commDte", "report")
+
+    @cached_property
+    def device(self) -> DataFrame:
+        names = self._table("customer").selectExpr("c_custkey as fridgeid", "c_name as FridgeShortSN")
+        return names.join(self._users, "fridgeid", "left_semi")
+
+    @cached_property
+    def device_group(self) -> DataFrame:
+        return self._users.selectExpr(
+            "fridgeid", "explode(array_compact(array(if(fridgeid % 3 = 0, 'solar', null), "
+                        "if(fridgeid % 17 = 0, 'freezer', null)))) as GroupName")
+
+
+def fleet_from_events(spark: SparkSession, folder: str, since=None, until=None) -> EventFleet:
+    return EventFleet(spark, folder, since, until)

@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from coldtrail.operators import eng, tech
-from coldtrail.operators.findings import render
+from coldtrail.operators.findings import TECH_COLUMNS, render
 from coldtrail.operators.runs import last_compressor_run
+from coldtrail.plans.eng_report import eng_report
+from coldtrail.plans.fleet import eng_location, fleet, history_fleet, latest_location
+from coldtrail.plans.tech_report import tech_findings, tech_report
 from coldtrail.sources.events_adapter import fleet_from_events
 from coldtrail.sources.tables import FleetTables
 
 from . import eng as eng_sql
+from . import report as report_sql
 from . import tech as tech_sql
-from .settings import END, LIMITS, START, WEEK_END, WEEK_START
+from .settings import COUNTRY, END, EXCLUDED, LAST_DAY, LIMITS, RUN_TIME, START, WEEK_END, WEEK_START
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -100,3 +106,40 @@ _tech("mech_trip_times", lambda t: tech.mech_trip_times(t, START, END, LIMITS),
 _tech("last_compressor_run", lambda t: last_compressor_run(t.sensor, START, END, LIMITS), "select * from last_run", tech_sql.last_run())
 _tech("data_rx_value", lambda t: tech.data_rx(t, t.device, START, END, LIMITS).selectExpr("fridgeid", "cast(dataRx as double) as dataRx"),
       f"select fridgeid, round(pct, 1) as dataRx from {tech_sql.data_rx(START, END)}")
+
+
+# --- fleets and reports ----------------------------------------------------------------------
+
+
+def doubles(rows: DataFrame) -> DataFrame:
+    """Decimals as doubles, the type the SQL side yields."""
+    return rows.select(*[
+        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name) for f in rows.schema])
+
+
+_TECH_ARGS = {"limits": LIMITS, "excluded": EXCLUDED}
+
+register("latest_location", lambda t: latest_location(t.location_history),
+         report_sql.statement(f"select fridgeid, createddtm, country, L1, L3, commDte, report from {report_sql.LATEST}"))
+register("eng_location", lambda t: eng_location(t, EXCLUDED),
+         report_sql.statement(f"select fridgeid, createddtm, country, L1, L3, commDte, report from {report_sql.ENG_PLACE}"))
+register("fleet_all", lambda t: fleet(t, "All", EXCLUDED), report_sql.statement(f"select * from {report_sql.fleet()}"))
+register("fleet_country", lambda t: fleet(t, f" {COUNTRY.lower()} ", EXCLUDED),
+         report_sql.statement(f"select * from {report_sql.fleet(COUNTRY)}"))
+register("fleet_history", lambda t: history_fleet(t, EXCLUDED), report_sql.statement(f"select * from {report_sql.history_fleet()}"))
+
+register("eng_report", lambda t: eng_report(t, START, END, run_time=RUN_TIME, **_TECH_ARGS),
+         report_sql.statement(f"select * from {report_sql.eng_report(START, END, RUN_TIME)}"))
+register("eng_report_events", lambda t: eng_report(t, START, END, COUNTRY, "All", run_time=RUN_TIME, **_TECH_ARGS),
+         report_sql.statement(f"select * from {report_sql.eng_report(START, END, RUN_TIME, COUNTRY, 'All')}"))
+for _rules in ("v4", "v5", "v6"):
+    register(f"tech_report_{_rules}", lambda t, r=_rules: doubles(tech_report(t, START, END, rules=r, **_TECH_ARGS)),
+             report_sql.statement(f"select * from {report_sql.tech_report(START, END, _rules)}"))
+register("tech_report_one_day", lambda t: doubles(tech_report(t, LAST_DAY, END, **_TECH_ARGS)),
+         report_sql.statement(f"select * from {report_sql.tech_report(LAST_DAY, END)}"))
+register("tech_report_country", lambda t: doubles(tech_report(t, START, END, COUNTRY, **_TECH_ARGS)),
+         report_sql.statement(f"select * from {report_sql.tech_report(START, END, country=COUNTRY)}"))
+for _intended in (False, True):
+    register(f"suppressed_findings_{'intended' if _intended else 'literal'}",
+             lambda t, i=_intended: tech_findings(t, fleet(t, "All", EXCLUDED), START, END, "v6", LIMITS, i).select(*TECH_COLUMNS),
+             report_sql.kept_findings(START, END, "v6", _intended))
