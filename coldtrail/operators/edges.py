@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..limits import Limits
 from ..sources.tables import keyed_readings
-from .timeline import chunk_length, frame, spread, with_neighbours
+from .timeline import chunk_length, framed, spread, with_neighbours
 
 
 @dataclass(frozen=True)
@@ -63,43 +62,32 @@ def edge_power(sensor: DataFrame, start, end, frames: list[EdgeFrame]) -> DataFr
     rows = keyed_readings(sensor, start, end, "SCPX", "EWCP2", "TAMDAQ", back_s=back, fwd_s=fwd)
     rows = spread(rows, chunk_length(max(back, fwd)), back_s=back, fwd_s=fwd)
 
-    running, after_off = F.col("SCPX") == 1, F.col("SCPX") != 1
-    changes = {
-        ("stop", "before"): running & (F.col("next_state") != 1),
-        ("start", "before"): after_off & (F.col("next_state") == 1),
-        ("stop", "after"): (F.col("prev_state") == 1) & after_off,
-        ("start", "after"): (F.col("prev_state") != 1) & running,
-    }
     offset = {"before": ("next_state", 1), "after": ("prev_state", -1)}
     neighbours = {offset[f.anchor][0]: ("SCPX", offset[f.anchor][1]) for f in frames}
-    sampled = running & (F.col("EWCP2") != 0)
-    framed = {}
+    sampled = "SCPX = 1 and EWCP2 != 0"
+    columns = {}
     for f in frames:
-        over = frame(f.lo_s, f.hi_s)
-        framed[f"{f.name}_samples"] = F.count_if(sampled).over(over)
-        framed[f"{f.name}_w"] = F.avg(F.when(sampled, F.col("EWCP2"))).over(over)
-        framed[f"{f.name}_ambient"] = F.avg(F.when(sampled, F.col("TAMDAQ"))).over(over)
-
-    def keep():
-        return reduce(lambda a, b: a | b, [changes[f.change, f.anchor] for f in frames])
-
-    edges = with_neighbours(rows, neighbours, keep, framed)
-    long = edges.select("fridgeid", F.inline(F.array(*[
-        F.struct(
-            F.lit(f.name).alias("name"),
-            F.coalesce(changes[f.change, f.anchor], F.lit(False)).alias("is_edge"),
-            (F.col("epoch") + f.shift_s).alias("at"),
-            F.col(f"{f.name}_samples").alias("samples"),
-            F.col(f"{f.name}_w").alias("avg_w"),
-            F.col(f"{f.name}_ambient").alias("avg_ambient"))
-        for f in frames])))
+        columns[f"{f.name}_samples"] = framed(f"count_if({sampled})", f.lo_s, f.hi_s)
+        columns[f"{f.name}_w"] = framed(f"avg(if({sampled}, EWCP2, null))", f.lo_s, f.hi_s)
+        columns[f"{f.name}_ambient"] = framed(f"avg(if({sampled}, TAMDAQ, null))", f.lo_s, f.hi_s)
+    is_edge = {f.name: _CHANGES[f.change, f.anchor] for f in frames}
+    edges = with_neighbours(rows, neighbours, " or ".join(f"({c})" for c in is_edge.values()), columns)
+    listed = ", ".join(
+        f"struct('{f.name}' as name, coalesce({is_edge[f.name]}, false) as is_edge, epoch + {f.shift_s} as at, "
+        f"{f.name}_samples as samples, {f.name}_w as avg_w, {f.name}_ambient as avg_ambient)" for f in frames)
     return (
-        long.where(F.col("is_edge") & (F.col("samples") > 0))
+        edges.selectExpr("fridgeid", f"inline(array({listed}))")
+        .where("is_edge and samples > 0")
         .groupBy("fridgeid", "name", "at")
-        .agg(
-            (F.max("samples") * F.count(F.lit(1))).alias("samples"),
-            F.max("avg_w").alias("avg_w"),
-            F.max("avg_ambient").alias("avg_ambient"))
-        .withColumn("EventTime", F.timestamp_seconds("at"))
-        .drop("at")
+        .agg(F.expr("max(samples) * count(1) as samples"), F.expr("max(avg_w) as avg_w"), F.expr("max(avg_ambient) as avg_ambient"))
+        .selectExpr("fridgeid", "name", "timestamp_seconds(at) as EventTime", "samples", "avg_w", "avg_ambient")
     )
+
+
+# state change as a condition on a reading and its neighbour
+_CHANGES = {
+    ("stop", "before"): "SCPX = 1 and next_state != 1",
+    ("start", "before"): "SCPX != 1 and next_state = 1",
+    ("stop", "after"): "prev_state = 1 and SCPX != 1",
+    ("start", "after"): "prev_state != 1 and SCPX = 1",
+}

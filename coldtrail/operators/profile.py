@@ -3,7 +3,7 @@
 Counters are combined map-side over short slots, then hours, then days, then
 devices, so that distinct slots, hours and days are plain counts and no device is
 ever gathered in one task. Only the levels and counters a caller asks for are
-planned; the rest is pruned down to the scan.
+planned; the scan reads only the columns they need.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timebucket import in_window, slot_number
+from ..functions.timebucket import in_window
 from ..limits import Limits
 from ..sources.tables import FleetTables
 
@@ -23,12 +23,15 @@ LEVELS = (("slot", 600), ("hour", 3600), ("day", 86400))
 # Fixed value: 2016-01-01, keeps the order key of a reading within a long.
 ORDER_EPOCH = 1451606400
 ORDER_IDS = 1 << 32
+ORDER_KEY = f"((unix_seconds(measureddtm) - {ORDER_EPOCH}) * {ORDER_IDS} + pmod(reading_id, {ORDER_IDS}))"
 
 
 @dataclass(frozen=True)
 class Counter:
+    """An aggregate over readings, and the function that combines it over levels."""
+
     source: str
-    first: Column
+    sql: str
     merge: str = "sum"
 
 
@@ -37,67 +40,57 @@ class Derived:
     """Counts the groups of a level that satisfy a condition on another counter."""
 
     level: str
-    needs: str | None
-    condition: Column | None = None
-
+    needs: str | None = None
+    condition: str = "true"
 
-def _power_ok(volt_min: float, limits: Limits, pv: bool = False) -> Column:
-    ok = (F.col("SLNX") == 1) | (
-        F.col("SLNX").isNull() & (F.col("EVLN") > volt_min) & (F.col("EVLN") < limits.volt_max))
-    return (ok | (F.col("EWDCA") > limits.pv_ok_w)) if pv else ok
 
-
-def _order_key() -> Column:
-    return (F.unix_seconds("measureddtm") - ORDER_EPOCH) * ORDER_IDS + F.pmod(F.col("reading_id"), F.lit(ORDER_IDS))
+def _power_ok(volt_min: float, limits: Limits, pv: bool = False) -> str:
+    ok = f"SLNX = 1 or (SLNX is null and EVLN > {volt_min} and EVLN < {limits.volt_max})"
+    return f"{ok} or EWDCA > {limits.pv_ok_w}" if pv else ok
 
 
 def counters(limits: Limits) -> dict[str, Counter]:
-    volt_ok = (F.col("EVLN") > limits.volt_min) & (F.col("EVLN") < limits.volt_max)
-    hz_bad = (F.col("EHZLN") < limits.hz_min) | (F.col("EHZLN") > limits.hz_max)
-    leaking = (F.col("EWCP2") > limits.leak_min_w) & (F.col("SCPX") == 1)
-    present = {
-        f"{name.lower()}_n": Counter(SENSOR, F.count(name))
-        for name in ("SCPX", "EVLN", "TAMDAQ", "TVCTOPCTL", "TICMCTL", "TICBKCTL", "CTBH", "TVCBOT")}
+    volt_ok = f"EVLN > {limits.volt_min} and EVLN < {limits.volt_max}"
+    running = f"EWCP2 > {limits.leak_min_w} and SCPX = 1"
+    cold = f"TVCTOPCTL < {limits.low_temp_c}"
     counted = {
-        "volt_ok": (SENSOR, volt_ok), "hz_bad": (SENSOR, volt_ok & hz_bad),
+        "volt_ok": (SENSOR, volt_ok),
+        "hz_bad": (SENSOR, f"{volt_ok} and (EHZLN < {limits.hz_min} or EHZLN > {limits.hz_max})"),
         "mains_ok": (SENSOR, _power_ok(limits.legacy_volt_min, limits)),
-        "low_top": (SENSOR, F.col("TVCTOPCTL") < limits.low_temp_c),
-        "low_any": (SENSOR, (F.col("TVCTOPCTL") < limits.low_temp_c) | (F.col("TVCBOT") < limits.low_temp_c)),
-        "leak_low": (SENSOR, leaking & (F.col("EWCP2") < limits.leak_max_w)), "leak_all": (SENSOR, leaking),
-        "state_6": (SENSOR, F.col("SCPX") == 6), "state_2": (SENSOR, F.col("SCPX") == 2),
-        "slnx_on": (SOLAR, F.col("SLNX") == 1),
+        "low_top": (SENSOR, cold), "low_any": (SENSOR, f"{cold} or TVCBOT < {limits.low_temp_c}"),
+        "leak_low": (SENSOR, f"{running} and EWCP2 < {limits.leak_max_w}"), "leak_all": (SENSOR, running),
+        "state_6": (SENSOR, "SCPX = 6"), "state_2": (SENSOR, "SCPX = 2"), "slnx_on": (SOLAR, "SLNX = 1"),
         "solar_ok": (SOLAR, _power_ok(limits.legacy_volt_min, limits, pv=True)),
         "supply_ok": (SOLAR, _power_ok(limits.volt_min, limits, pv=True)),
-        "pv_on": (PV, F.col("EWDCA") > limits.zero_pv_w),
+        "pv_on": (PV, f"EWDCA > {limits.zero_pv_w}"),
     }
+    present = ("SCPX", "EVLN", "TAMDAQ", "TVCTOPCTL", "TICMCTL", "TICBKCTL", "CTBH", "TVCBOT")
     return {
-        "n": Counter(SENSOR, F.count(F.lit(1))),
-        **present,
-        **{name: Counter(source, F.count_if(condition)) for name, (source, condition) in counted.items()},
-        "top_sum": Counter(SENSOR, F.sum("TVCTOPCTL")), "bottom_sum": Counter(SENSOR, F.sum("TVCBOT")),
-        "ctbh_sum": Counter(SENSOR, F.sum("CTBH")),
-        "battery_max": Counter(SENSOR, F.max("EVDBAT"), "max"),
-        "pv_max": Counter(PV, F.max("EWDCA"), "max"),
-        "last_time": Counter(SENSOR, F.max("measureddtm"), "max"),
-        "last_key": Counter(SENSOR, F.max(_order_key()), "max"),
-        "ctbh_last": Counter(SENSOR, F.max_by("CTBH", _order_key()), "last"),
+        "n": Counter(SENSOR, "count(1)"),
+        **{f"{name.lower()}_n": Counter(SENSOR, f"count({name})") for name in present},
+        **{name: Counter(source, f"count_if({condition})") for name, (source, condition) in counted.items()},
+        "top_sum": Counter(SENSOR, "sum(TVCTOPCTL)"), "bottom_sum": Counter(SENSOR, "sum(TVCBOT)"),
+        "ctbh_sum": Counter(SENSOR, "sum(CTBH)"),
+        "battery_max": Counter(SENSOR, "max(EVDBAT)", "max"), "pv_max": Counter(PV, "max(EWDCA)", "max"),
+        "last_time": Counter(SENSOR, "max(measureddtm)", "max"),
+        # the newest reading counts even where its holdover is missing
+        "last_key": Counter(SENSOR, f"max({ORDER_KEY})", "max"),
+        "ctbh_last": Counter(SENSOR, f"max_by(CTBH, {ORDER_KEY})", "latest"),
     }
 
 
 def derived(limits: Limits) -> dict[str, Derived]:
     return {
-        "slots": Derived("slot", None),
-        "battery_hours": Derived("hour", "battery_max", F.col("battery_max") < limits.battery_volt),
-        "low_days": Derived("day", "low_top", F.col("low_top") > 0),
-        "low_any_days": Derived("day", "low_any", F.col("low_any") > 0),
-        "duplicate_days": Derived("day", "n", F.col("n") > limits.duplicate_per_day),
+        "slots": Derived("slot"),
+        "battery_hours": Derived("hour", "battery_max", f"battery_max < {limits.battery_volt}"),
+        "low_days": Derived("day", "low_top", "low_top > 0"),
+        "low_any_days": Derived("day", "low_any", "low_any > 0"),
+        "duplicate_days": Derived("day", "n", f"n > {limits.duplicate_per_day}"),
     }
 
 
-def _merged(name: str, how: str) -> Column:
-    if how == "last":
-        return F.max_by(name, "last_key").alias(name)
-    return (F.max(name) if how == "max" else F.sum(name)).alias(name)
+def _merged(name: str, how: str):
+    return F.expr(f"max_by({name}, last_key) as {name}" if how == "latest" else f"{how}({name}) as {name}")
 
 
 def _source_profile(frame: DataFrame, start, end, base: dict[str, Counter], over: dict[str, Derived]) -> DataFrame:
@@ -105,22 +98,20 @@ def _source_profile(frame: DataFrame, start, end, base: dict[str, Counter], over
     asked = {d.level for d in over.values()}
     levels = [level for level in LEVELS if level[0] in asked]
     merges = {name: c.merge for name, c in base.items()}
-    first = [c.first.alias(name) for name, c in base.items()]
+    first = [F.expr(f"{c.sql} as {name}") for name, c in base.items()]
     if not levels:
         return rows.groupBy("fridgeid").agg(*first)
-    finest = levels[0][1]
-    key = slot_number(F.col("measureddtm"), finest).alias("period")
-    grouped = rows.groupBy("fridgeid", key).agg(*first) if first else rows.select("fridgeid", key).distinct()
+    period = F.expr(f"floor(unix_seconds(measureddtm) / {levels[0][1]}) as period")
+    grouped = rows.groupBy("fridgeid", period).agg(*first) if first else rows.select("fridgeid", period).distinct()
     for i, (level, seconds) in enumerate(levels):
-        for name, d in over.items():
-            if d.level == level:
-                hit = F.lit(1) if d.condition is None else F.when(d.condition, 1).otherwise(0)
-                grouped = grouped.withColumn(name, hit.cast("long"))
-                merges[name] = "sum"
+        hits = {name: d for name, d in over.items() if d.level == level}
         keys = ["fridgeid"]
         if i + 1 < len(levels):
-            keys.append(F.floor(F.col("period") * seconds / levels[i + 1][1]).alias("period"))
-        grouped = grouped.groupBy(*keys).agg(*[_merged(name, how) for name, how in merges.items()])
+            keys.append(F.expr(f"floor(period * {seconds} / {levels[i + 1][1]}) as period"))
+        grouped = grouped.groupBy(*keys).agg(
+            *[_merged(name, how) for name, how in merges.items()],
+            *[F.expr(f"count_if({d.condition}) as {name}") for name, d in hits.items()])
+        merges.update({name: "sum" for name in hits})
     return grouped
 
 
@@ -134,12 +125,12 @@ def device_profile(t: FleetTables, start, end, want: Iterable[str], limits: Limi
     if unknown:
         raise ValueError(f"unknown counters: {sorted(unknown)}")
     over = {name: d for name, d in over.items() if name in want}
-    base = {name: c for name, c in known.items() if name in want or name in {d.needs for d in over.values()}}
+    needed = want | {d.needs for d in over.values() if d.needs}
     frames: list[tuple[DataFrame, dict[str, Counter], dict[str, Derived]]] = []
     for source in (SENSOR, SOLAR, PV):
-        mine = {name: c for name, c in base.items() if c.source == source}
-        derived_here = over if source == SENSOR else {}
-        if not mine and not derived_here:
+        mine = {name: c for name, c in known.items() if c.source == source and name in needed}
+        levels = over if source == SENSOR else {}
+        if not mine and not levels:
             continue
         frame = getattr(t, source)
         # views over one physical table share a single scan
@@ -147,27 +138,24 @@ def device_profile(t: FleetTables, start, end, want: Iterable[str], limits: Limi
         if shared:
             shared[1].update(mine)
         else:
-            frames.append((frame, mine, dict(derived_here)))
-    parts = [_source_profile(frame, start, end, mine, levels) for frame, mine, levels in frames]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, "fridgeid", "full")
+            frames.append((frame, mine, levels))
+    joined = None
+    for frame, mine, levels in frames:
+        part = _source_profile(frame, start, end, mine, levels)
+        joined = part if joined is None else joined.join(part, "fridgeid", "full")
     return joined.select("fridgeid", *sorted(want))
 
 
-def fleet_profile(devices: DataFrame, t: FleetTables, start, end, want: Iterable[str],
-                  limits: Limits = Limits()) -> DataFrame:
-    """Profile of every listed device: counts are 0 and sums NULL where there are no rows.
-
-    Counters of a power condition are sums in the reports and stay NULL; they are
-    listed in :data:`NULL_WITHOUT_ROWS`.
-    """
-    want = set(want)
-    zero = [c for c in want if c not in NULL_WITHOUT_ROWS]
-    return devices.join(device_profile(t, start, end, want, limits), "fridgeid", "left").fillna(0, subset=zero)
-
-
+# Sums in the reports, NULL where a device has no rows; all other counters are then 0.
 NULL_WITHOUT_ROWS = {
     "mains_ok", "solar_ok", "supply_ok", "slnx_on", "pv_on", "tamdaq_n", "tvctopctl_n", "ticmctl_n", "ticbkctl_n",
     "ctbh_n", "top_sum", "bottom_sum", "ctbh_sum", "battery_max", "pv_max", "last_time", "last_key", "ctbh_last",
 }
+
+
+def fleet_profile(devices: DataFrame, t: FleetTables, start, end, want: Iterable[str],
+                  limits: Limits = Limits()) -> DataFrame:
+    """Profile of every listed device, also of those without any reading."""
+    want = set(want)
+    zero = sorted(c for c in want if c not in NULL_WITHOUT_ROWS)
+    return devices.join(device_profile(t, start, end, want, limits), "fridgeid", "left").fillna(0, subset=zero)

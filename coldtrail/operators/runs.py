@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timebucket import boundary_diff, epoch_of, ts_lit
+from ..functions.timebucket import epoch_of
 from ..limits import Limits
 from ..sources.tables import keyed_readings
 from .timeline import spread, with_neighbours
@@ -21,32 +21,29 @@ def last_compressor_run(sensor: DataFrame, start, end, limits: Limits = Limits()
     changes. A compressor still running at the last reading stops there.
     """
     rows = spread(keyed_readings(sensor, start, end, "EWCP2"), CHUNK_S)
+    level = limits.run_w
 
-    def power(here: str, following: str):
-        return F.coalesce(F.col(here), F.col(following), F.lit(0.0))
+    def on(*power: str) -> str:
+        return f"coalesce({', '.join(power)}, 0) > {level}"
 
-    on = power("EWCP2", "next1_w") > limits.run_w
-    starts = on & F.col("prev_at").isNotNull() & (power("prev_w", "EWCP2") <= limits.run_w)
-    stops = on & F.col("next_at").isNotNull() & (power("next1_w", "next2_w") <= limits.run_w)
-    cut_off = F.col("next_at").isNull() & (F.col("EWCP2") > limits.run_w) & (F.col("epoch") > epoch_of(start))
+    running = on("EWCP2", "next1_w")
+    begins = f"coalesce({running} and prev_at is not null and not {on('prev_w', 'EWCP2')}, false)"
+    stops = f"coalesce({running} and next_at is not null and not {on('next1_w', 'next2_w')}, false)"
+    change = f"({begins}) != ({stops})"
+    cut_off = f"next_at is null and EWCP2 > {level} and epoch > {epoch_of(start)}"
     edges = with_neighbours(
         rows,
         {"prev_at": ("epoch", -1), "prev_w": ("EWCP2", -1), "next_at": ("epoch", 1),
          "next1_w": ("EWCP2", 1), "next2_w": ("EWCP2", 2)},
-        lambda: (starts != stops) | cut_off)
-
-    def change(when, stop):
-        return F.when(when, F.struct(stop.alias("is_stop")))
-
-    # reading_id keeps a start and a synthetic stop of the same second in that order
-    changes = edges.select("fridgeid", "epoch", "reading_id", F.inline(F.array_compact(F.array(
-        change(starts != stops, stops), change(cut_off, F.lit(True)))))).select(
-        "fridgeid", "epoch", F.col("is_stop").cast("long").alias("reading_id"), "is_stop", F.lit(True).alias("inside"))
+        f"({change}) or ({cut_off})")
+    # a start and the stop at the last reading may share a second: starts come first
+    changes = edges.selectExpr(
+        "fridgeid", "epoch", f"explode(filter(array(if({change}, {stops}, null), if({cut_off}, true, null)), c -> c is not null)) as is_stop"
+    ).selectExpr("fridgeid", "epoch", "cast(is_stop as long) as reading_id", "true as inside")
     runs = with_neighbours(
-        spread(changes, CHUNK_S), {"since": ("epoch", -1)},
-        lambda: F.col("is_stop") & (F.col("epoch") - F.col("since") > limits.run_min_s))
-    last = runs.groupBy("fridgeid").agg(F.max(F.struct("epoch", (F.col("epoch") - F.col("since")).alias("sec"))).alias("run"))
-    stopped = F.timestamp_seconds("run.epoch")
-    return last.select(
-        "fridgeid", stopped.alias("lastDte"), F.col("run.sec").cast("int").alias("runDurSec"),
-        boundary_diff("minute", stopped, ts_lit(end)).cast("int").alias("runAgeMin"))
+        spread(changes, CHUNK_S), {"since": ("epoch", -1)}, f"reading_id = 1 and epoch - since > {limits.run_min_s}")
+    last = runs.groupBy("fridgeid").agg(F.expr("max(struct(epoch, epoch - since as sec)) as run"))
+    minute = epoch_of(end) // 60
+    return last.selectExpr(
+        "fridgeid", "timestamp_seconds(run.epoch) as lastDte", "cast(run.sec as int) as runDurSec",
+        f"cast({minute} - floor(run.epoch / 60) as int) as runAgeMin")

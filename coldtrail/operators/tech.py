@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (
-    before_space, has_parenthesis, inside_parentheses, ratio_pct, rounded_double, to_count)
+from ..functions.text import before_space, has_parenthesis, inside_parentheses, to_count
 from ..functions.timebucket import window_days, window_minutes
 from ..limits import Limits
 from ..sources.tables import FleetTables, error_rows
@@ -41,158 +40,127 @@ class Window:
 
 @dataclass(frozen=True)
 class Rule:
-    """A finding computed from the counters of one profile row."""
+    """A finding computed from the counters of one profile row; the parts are SQL."""
 
     priority: str | None
     message: str
     detail: str
     needs: tuple[str, ...]
-    value: Callable[[Limits, Window], Column]
-    holds: Callable[[Limits, Window], Column]
-    errors: Callable[[Limits, Window], Column] = lambda limits, w: F.lit(None)
+    value: str
+    holds: str
+    errors: str = "null"
     only: str | None = None
 
 
-def data_rx_pct(w: Window) -> Column:
+def fixed(sql: str, precision: int = 8, scale: int = 1) -> str:
+    """Rounded half away from zero, as a double."""
+    return f"cast(cast({sql} as decimal({precision},{scale})) as double)"
+
+
+def data_rx_pct(w: Window) -> str:
     """Share of ten-minute slots with data, unrounded."""
-    return F.col("slots").cast("double") / (w.minutes / 10.0) * 100.0
-
-
-def _expected_pct(counter: str, w: Window, limits: Limits) -> Column:
-    expected = w.minutes * limits.samples_per_day / 1440.0
-    return rounded_double(F.col(counter).cast("double") / expected * 100.0, 8, 1)
-
-
-def _share(counter: str, base: str, digits: bool = True) -> Column:
-    share = ratio_pct(F.col(counter), F.col(base))
-    return F.coalesce(rounded_double(share, 8, 1) if digits else share, F.lit(0.0))
-
-
-def _present(counter: str) -> Column:
-    return ratio_pct(F.coalesce(F.col(counter), F.lit(0)), F.col("n"))
-
-
-def _missing(counter: str) -> Callable[[Limits, Window], Column]:
-    return lambda limits, w: F.col("n") - F.col(counter)
-
-
-def _hz_ok() -> Column:
-    return F.when(F.col("volt_ok") == 0, 0.0).otherwise(100.0 - ratio_pct(F.col("hz_bad"), F.col("volt_ok")))
-
-
-def _volt_out() -> Column:
-    return F.when(F.col("evln_n") == 0, 0.0).otherwise(100.0 - ratio_pct(F.col("volt_ok"), F.col("evln_n")))
-
-
-def _leak_free() -> Column:
-    return 100.0 - ratio_pct(F.col("leak_low"), F.col("leak_all"))
-
-
-def _control(counter: str, priority: str, message: str, detail: str) -> Rule:
-    return Rule(priority, message, detail, ("n", "scpx_n", counter),
-                lambda limits, w: _share(counter, "scpx_n"),
-                lambda limits, w: (_share(counter, "scpx_n") < limits.present_pct) & (F.col("scpx_n") > limits.control_min_rows),
-                _missing(counter))
-
-
-def _data_ok(counter: str, priority: str, message: str, only: str | None = None) -> Rule:
-    return Rule(priority, message, "Data OK %", ("n", counter),
-                lambda limits, w: rounded_double(_present(counter), 8, 1),
-                lambda limits, w: _present(counter) < limits.present_pct, only=only)
-
-
-def _null(limits: Limits, w: Window) -> Column:
-    return F.lit(None)
-
-
-def _both_ice() -> Column:
-    return F.greatest(_share("ticmctl_n", "scpx_n"), _share("ticbkctl_n", "scpx_n"))
-
-
-RULES: dict[str, Rule] = {
-    "missing_data": Rule(
-        "Low", "Missing Data", "Data Rx %", ("slots",),
-        lambda limits, w: rounded_double(data_rx_pct(w), 8, 1),
-        lambda limits, w: rounded_double(data_rx_pct(w), 8, 1) < limits.data_rx_pct),
-    "usb_board": Rule(
-        "Medium", "USB Board - Control Sensor Error", "TAMDAQ OK %", ("n", "tamdaq_n"),
-        lambda limits, w: _share("tamdaq_n", "n"),
-        lambda limits, w: _share("tamdaq_n", "n") < limits.present_pct, _missing("tamdaq_n")),
-    "control_sensor": _control("tvctopctl_n", "Low", "Control Sensor Error", "TVCTOPCTL OK %"),
-    "ice_sensor": _control("ticmctl_n", "Low", "Ice Sensor Error", "TICMCTL OK %"),
-    "ice_backup_sensor": _control("ticbkctl_n", "Low", "Ice Sensor Error", "TICBKCTL OK %"),
-    "no_holdover": Rule(
-        "Low", "No Calculated Holdover", "Check Sensor Errors", ("n", "ctbh_n"),
-        lambda limits, w: _share("ctbh_n", "n"), lambda limits, w: _share("ctbh_n", "n") < limits.holdover_pct),
-    "both_ice_sensors": Rule(
-        "Medium", "Both Ice Sensors Missing Error", "Control OK %", ("scpx_n", "ticmctl_n", "ticbkctl_n"),
-        lambda limits, w: _both_ice(),
-        lambda limits, w: (_both_ice() < limits.both_ice_pct) & (F.col("scpx_n") > limits.control_min_rows)),
-    "low_mains_power": Rule(
-        "Medium", "Low Mains Power Availability", "Power OK %", ("mains_ok",),
-        lambda limits, w: _expected_pct("mains_ok", w, limits),
-        lambda limits, w: _expected_pct("mains_ok", w, limits) < limits.mains_ok_pct, only="M"),
-    "low_solar_power": Rule(
-        "Medium", "Low Solar Power Availability", "Power OK %", ("solar_ok",),
-        lambda limits, w: _expected_pct("solar_ok", w, limits),
-        lambda limits, w: _expected_pct("solar_ok", w, limits) < limits.solar_ok_pct, only="S"),
-    "dirty_panels": Rule(
-        "Low", "Low Solar Power", "Max EWDCA", ("pv_max",),
-        lambda limits, w: rounded_double(F.col("pv_max"), 6, 0),
-        lambda limits, w: rounded_double(F.col("pv_max"), 6, 0) < limits.dirty_panel_w, only="S"),
-    "no_solar_power": Rule(
-        "Medium", "Solar Power Disconnected", "Data Rx %", ("pv_on", "slots"),
-        lambda limits, w: rounded_double(data_rx_pct(w), 6, 0),
-        lambda limits, w: (F.col("pv_on") == 0) & (data_rx_pct(w) > limits.zero_pv_rx_pct), only="S"),
-    "battery_missing": Rule(
-        "Medium", "Battery Missing Error", "1-hour Max Batt < .2 v", ("battery_hours",), _null,
-        lambda limits, w: F.col("battery_hours") > 0, lambda limits, w: F.col("battery_hours")),
-    "line_frequency": Rule(
-        "Medium", "Line Frequency Abnormal", "In Range %", ("volt_ok", "hz_bad", "evln_n", "slnx_on"),
-        lambda limits, w: rounded_double(_hz_ok(), 8, 1),
-        lambda limits, w: (F.col("volt_ok") > 1) & (_hz_ok() < limits.hz_ok_pct) & (_volt_out() > limits.hz_volt_out_pct)
-        & (F.col("slnx_on") / (limits.samples_per_day * w.days) * 100.0 < limits.hz_power_ok_pct),
-        lambda limits, w: F.floor(_volt_out())),
-    "refrigerant_leak": Rule(
-        "High", "Possible refrigerant leak", "Compressor Power %", ("leak_low", "leak_all"),
-        lambda limits, w: rounded_double(_leak_free(), 8, 1), lambda limits, w: _leak_free() < limits.leak_pct, only="M"),
-    "solar_undersatisfied": Rule(
-        "Low", "Solar Fridge Low Ice", "Undersatisfied", ("state_6", "state_2"), _null,
-        lambda limits, w: (F.col("state_6") > 1) & (F.col("state_2") == 0), only="S"),
-    "solar_no_ice": Rule(
-        "Medium", "Solar Fridge Low Ice", "Not Enough Ice", ("state_6", "state_2"), _null,
-        lambda limits, w: (F.col("state_6") == 0) & (F.col("state_2") == 0), only="S"),
-    "low_temperature": Rule(
-        "High", "Low Temperature Alert", "Days (Count)", ("low_days",),
-        lambda limits, w: F.col("low_days").cast("double"), lambda limits, w: F.col("low_days") > 0),
-    "low_temperature_any": Rule(
-        "High", "Low Temperature Alert", "Days (Count)", ("low_any_days",),
-        lambda limits, w: F.col("low_any_days").cast("double"), lambda limits, w: F.col("low_any_days") > 0),
-    "missing_power_board": _data_ok("evln_n", "Medium", "Missing Power Board Data", only="M"),
-    "missing_control_board": _data_ok("scpx_n", "Low", "Missing Control Board Data"),
-    "missing_usb_board": _data_ok("tamdaq_n", "Medium", "Missing USB Board Data"),
-    "missing_holdover": _data_ok("ctbh_n", "Low", "Missing CTBH"),
-    "duplicate_device": Rule(
-        None, "Data Error", "Duplicate FridgeId", ("duplicate_days",), _null,
-        lambda limits, w: F.col("duplicate_days") > 0, lambda limits, w: F.col("duplicate_days")),
-}
+    return f"(cast(slots as double) / {w.minutes / 10.0!r}d * 100.0d)"
+
+
+def _pct(part: str, whole: str) -> str:
+    return f"if({whole} = 0, 0d, cast({part} as double) / cast({whole} as double) * 100.0d)"
+
+
+def _share(counter: str, base: str) -> str:
+    return f"coalesce({fixed(_pct(counter, base))}, 0d)"
+
+
+def _available(counter: str, w: Window, limits: Limits) -> str:
+    return fixed(f"cast({counter} as double) / {w.minutes * limits.samples_per_day / 1440.0!r}d * 100.0d")
+
+
+def rules(limits: Limits, w: Window) -> dict[str, Rule]:
+    def control(counter: str, message: str, detail: str) -> Rule:
+        share = _share(counter, "scpx_n")
+        return Rule("Low", message, detail, ("n", "scpx_n", counter), share,
+                    f"{share} < {limits.present_pct} and scpx_n > {limits.control_min_rows}", f"n - {counter}")
+
+    def data_ok(counter: str, priority: str, message: str, only: str | None = None) -> Rule:
+        share = _pct(f"coalesce({counter}, 0)", "n")
+        return Rule(priority, message, "Data OK %", ("n", counter), fixed(share), f"{share} < {limits.present_pct}", only=only)
+
+    def availability(counter: str, message: str, limit: float, only: str) -> Rule:
+        pct = _available(counter, w, limits)
+        return Rule("Medium", message, "Power OK %", (counter,), pct, f"{pct} < {limit}", only=only)
+
+    received = fixed(data_rx_pct(w))
+    tamdaq, holdover = _share("tamdaq_n", "n"), _share("ctbh_n", "n")
+    both_ice = f"greatest({_share('ticmctl_n', 'scpx_n')}, {_share('ticbkctl_n', 'scpx_n')})"
+    brightest = fixed("pv_max", 6, 0)
+    hz_ok = f"if(volt_ok = 0, 0d, 100.0d - {_pct('hz_bad', 'volt_ok')})"
+    volt_out = f"if(evln_n = 0, 0d, 100.0d - {_pct('volt_ok', 'evln_n')})"
+    slnx = f"slnx_on / {limits.samples_per_day * w.days!r}d * 100.0d"
+    leak_free = f"(100.0d - {_pct('leak_low', 'leak_all')})"
+    states = ("state_6", "state_2")
+    return {
+        "missing_data": Rule("Low", "Missing Data", "Data Rx %", ("slots",), received, f"{received} < {limits.data_rx_pct}"),
+        "usb_board": Rule("Medium", "USB Board - Control Sensor Error", "TAMDAQ OK %", ("n", "tamdaq_n"), tamdaq,
+                          f"{tamdaq} < {limits.present_pct}", "n - tamdaq_n"),
+        "control_sensor": control("tvctopctl_n", "Control Sensor Error", "TVCTOPCTL OK %"),
+        "ice_sensor": control("ticmctl_n", "Ice Sensor Error", "TICMCTL OK %"),
+        "ice_backup_sensor": control("ticbkctl_n", "Ice Sensor Error", "TICBKCTL OK %"),
+        "no_holdover": Rule("Low", "No Calculated Holdover", "Check Sensor Errors", ("n", "ctbh_n"), holdover,
+                            f"{holdover} < {limits.holdover_pct}"),
+        "both_ice_sensors": Rule(
+            "Medium", "Both Ice Sensors Missing Error", "Control OK %", ("scpx_n", "ticmctl_n", "ticbkctl_n"), both_ice,
+            f"{both_ice} < {limits.both_ice_pct} and scpx_n > {limits.control_min_rows}"),
+        "low_mains_power": availability("mains_ok", "Low Mains Power Availability", limits.mains_ok_pct, "M"),
+        "low_solar_power": availability("solar_ok", "Low Solar Power Availability", limits.solar_ok_pct, "S"),
+        "dirty_panels": Rule("Low", "Low Solar Power", "Max EWDCA", ("pv_max",), brightest,
+                             f"{brightest} < {limits.dirty_panel_w}", only="S"),
+        "no_solar_power": Rule("Medium", "Solar Power Disconnected", "Data Rx %", ("pv_on", "slots"), fixed(data_rx_pct(w), 6, 0),
+                               f"pv_on = 0 and {data_rx_pct(w)} > {limits.zero_pv_rx_pct}", only="S"),
+        "battery_missing": Rule("Medium", "Battery Missing Error", "1-hour Max Batt < .2 v", ("battery_hours",), "null",
+                                "battery_hours > 0", "battery_hours"),
+        "line_frequency": Rule(
+            "Medium", "Line Frequency Abnormal", "In Range %", ("volt_ok", "hz_bad", "evln_n", "slnx_on"), fixed(hz_ok),
+            f"volt_ok > 1 and {hz_ok} < {limits.hz_ok_pct} and {volt_out} > {limits.hz_volt_out_pct} "
+            f"and {slnx} < {limits.hz_power_ok_pct}", f"floor({volt_out})"),
+        "refrigerant_leak": Rule("High", "Possible refrigerant leak", "Compressor Power %", ("leak_low", "leak_all"),
+                                 fixed(leak_free), f"{leak_free} < {limits.leak_pct}", only="M"),
+        "solar_undersatisfied": Rule("Low", "Solar Fridge Low Ice", "Undersatisfied", states, "null",
+                                     "state_6 > 1 and state_2 = 0", only="S"),
+        "solar_no_ice": Rule("Medium", "Solar Fridge Low Ice", "Not Enough Ice", states, "null",
+                             "state_6 = 0 and state_2 = 0", only="S"),
+        "low_temperature": Rule("High", "Low Temperature Alert", "Days (Count)", ("low_days",), "low_days", "low_days > 0"),
+        "low_temperature_any": Rule("High", "Low Temperature Alert", "Days (Count)", ("low_any_days",), "low_any_days",
+                                    "low_any_days > 0"),
+        "missing_power_board": data_ok("evln_n", "Medium", "Missing Power Board Data", "M"),
+        "missing_control_board": data_ok("scpx_n", "Low", "Missing Control Board Data"),
+        "missing_usb_board": data_ok("tamdaq_n", "Medium", "Missing USB Board Data"),
+        "missing_holdover": data_ok("ctbh_n", "Low", "Missing CTBH"),
+        "duplicate_device": Rule(None, "Data Error", "Duplicate FridgeId", ("duplicate_days",), "null",
+                                 "duplicate_days > 0", "duplicate_days"),
+    }
+
+
 SENSOR_PRESENCE = ("usb_board", "control_sensor", "ice_sensor", "ice_backup_sensor", "no_holdover", "both_ice_sensors")
 
 
-def needed_counters(names: Iterable[str]) -> set[str]:
-    return {counter for name in names for counter in RULES[name].needs}
+def needed_counters(names: Iterable[str], limits: Limits, w: Window) -> set[str]:
+    known = rules(limits, w)
+    return {counter for name in names for counter in known[name].needs}
+
+
+def _quoted(value: str | None) -> str:
+    return "cast(null as string)" if value is None else f"'{value}'"
 
 
 def rule_findings(names: Iterable[str], limits: Limits, w: Window) -> Column:
     """Array of the findings that hold on a profile row."""
-    def finding(rule: Rule) -> Column:
-        return F.struct(
-            F.lit(rule.priority).cast("string").alias("Priority"), F.lit(rule.message).alias("Message"),
-            F.lit(rule.detail).alias("Detail"), rule.value(limits, w).cast("double").alias("value"),
-            rule.errors(limits, w).cast("int").alias("errCnt"), F.lit(rule.only).cast("string").alias("only_class"))
+    known = rules(limits, w)
+
+    def finding(rule: Rule) -> str:
+        return (f"if({rule.holds}, struct({_quoted(rule.priority)} as Priority, '{rule.message}' as Message, "
+                f"'{rule.detail}' as Detail, cast({rule.value} as double) as value, cast({rule.errors} as int) as errCnt, "
+                f"{_quoted(rule.only)} as only_class), null)")
 
-    return F.array_compact(F.array(*[
-        F.when(RULES[name].holds(limits, w), finding(RULES[name])) for name in names]))
+    return F.expr(f"array_compact(array({', '.join(finding(known[name]) for name in names)}))")
 
 
 def profile_findings(profile: DataFrame, names: Iterable[str], start, end, limits: Limits = Limits()) -> DataFrame:
@@ -202,14 +170,15 @@ def profile_findings(profile: DataFrame, names: Iterable[str], start, end, limit
 def detect(names: str | Iterable[str], t: FleetTables, devices: DataFrame, start, end, limits: Limits = Limits()) -> DataFrame:
     """Run profile rules for the listed devices (without class gates)."""
     names = [names] if isinstance(names, str) else list(names)
-    profile = fleet_profile(devices.select("fridgeid"), t, start, end, needed_counters(names), limits)
+    want = needed_counters(names, limits, Window(start, end))
+    profile = fleet_profile(devices.select("fridgeid"), t, start, end, want, limits)
     return profile_findings(profile, names, start, end, limits).select(*TECH_COLUMNS)
 
 
 def data_rx(t: FleetTables, devices: DataFrame, start, end, limits: Limits = Limits()) -> DataFrame:
     """Data Rx % column of every listed device."""
     profile = fleet_profile(devices.select("fridgeid"), t, start, end, {"slots"}, limits)
-    return profile.select("fridgeid", data_rx_pct(Window(start, end)).cast("decimal(6,1)").alias("dataRx"))
+    return profile.selectExpr("fridgeid", f"cast({data_rx_pct(Window(start, end))} as decimal(6,1)) as dataRx")
 
 
 def tech_rows(rows: DataFrame, priority: str | None, message: str, detail: Column | str | None, value: Column | None,

@@ -10,10 +10,7 @@ many tasks as it has chunks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 BORDER = -1
 
@@ -25,57 +22,65 @@ def chunk_length(reach_s: int, floor_s: int = 600) -> int:
 
 def spread(rows: DataFrame, chunk_s: int, back_s: int = 0, fwd_s: int = 0) -> DataFrame:
     """Add ``chunk`` and ``own``; rows seen from up to ``back_s`` later or ``fwd_s`` earlier are copied."""
-    at = F.col("epoch")
-    home = F.floor(at / chunk_s)
+    home = f"floor(epoch / {chunk_s})"
     if not back_s and not fwd_s:
-        return rows.withColumn("chunk", home).withColumn("own", F.lit(True))
-    seen_from = F.sequence(F.floor((at - fwd_s) / chunk_s), F.floor((at + back_s) / chunk_s))
-    return rows.withColumn("chunk", F.explode(seen_from)).withColumn("own", F.col("chunk") == home)
+        return rows.selectExpr("*", f"{home} as chunk", "true as own")
+    seen_from = f"sequence(floor((epoch - {fwd_s}) / {chunk_s}), floor((epoch + {back_s}) / {chunk_s}))"
+    return rows.selectExpr("*", f"explode({seen_from}) as chunk").selectExpr("*", f"chunk = {home} as own")
+
 
+def framed(aggregate: str, lo_s: int, hi_s: int) -> str:
+    """An aggregate over the readings between two offsets (inclusive) from the current second."""
+    def bound(offset: int) -> str:
+        return f"{abs(offset)} {'preceding' if offset < 0 else 'following'}"
 
-def frame(lo_s: int, hi_s: int):
-    """Window over the readings between two offsets (inclusive) from the current second."""
-    return Window.partitionBy("fridgeid", "chunk").orderBy("epoch").rangeBetween(lo_s, hi_s)
+    return (f"{aggregate} over (partition by fridgeid, chunk order by epoch "
+            f"range between {bound(lo_s)} and {bound(hi_s)})")
 
 
-def with_neighbours(rows: DataFrame, neighbours: dict[str, tuple[str, int]], keep: Callable[[], Column],
-                    framed: dict[str, Column] | None = None) -> DataFrame:
+def with_neighbours(rows: DataFrame, neighbours: dict[str, tuple[str, int]], keep: str,
+                    frames: dict[str, str] | None = None) -> DataFrame:
     """Rows satisfying ``keep``, with the named columns of neighbouring rows attached.
 
     ``rows`` comes from :func:`spread` and has ``inside`` for rows of the report
     window; only those are neighbours of each other. ``neighbours`` maps a new name
-    to (column, offset), negative offsets looking back. ``keep`` is an expression
-    over the new names. ``framed`` adds time-frame columns, see :func:`frame`.
+    to (column, offset), negative offsets looking back. ``keep`` is a condition on
+    the new names. ``frames`` adds columns made by :func:`framed`. The result has
+    ``fridgeid, epoch, reading_id``, the neighbour source columns and the new ones.
     """
-    columns = sorted({column for column, _ in neighbours.values()})
-    order = ["epoch", "reading_id", *[c for c in columns if c not in ("epoch", "reading_id")]]
-    within = Window.partitionBy("fridgeid", "chunk").orderBy(*order)
+    columns = [c for c in dict.fromkeys(c for c, _ in neighbours.values()) if c not in ("epoch", "reading_id")]
+    base = ["fridgeid", "epoch", "reading_id", *columns]
+    order = ", ".join(["epoch", "reading_id", *columns])
     depth = max(abs(offset) for _, offset in neighbours.values())
+    offsets = sorted({offset for _, offset in neighbours.values()} | {-depth, depth})
+    frames = frames or {}
+
+    def beside(column: str, offset: int, group: str) -> str:
+        function = f"lag({column}, {-offset})" if offset < 0 else f"lead({column}, {offset})"
+        return f"{function} over (partition by fridgeid, {group} order by {order})"
 
-    def beside(column: str, offset: int, window) -> Column:
-        return (F.lag(column, -offset) if offset < 0 else F.lead(column, offset)).over(window)
+    def known(offset: int) -> str:
+        return f"coalesce(_chain{'b' if offset < 0 else 'a'}{abs(offset)}, false)"
 
-    def known(offset: int) -> Column:
-        return F.coalesce(F.col(f"_chain{offset}"), F.lit(False))
+    def flag(offset: int) -> str:
+        return f"_known{'b' if offset < 0 else 'a'}{abs(offset)}"
 
-    offsets = sorted({o for _, o in neighbours.values()} | {-depth, depth})
-    marked = rows.withColumn("own", F.col("own") & F.col("inside"))
-    marked = marked.select(
+    # 1. inside each chunk: neighbours, and whether they were in reach
+    marked = rows.selectExpr(*["own and inside as own" if c == "own" else c for c in rows.columns])
+    marked = marked.selectExpr(
         "*",
-        *[beside("own", o, within).alias(f"_chain{o}") for o in offsets],
-        *[beside(c, o, within).alias(f"_{name}") for name, (c, o) in neighbours.items()])
-    if framed:
-        marked = marked.select("*", *[column.alias(name) for name, column in framed.items()])
-    border = ~known(-depth) | ~known(depth)
-    marked = marked.where("own").select(
-        *[c for c in marked.columns if not c.startswith("_")],
-        *[F.when(known(o), F.col(f"_{name}")).alias(name) for name, (_, o) in neighbours.items()],
-        *[known(o).alias(f"_known{o}") for o in offsets],
-        F.when(border, F.lit(BORDER)).otherwise(F.col("chunk")).alias("_group"))
-    candidates = marked.where((F.col("_group") == BORDER) | keep())
-    across = Window.partitionBy("fridgeid", "_group").orderBy(*order)
-    resolved = candidates.select(
-        *[c for c in candidates.columns if c not in neighbours],
-        *[F.when(F.col(f"_known{o}"), F.col(name)).otherwise(beside(c, o, across)).alias(name)
-          for name, (c, o) in neighbours.items()])
-    return resolved.where(keep()).drop("_group", *[f"_known{o}" for o in offsets])
+        *[f"{beside('own', o, 'chunk')} as _chain{'b' if o < 0 else 'a'}{abs(o)}" for o in offsets],
+        *[f"{beside(c, o, 'chunk')} as _{name}" for name, (c, o) in neighbours.items()])
+    if frames:
+        marked = marked.selectExpr("*", *[f"{sql} as {name}" for name, sql in frames.items()])
+    resolved_here = marked.where("own").selectExpr(
+        *base, *frames,
+        *[f"if({known(o)}, _{name}, null) as {name}" for name, (_, o) in neighbours.items()],
+        *[f"{known(o)} as {flag(o)}" for o in offsets],
+        f"if({known(-depth)} and {known(depth)}, chunk, {BORDER}) as _group")
+    # 2. across chunks: only the rows next to a border look further
+    candidates = resolved_here.where(f"_group = {BORDER} or ({keep})")
+    resolved = candidates.selectExpr(
+        *base, *frames,
+        *[f"if({flag(o)}, {name}, {beside(c, o, '_group')}) as {name}" for name, (c, o) in neighbours.items()])
+    return resolved.where(keep)

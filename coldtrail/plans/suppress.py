@@ -5,7 +5,7 @@ Each rule sees the result of the one before it. Windows hold one device's findin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OFFLINE = "Unit Offline"
@@ -17,29 +17,25 @@ NO_SOLAR = "Solar Power Disconnected"
 LOW_SOLAR = "Low Solar Power"
 
 
-def _message(name: str) -> Column:
-    return F.col("Message") == name
+def _is(*names: str) -> str:
+    return "Message in (" + ", ".join(f"'{name}'" for name in names) + ")"
 
 
-def _drop(rows: DataFrame, device_has: Column, doomed, key: str = "fridgeid") -> DataFrame:
-    """Delete ``doomed(flag)`` rows, where the flag says whether the device has a matching finding."""
-    has = F.max(F.coalesce(device_has, F.lit(False))).over(Window.partitionBy(key))
-    flagged = rows.withColumn("_flag", has & F.col(key).isNotNull())
-    return flagged.where(~F.coalesce(doomed(F.col("_flag")), F.lit(False))).drop("_flag")
+def _drop(rows: DataFrame, device_has: str, doomed: str, key: str = "fridgeid") -> DataFrame:
+    """Delete ``doomed`` rows, where ``has`` says whether the device has a matching finding."""
+    flag = f"{key} is not null and max(coalesce({device_has}, false)) over (partition by {key}) as has"
+    return rows.selectExpr("*", flag).where(f"not coalesce({doomed}, false)").drop("has")
 
 
 def mark_offline(rows: DataFrame) -> DataFrame:
-    silent = _message(MISSING_DATA) & (F.col("value") == 0)
-    offline = F.coalesce(silent, F.lit(False))
-    return rows.select(*[
-        {"Message": F.when(offline, OFFLINE).otherwise(F.col("Message")),
-         "Detail": F.when(~offline, F.col("Detail")),
-         "value": F.when(~offline, F.col("value"))}.get(c, F.col(c)).alias(c)
-        for c in rows.columns])
+    silent = f"coalesce({_is(MISSING_DATA)} and value = 0, false)"
+    return rows.withColumns({
+        "Message": F.expr(f"if({silent}, '{OFFLINE}', Message)"), "Detail": F.expr(f"if({silent}, null, Detail)"),
+        "value": F.expr(f"if({silent}, null, value)")})
 
 
 def only_offline(rows: DataFrame) -> DataFrame:
-    return _drop(rows, _message(OFFLINE), lambda has: has & ~_message(OFFLINE))
+    return _drop(rows, _is(OFFLINE), f"has and not {_is(OFFLINE)}")
 
 
 def drop_power_without_board(rows: DataFrame, intended_precedence: bool = False) -> DataFrame:
@@ -48,23 +44,23 @@ def drop_power_without_board(rows: DataFrame, intended_precedence: bool = False)
     Literally the condition reads ``(device and mains) or frequency``, which drops
     every frequency finding; ``intended_precedence`` limits both to the device.
     """
-    no_board = _message(POWER_BOARD) & (F.col("value") < 1)
+    no_board = f"{_is(POWER_BOARD)} and value < 1"
     if intended_precedence:
-        return _drop(rows, no_board, lambda has: has & (_message(MAINS_POWER) | _message(FREQUENCY)))
-    return _drop(rows, no_board, lambda has: (has & _message(MAINS_POWER)) | _message(FREQUENCY))
+        return _drop(rows, no_board, f"has and {_is(MAINS_POWER, FREQUENCY)}")
+    return _drop(rows, no_board, f"has and {_is(MAINS_POWER)} or {_is(FREQUENCY)}")
 
 
 def drop_frequency_without_power(rows: DataFrame) -> DataFrame:
-    return _drop(rows, _message(MAINS_POWER) & (F.col("value") < 1), lambda has: has & _message(FREQUENCY))
+    return _drop(rows, f"{_is(MAINS_POWER)} and value < 1", f"has and {_is(FREQUENCY)}")
 
 
 def drop_low_solar_when_disconnected(rows: DataFrame) -> DataFrame:
-    return _drop(rows, _message(NO_SOLAR), lambda has: has & _message(LOW_SOLAR))
+    return _drop(rows, _is(NO_SOLAR), f"has and {_is(LOW_SOLAR)}")
 
 
 def only_mains_without_board(rows: DataFrame) -> DataFrame:
     """Oldest rule set: devices without power-board data keep the mains finding alone."""
-    return _drop(rows, _message(POWER_BOARD) & (F.col("value") < 1), lambda has: has & ~_message(MAINS_POWER))
+    return _drop(rows, f"{_is(POWER_BOARD)} and value < 1", f"has and not {_is(MAINS_POWER)}")
 
 
 def suppress(rows: DataFrame, rules: str = "v6", intended_precedence: bool = False) -> DataFrame:
@@ -77,11 +73,9 @@ def suppress(rows: DataFrame, rules: str = "v6", intended_precedence: bool = Fal
 
 def clear_offline_columns(rows: DataFrame) -> DataFrame:
     """Holdover and supply columns say nothing about an offline device."""
-    online = ~_message(OFFLINE)
-    return rows.withColumn("CTBH", F.when(online, F.col("CTBH"))).withColumn("SLNX", F.when(online, F.col("SLNX")))
+    return rows.withColumns({c: F.expr(f"if({_is(OFFLINE)}, null, {c})") for c in ("CTBH", "SLNX")})
 
 
 def only_missing_data_when_scarce(rows: DataFrame, key: str = "fridgeid") -> DataFrame:
     """Devices with some data but less than one percent keep the missing-data finding alone."""
-    scarce = (F.col("DataRx") > 0) & (F.col("DataRx") < 1)
-    return _drop(rows, scarce, lambda has: has & ~_message(MISSING_DATA), key)
+    return _drop(rows, "DataRx > 0 and DataRx < 1", f"has and not {_is(MISSING_DATA)}", key)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.links import DEFAULT_BASE, LinkBase, link_plain, link_range
-from ..functions.text import rounded
 from ..functions.timebucket import as_datetime, days_hours, epoch, epoch_of, ts_lit, window_days
 from ..limits import Limits
 from ..operators import tech
@@ -67,27 +66,21 @@ def _supply(rules: RuleSet) -> str:
     return "solar_ok" if rules.supply == "supply_ok_legacy" else "supply_ok"
 
 
-def state_columns(rules: RuleSet, start, end, limits: Limits) -> dict[str, Column]:
+def state_columns(rules: RuleSet, start, end, limits: Limits) -> list[str]:
     """Report columns computed from one profile row."""
-    top = F.try_divide("top_sum", "tvctopctl_n")
-    bottom = F.try_divide("bottom_sum", "tvcbot_n")
-    both = (top + bottom) / 2.0
-    average = F.coalesce(both, bottom, top) if rules.top_alone else F.coalesce(both, F.when(top.isNull(), bottom))
-    expected = limits.samples_per_day * window_days(start, end)
+    top, bottom = "try_divide(top_sum, tvctopctl_n)", "try_divide(bottom_sum, tvcbot_n)"
+    both = f"({top} + {bottom}) / 2.0d"
+    average = f"coalesce({both}, {bottom}, {top})" if rules.top_alone else f"coalesce({both}, if({top} is null, {bottom}, null))"
+    expected = f"{limits.samples_per_day * window_days(start, end)!r}d"
     if rules.latest_holdover:
-        holdover = F.coalesce(rounded(F.col("ctbh_last"), 6, 1), F.lit(0))
+        holdover = "coalesce(cast(ctbh_last as decimal(6,1)), 0)"
     else:
-        holdover = rounded(F.coalesce(F.try_divide("ctbh_sum", "ctbh_n"), F.lit(0.0)), 6, 1)
-    if rules.data_rx_by_slot:
-        received = tech.data_rx_pct(tech.Window(start, end))
-    else:
-        received = F.coalesce(F.col("n"), F.lit(0)) / expected * 100.0
-    return {
-        "TVCTOPCTLavg": rounded(average, 8, 1),
-        "CTBH": holdover.cast("decimal(6,1)"),
-        "SLNX": rounded(F.coalesce(F.col(_supply(rules)), F.lit(0)) / expected * 100.0, 6, 1),
-        "DataRx": rounded(received, 6, 1),
-    }
+        holdover = "coalesce(try_divide(ctbh_sum, ctbh_n), 0d)"
+    received = tech.data_rx_pct(tech.Window(start, end)) if rules.data_rx_by_slot else f"coalesce(n, 0) / {expected} * 100.0d"
+    return [
+        f"cast({average} as decimal(8,1)) as TVCTOPCTLavg", f"cast({holdover} as decimal(6,1)) as CTBH",
+        f"cast(coalesce({_supply(rules)}, 0) / {expected} * 100.0d as decimal(6,1)) as SLNX",
+        f"cast({received} as decimal(6,1)) as DataRx"]
 
 
 def seen_before(t: FleetTables, devices: DataFrame, start, end) -> DataFrame:
@@ -120,14 +113,15 @@ def tech_findings(t: FleetTables, devices: DataFrame, start, end, rules: str = "
                   intended_precedence: bool = False) -> DataFrame:
     """Gated and suppressed findings of the listed devices, each with its device's profile."""
     chosen = RULE_SETS[rules]
-    want = tech.needed_counters(chosen.detectors) | _state_counters(chosen)
+    window = tech.Window(start, end)
+    want = tech.needed_counters(chosen.detectors, limits, window) | _state_counters(chosen)
     profile = fleet_profile(devices.select("fridgeid", "fridgeType"), t, start, end, want, limits)
     # every device once for its counter findings, and once for each event finding
     finding = F.struct(*TECH_COLUMNS[1:], "only_class").alias("event")
     events = event_findings(t, start, end, limits).select("fridgeid", finding)
     asked = devices.select("fridgeid", F.lit(None).cast(events.schema["event"].dataType).alias("event")).unionByName(events)
-    state = [column.alias(name) for name, column in state_columns(chosen, start, end, limits).items()]
-    counted = tech.rule_findings(chosen.detectors, limits, tech.Window(start, end))
+    state = [F.expr(column) for column in state_columns(chosen, start, end, limits)]
+    counted = tech.rule_findings(chosen.detectors, limits, window)
     found = F.when(F.col("event").isNull(), counted).otherwise(F.array("event"))
     rows = asked.join(profile, "fridgeid").select("fridgeid", "fridgeType", "last_time", *state, F.inline(found))
     gated = rows.where(F.col("only_class").isNull() | (F.col("only_class") == F.col("fridgeType"))).drop("only_class")
