@@ -28,11 +28,6 @@ def ts_lit(value: dt.date | dt.datetime | str) -> Column:
     return F.timestamp_seconds(F.lit(epoch_of(value)))
 
 
-def in_window(ts: Column, start, end) -> Column:
-    """Half-open ``start <= ts < end`` on the raw column, so that it reaches the scan."""
-    return (ts >= ts_lit(start)) & (ts < ts_lit(end))
-
-
 def round_second(ts: Column) -> Column:
     return F.date_trunc("second", ts + F.expr("interval 500 milliseconds"))
 

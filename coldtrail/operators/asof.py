@@ -47,7 +47,3 @@ def next_day_pairs(sensor: DataFrame, start, end, limits: Limits = Limits(), chu
         (F.col("next.charge") - F.col("ECDBAT")).alias("battDiff"))
     return pairs.where(boundary_diff("minute", F.col("startDtm"), F.col("endDtm")) < limits.drain_minutes)
 
-
-def last_before(readings: DataFrame, condition, at: str = "measureddtm") -> DataFrame:
-    """Latest time per device at which the condition held."""
-    return readings.groupBy("fridgeid").agg(F.max(F.when(condition, F.col(at))).alias("last_time"))

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.links import CODE_PARAMETER
 from ..functions.text import before_parenthesis, has_parenthesis, inside_parentheses, number_text, to_count
-from ..functions.timebucket import bucket, in_window, slot_number, ts_lit, week_label
+from ..functions.timebucket import bucket, epoch_of, slot_number, ts_lit, week_label
 from ..limits import Limits
-from ..sources.tables import FleetTables, error_rows, readings
-from .asof import last_before
+from ..sources.tables import FleetTables, between, error_rows, readings
 from .edges import charge_frame, edge_power, trip_frames
 from .findings import BOTH_LINKS, ERROR_LINK, eng_rows, supported
 from .rollup import rollup
@@ -82,7 +81,7 @@ def bad_time(t: FleetTables, start, end, interval: str = "Day", limits: Limits =
     """Distinct timestamps of bad-clock errors; buckets with more than ``bad_time_min`` of them."""
     interval = supported(interval, "All", "Day", "Week")
     raw = (
-        t.bad_time_errors.where(in_window(F.col("createddtm"), start, end))
+        between(t.bad_time_errors, start, end, at="createddtm")
         .groupBy("fridgeid", F.col("createddtm").alias("EventTime")).agg(F.count(F.lit(1)).alias("RecCount")))
     if interval == "All":
         return eng_rows(raw, interval, *BAD_TIME, span=_point(), slack_s=SLACK)
@@ -199,23 +198,19 @@ def overlapping_data(t: FleetTables, start, end, interval: str = "Hour", limits:
 def no_door_openings(t: FleetTables, start, end, interval: str = "Week", limits: Limits = Limits()) -> DataFrame:
     """Devices with readings but no opening; the event is the last opening of the weeks before."""
     interval = supported(interval, "Week")
-    at, opened = F.col("measureddtm"), F.col("SDXC")
-    since = ts_lit(start) - F.expr(f"interval {limits.door_lookback_days} days")
-    rows = t.sensor.where((at >= since) & (at < ts_lit(end))).select("fridgeid", "measureddtm", "SDXC")
-    inside = at >= ts_lit(start)
+    back = limits.door_lookback_days * 86400
+    rows = between(t.sensor, start, end, back_s=back).selectExpr(
+        "fridgeid", "SDXC", "measureddtm", f"unix_seconds(measureddtm) >= {epoch_of(start)} as inside")
     openings = rows.groupBy("fridgeid").agg(
-        F.sum(F.when(inside, opened)).alias("RecCount"),
-        F.max(F.when(~inside & (opened > 0), at)).alias("EventTime"))
-    return eng_rows(openings.where(F.col("RecCount") == 0), interval, *NO_DOOR,
-                    span=(ts_lit(start), ts_lit(end)), slack_s=SLACK)
+        F.expr("sum(SDXC) filter (where inside) as RecCount"),
+        F.expr("max(measureddtm) filter (where not inside and SDXC > 0) as EventTime"))
+    return eng_rows(openings.where("RecCount = 0"), interval, *NO_DOOR, span=(ts_lit(start), ts_lit(end)), slack_s=SLACK)
 
 
 def last_door_opening(t: FleetTables, before, limits: Limits = Limits()) -> DataFrame:
     """Last opening of each device in the look-back days before a time."""
-    since = ts_lit(before) - F.expr(f"interval {limits.door_lookback_days} days")
-    rows = t.sensor.where((F.col("measureddtm") >= since) & (F.col("measureddtm") < ts_lit(before)))
-    found = last_before(rows.select("fridgeid", "measureddtm", "SDXC"), F.col("SDXC") > 0)
-    return found.where(F.col("last_time").isNotNull())
+    rows = between(t.sensor, before, before, back_s=limits.door_lookback_days * 86400)
+    return rows.where("SDXC > 0").groupBy("fridgeid").agg(F.max("measureddtm").alias("last_time"))
 
 
 # --- thermostat and charge: edges ------------------------------------------------------------
@@ -325,7 +320,7 @@ def code_values(events: DataFrame, sensor: DataFrame, start, end, limits: Limits
     hours = F.sequence(slot_number(F.array_min(times), 3600), slot_number(F.array_max(times) + span, 3600))
     asked = first.withColumn("hour", F.explode(hours))
     at = F.col("measureddtm")
-    measured = sensor.where((at >= ts_lit(start)) & (at < ts_lit(end) + span)).select(
+    measured = between(sensor, start, end, fwd_s=limits.code_value_days * 86400).select(
         "fridgeid", "measureddtm", slot_number(at, 3600).alias("hour"), "SCPX", "EWCP2", "TEVIN", "TCPDISCTL", "ECDBAT")
 
     def during(code: str, *also: Column) -> Column:

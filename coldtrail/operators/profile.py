@@ -14,9 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timebucket import in_window
 from ..limits import Limits
-from ..sources.tables import FleetTables
+from ..sources.tables import FleetTables, between
 
 SENSOR, SOLAR, PV = "sensor", "solar_sensor", "pv"
 LEVELS = (("slot", 600), ("hour", 3600), ("day", 86400))
@@ -94,7 +93,7 @@ def _merged(name: str, how: str):
 
 
 def _source_profile(frame: DataFrame, start, end, base: dict[str, Counter], over: dict[str, Derived]) -> DataFrame:
-    rows = frame.where(in_window(F.col("measureddtm"), start, end))
+    rows = between(frame, start, end)
     asked = {d.level for d in over.values()}
     levels = [level for level in LEVELS if level[0] in asked]
     merges = {name: c.merge for name, c in base.items()}

@@ -15,7 +15,7 @@ from ..operators.findings import TECH_COLUMNS, with_class
 from ..operators.profile import fleet_profile
 from ..operators.runs import last_compressor_run
 from ..schema import REPORT_TECH
-from ..sources.tables import FleetTables, readings
+from ..sources.tables import FleetTables, between, readings
 from .fleet import ALL, EXCLUDED_COUNTRY, fleet, history_fleet, latest_location
 from .suppress import clear_offline_columns, only_missing_data_when_scarce, suppress
 
@@ -91,7 +91,7 @@ def seen_before(t: FleetTables, devices: DataFrame, start, end) -> DataFrame:
     """
     active = readings(t.sensor, start, end).select("fridgeid").distinct()
     silent = devices.select("fridgeid").join(active, "fridgeid", "left_anti")
-    past = t.sensor.where(F.col("measureddtm") < ts_lit(start)).select("fridgeid", "measureddtm")
+    past = between(t.sensor, None, start).select("fridgeid", "measureddtm")
     return past.join(silent, "fridgeid", "left_semi").groupBy("fridgeid").agg(F.max("measureddtm").alias("past_time"))
 
 
@@ -116,14 +116,15 @@ def tech_findings(t: FleetTables, devices: DataFrame, start, end, rules: str = "
     window = tech.Window(start, end)
     want = tech.needed_counters(chosen.detectors, limits, window) | _state_counters(chosen)
     profile = fleet_profile(devices.select("fridgeid", "fridgeType"), t, start, end, want, limits)
-    # every device once for its counter findings, and once for each event finding
-    finding = F.struct(*TECH_COLUMNS[1:], "only_class").alias("event")
-    events = event_findings(t, start, end, limits).select("fridgeid", finding)
-    asked = devices.select("fridgeid", F.lit(None).cast(events.schema["event"].dataType).alias("event")).unionByName(events)
+    # a device's counter findings go out with its first event finding, or alone
+    events = event_findings(t, start, end, limits).selectExpr(
+        "fridgeid", f"struct({', '.join(TECH_COLUMNS[1:])}, only_class) as event",
+        "row_number() over (partition by fridgeid order by Message, Detail) as nth")
     state = [F.expr(column) for column in state_columns(chosen, start, end, limits)]
     counted = tech.rule_findings(chosen.detectors, limits, window)
-    found = F.when(F.col("event").isNull(), counted).otherwise(F.array("event"))
-    rows = asked.join(profile, "fridgeid").select("fridgeid", "fridgeType", "last_time", *state, F.inline(found))
+    profile = profile.join(events, "fridgeid", "left").withColumn("counted", counted)
+    found = "if(nth is null, counted, if(nth = 1, array_append(counted, event), array(event)))"
+    rows = profile.select("fridgeid", "fridgeType", "last_time", *state, F.expr(f"inline({found})"))
     gated = rows.where(F.col("only_class").isNull() | (F.col("only_class") == F.col("fridgeType"))).drop("only_class")
     return suppress(gated, chosen.suppression, intended_precedence)
 

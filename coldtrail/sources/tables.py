@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..functions.timebucket import as_datetime, epoch, in_window, ts_lit
+from ..functions.timebucket import epoch_of
 
 
 @dataclass(frozen=True)
@@ -42,23 +43,39 @@ def read_table(spark: SparkSession, path: str, struct: T.StructType) -> DataFram
     return spark.read.schema(struct).parquet(path)
 
 
-def read_series(spark: SparkSession, path: str, struct: T.StructType = schema.SENSOR,
-                since=None, until=None) -> DataFrame:
-    """Readings stored under ``measured_day=...`` folders; a window prunes whole days."""
-    stored = T.StructType([*struct.fields, T.StructField(DAY_COLUMN, T.DateType(), True)])
-    frame = spark.read.schema(stored).parquet(path)
-    if since is not None:
-        frame = frame.where(F.col(DAY_COLUMN) >= F.lit(as_datetime(since).date()))
-    if until is not None:
-        frame = frame.where(F.col(DAY_COLUMN) <= F.lit(as_datetime(until).date()))
-    return frame.drop(DAY_COLUMN)
+def read_series(spark: SparkSession, path: str, struct: T.StructType) -> DataFrame:
+    """Rows stored under ``measured_day=...`` folders; :func:`between` then prunes whole days."""
+    return spark.read.schema(T.StructType([*struct.fields, T.StructField(DAY_COLUMN, T.DateType(), True)])).parquet(path)
 
 
-def read_fleet(spark: SparkSession, root: str, since=None, until=None) -> FleetTables:
+def between(frame: DataFrame, start, end, *, back_s: int = 0, fwd_s: int = 0, at: str = "measureddtm") -> DataFrame:
+    """Half-open time slice, widened by the slack; no lower bound where ``start`` is None.
+
+    The bounds are literals on the stored column, so they reach the scan, and whole
+    day folders are skipped where the table has them.
+    """
+    until = epoch_of(end) + fwd_s
+    conditions = [f"{at} < timestamp_seconds({until})"]
+    partitioned = DAY_COLUMN in frame.columns
+    if partitioned:
+        conditions.append(f"{DAY_COLUMN} <= date '{_day(until - 1)}'")
+    if start is not None:
+        since = epoch_of(start) - back_s
+        conditions.append(f"{at} >= timestamp_seconds({since})")
+        if partitioned:
+            conditions.append(f"{DAY_COLUMN} >= date '{_day(since)}'")
+    return frame.where(" and ".join(conditions))
+
+
+def _day(second: int) -> str:
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=second)).date().isoformat()
+
+
+def read_fleet(spark: SparkSession, root: str) -> FleetTables:
     """All relations of a fleet stored under one root folder."""
     return FleetTables(
-        sensor=read_series(spark, f"{root}/sensor", since=since, until=until),
-        errors=read_table(spark, f"{root}/errors", schema.ERRORS),
+        sensor=read_series(spark, f"{root}/sensor", schema.SENSOR),
+        errors=read_series(spark, f"{root}/errors", schema.ERRORS),
         bad_time_errors=read_table(spark, f"{root}/bad_time_errors", schema.BAD_TIME_ERRORS),
         location_history=read_table(spark, f"{root}/location_history", schema.LOCATION_HISTORY),
         device=read_table(spark, f"{root}/device", schema.DEVICE),
@@ -79,20 +96,17 @@ def read_sim_billing(spark: SparkSession, path: str | None = None, *, jdbc_url:
 
 
 def readings(sensor: DataFrame, start, end, *columns: str) -> DataFrame:
-    """Pruned window scan, keyed by device, with the time as epoch seconds beside the column."""
-    return sensor.where(in_window(F.col("measureddtm"), start, end)).select(
-        "fridgeid", "measureddtm", *columns)
+    """Pruned window scan."""
+    return between(sensor, start, end).select("fridgeid", "measureddtm", *columns)
 
 
 def keyed_readings(sensor: DataFrame, start, end, *columns: str, back_s: int = 0, fwd_s: int = 0) -> DataFrame:
     """Window scan with ``epoch``, ``reading_id`` and ``inside``; slack rows lie outside the window."""
-    ts = F.col("measureddtm")
-    slack = (ts >= ts_lit(start) - F.expr(f"interval {back_s} seconds")) & (
-        ts < ts_lit(end) + F.expr(f"interval {fwd_s} seconds"))
-    return sensor.where(slack).select(
-        "fridgeid", epoch(ts).alias("epoch"), "reading_id", in_window(ts, start, end).alias("inside"), *columns)
+    inside = f"unix_seconds(measureddtm) >= {epoch_of(start)} and unix_seconds(measureddtm) < {epoch_of(end)}"
+    return between(sensor, start, end, back_s=back_s, fwd_s=fwd_s).selectExpr(
+        "fridgeid", "unix_seconds(measureddtm) as epoch", "reading_id", f"{inside} as inside", *columns)
 
 
 def error_rows(errors: DataFrame, start, end, codes=None) -> DataFrame:
-    rows = errors.where(in_window(F.col("measureddtm"), start, end))
+    rows = between(errors, start, end)
     return rows if codes is None else rows.where(F.col("id").isin(list(codes)))
