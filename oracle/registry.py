@@ -8,19 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from coldtrail.functions import links, text, timebucket
 from coldtrail.operators import eng, tech
-from coldtrail.operators.findings import TECH_COLUMNS, render
+from coldtrail.operators.asof import next_day_pairs
+from coldtrail.operators.edges import charge_frame, edge_power, trip_frames
+from coldtrail.operators.findings import TECH_COLUMNS, device_flags, render, with_class
+from coldtrail.operators.islands import bucket_islands
+from coldtrail.operators.profile import counters, derived, device_profile
 from coldtrail.operators.runs import last_compressor_run
+from coldtrail.plans import jobs, readers
 from coldtrail.plans.eng_report import eng_report
 from coldtrail.plans.fleet import eng_location, fleet, history_fleet, latest_location
 from coldtrail.plans.tech_report import tech_findings, tech_report
+from coldtrail.schema import REPORT_ENG, REPORT_TECH
 from coldtrail.sources.events_adapter import fleet_from_events
-from coldtrail.sources.tables import FleetTables
+from coldtrail.sources.sinks import read_report
+from coldtrail.sources.tables import FleetTables, error_rows, read_sim_billing, readings
+from coldtrail.sources.workspace import shared_folder
 
 from . import eng as eng_sql
 from . import report as report_sql
 from . import tech as tech_sql
-from .settings import COUNTRY, END, EXCLUDED, LAST_DAY, LIMITS, RUN_TIME, START, WEEK_END, WEEK_START
+from .base import SOLAR, code, device_link, error_link, number, query, slot, week, window
+from .settings import (
+    COUNTRY, END, EXCLUDED, LAST_DAY, LIMITS, RUN_BEFORE, RUN_TIME, START, TECH_RUN_TIME, WEEK_END, WEEK_START)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -143,3 +154,220 @@ for _intended in (False, True):
     register(f"suppressed_findings_{'intended' if _intended else 'literal'}",
              lambda t, i=_intended: tech_findings(t, fleet(t, "All", EXCLUDED), START, END, "v6", LIMITS, i).select(*TECH_COLUMNS),
              report_sql.kept_findings(START, END, "v6", _intended))
+
+
+# --- scans, expressions and building blocks --------------------------------------------------
+
+register("sensor_scan", lambda t: readings(t.sensor, START, END, "reading_id", "SCPX", "EWCP2", "EVLN", "EWDCA"),
+         report_sql.statement("select fridgeid, measureddtm, event_id as reading_id, SCPX, EWCP2, EVLN, EWDCA from sensor "
+                              f"where {window('measureddtm')}"))
+register("error_code_scan", lambda t: error_rows(t.errors, START, END, eng.DAQ_CODES),
+         report_sql.statement("select fridgeid, id, description, message, measureddtm from errors where id in "
+                              f"({', '.join(map(repr, eng.DAQ_CODES))}) and {window('measureddtm')}"))
+register("location_scan", lambda t: t.location_history,
+         report_sql.statement("select fridgeid, createddtm, country, L1, L3, commDte, report, location_id from location_history"))
+register("device_classes", lambda t: device_flags(t.device_group),
+         report_sql.statement("select fridgeid, bool_or(GroupName = 'solar') as is_solar, bool_or(GroupName = 'freezer') as is_freezer "
+                              "from device_group group by fridgeid"))
+
+
+def _time_buckets(t: FleetTables) -> DataFrame:
+    at = F.col("measureddtm")
+    names = {"Minute": "minute", "10Minute": "ten_minutes", "Hour": "hour", "Day": "day", "Week": "week"}
+    return t.sensor.select(
+        "fridgeid", "reading_id", at, *[timebucket.bucket(at, i).alias(n) for i, n in names.items()],
+        *[timebucket.boundary_diff(u, at, timebucket.ts_lit(END)).alias(f"{u}s_left") for u in ("second", "minute", "hour", "day")],
+        F.year(at).alias("year"), F.month(at).alias("month"), F.dayofmonth(at).alias("dom"), F.hour(at).alias("hod"),
+        F.to_date(at).alias("date"), (timebucket.epoch(at) - 1200).alias("epoch_from"), (at + F.expr("interval 1 day")).alias("next_day"),
+        timebucket.report_time(at).alias("shown"),
+        timebucket.days_hours(timebucket.boundary_diff("second", at, timebucket.ts_lit(END))).alias("age"))
+
+
+_LEFT = ", ".join(f"datediff('{u}', measureddtm, timestamp '{END}') as {u}s_left" for u in ("second", "minute", "hour", "day"))
+register("time_buckets", _time_buckets, report_sql.statement(
+    f"""select fridgeid, event_id as reading_id, measureddtm, date_trunc('minute', measureddtm) as minute,
+    time_bucket(interval 10 minute, measureddtm, timestamp '2016-01-01') as ten_minutes, date_trunc('hour', measureddtm) as hour,
+    date_trunc('day', measureddtm) as day, {week('measureddtm')} as week, {_LEFT}, cast(year(measureddtm) as int) as year,
+    cast(month(measureddtm) as int) as month, cast(day(measureddtm) as int) as dom, cast(hour(measureddtm) as int) as hod,
+    cast(measureddtm as date) as date, cast(epoch(measureddtm) as bigint) - 1200 as epoch_from, measureddtm + interval 1 day as next_day,
+    strftime(measureddtm, '%d-%b-%Y %H:%M:%S') as shown,
+    (datediff('second', measureddtm, timestamp '{END}') // 86400) || 'd '
+      || ((datediff('second', measureddtm, timestamp '{END}') % 86400) // 3600) || 'h' as age from sensor"""))
+
+
+def _message_parts(t: FleetTables) -> DataFrame:
+    m = F.col("message")
+    spaced = F.concat(m, F.lit(" seen"))
+    return t.errors.select(
+        "fridgeid", "measureddtm", "id", text.inside_parentheses(m).alias("inside"), text.before_parenthesis(m).alias("sensor"),
+        text.before_space(m).alias("first_word"), text.before_space(spaced).alias("first_word_spaced"),
+        text.to_count(text.inside_parentheses(m)).alias("count"), F.upper(F.trim("description")).alias("shown"),
+        F.coalesce(text.to_count(m), F.lit(0)).alias("zero"))
+
+
+register("message_parts", _message_parts, report_sql.statement(
+    """select fridgeid, measureddtm, id, regexp_extract(message, '[(]([^)]*)[)]', 1) as inside, split_part(message, '(', 1) as sensor,
+    case when position(' ' in message) = 0 then '' else split_part(message, ' ', 1) end as first_word,
+    split_part(message || ' seen', ' ', 1) as first_word_spaced,
+    try_cast(regexp_extract(message, '[(]([^)]*)[)]', 1) as int) as count, upper(trim(description)) as shown,
+    coalesce(try_cast(message as int), 0) as zero from errors"""))
+
+register("rounded_values", lambda t: t.sensor.select(
+    "fridgeid", "reading_id", text.rounded(F.col("EVLN"), 8, 1).cast("double").alias("one"),
+    text.rounded(F.col("EVLN"), 8, 0).cast("double").alias("whole"),
+    F.expr(tech.fixed("-EVLN", 6, 1)).alias("negative"), text.number_text(F.col("EVLN")).alias("shown"),
+    text.ratio_pct(F.col("ICPS"), F.col("SLNX")).alias("pct")),
+    report_sql.statement("select fridgeid, event_id as reading_id, round(EVLN, 1) as one, round(EVLN, 0) as whole, round(-EVLN, 1) as negative, "
+                         f"{number('EVLN')} as shown, case when SLNX = 0 then 0 else ICPS::double / SLNX * 100 end as pct from sensor"))
+
+
+def _chart_links(t: FleetTables) -> DataFrame:
+    rows = with_class(t.sensor.select("fridgeid", "reading_id", "measureddtm"), t.device_group)
+    device, solar, at = F.col("fridgeid"), F.col("is_solar"), F.col("measureddtm")
+    end = timebucket.ts_lit(END)
+    return rows.select(
+        "fridgeid", "reading_id", links.link_point(device, solar, at, 1200).alias("point"),
+        links.link_range(device, solar, at, end, 28800).alias("span"), links.link_plain(device, solar).alias("plain"),
+        links.link_errors(device, solar, F.lit(links.CODE_PARAMETER + "E0A1"), at, end, 1200).alias("errors"))
+
+
+register("chart_links", _chart_links, report_sql.statement(
+    f"""select fridgeid, event_id as reading_id, {device_link('measureddtm', 'measureddtm', 1200)} as point,
+    {device_link('measureddtm', f"timestamp '{END}'", 28800)} as span,
+    (case when fridgeid in {SOLAR} then '{links.DEFAULT_BASE.device_solar}' else '{links.DEFAULT_BASE.device_mains}' end) || fridgeid as plain,
+    {error_link('measureddtm', f"timestamp '{END}'", 1200, code("'E0A1'"))} as errors from sensor"""))
+
+_FRAMES = [*trip_frames(LIMITS), charge_frame(LIMITS)]
+register("edge_power", lambda t: edge_power(t.sensor, START, END, _FRAMES), eng_sql.statement((
+    eng_sql.trip_ctes() + ", " + eng_sql.low_charge("Day")[0],
+    " union all ".join(
+        f"select fridgeid, '{name}' as name, {at} as EventTime, ct as samples, watts as avg_w, ambient as avg_ambient from {cte}"
+        for name, at, cte in (("stop_trip", "edge_time", "stop_e"), ("start_trip", "edge_time", "start_e"),
+                              ("charge", f"edge_time - interval {LIMITS.charge_settle_s} second", "off_e"))))))
+register("next_day_pairs", lambda t: next_day_pairs(t.sensor, START, END, LIMITS), tech_sql.statement(
+    f"select fridgeid, dtm1 as startDtm, dtm2 as endDtm, b1 as battStart, b2 as battEnd, b2 - b1 as battDiff from {tech_sql._pairs(START, END)}"))
+register("last_door_opening", lambda t: eng.last_door_opening(t, END, LIMITS), report_sql.statement(
+    f"select fridgeid, max(measureddtm) as last_time from sensor where SDXC > 0 and measureddtm < timestamp '{END}' "
+    f"and measureddtm >= timestamp '{END}' - interval {LIMITS.door_lookback_days} day group by fridgeid"))
+register("alarm_islands", lambda t: bucket_islands(error_rows(t.errors, START, END), "Day"), report_sql.statement(
+    f"""select fridgeid, island, count(*) as length from (select *, sum(g) over (partition by fridgeid order by b) as island from (
+    select *, case when gap is null or gap = 1 then 0 else 1 end as g from (
+    select *, datediff('day', b, lead(b) over (partition by fridgeid order by b)) as gap from (
+    select distinct fridgeid, date_trunc('day', measureddtm) as b from errors where {window('measureddtm')})))) group by all"""))
+
+
+def _profile_sql() -> str:
+    volt = f"EVLN > {LIMITS.volt_min} and EVLN < {LIMITS.volt_max}"
+    legacy = f"SLNX = 1 or (SLNX is null and EVLN > {LIMITS.legacy_volt_min} and EVLN < {LIMITS.volt_max})"
+    wide = f"SLNX = 1 or (SLNX is null and {volt})"
+    pv = f"EWDCA > {LIMITS.pv_ok_w}"
+    run = f"EWCP2 > {LIMITS.leak_min_w} and SCPX = 1"
+    cold = f"TVCTOPCTL < {LIMITS.low_temp_c}"
+    counted = {
+        "volt_ok": volt, "hz_bad": f"{volt} and (EHZLN < {LIMITS.hz_min} or EHZLN > {LIMITS.hz_max})", "mains_ok": legacy, "low_top": cold,
+        "low_any": f"{cold} or TVCBOT < {LIMITS.low_temp_c}", "leak_low": f"{run} and EWCP2 < {LIMITS.leak_max_w}", "leak_all": run,
+        "state_6": "SCPX = 6", "state_2": "SCPX = 2", "slnx_on": "SLNX = 1", "solar_ok": f"{legacy} or {pv}",
+        "supply_ok": f"{wide} or {pv}", "pv_on": f"EWDCA > {LIMITS.zero_pv_w}"}
+    w = window("s.measureddtm")
+    day = "date_trunc('day', s.measureddtm)"
+    columns = [f"count({c}) as {c.lower()}_n" for c in ("SCPX", "EVLN", "TAMDAQ", "TVCTOPCTL", "TICMCTL", "TICBKCTL", "CTBH", "TVCBOT")]
+    columns += [f"sum(case when {sql} then 1 else 0 end) as {name}" for name, sql in counted.items()]
+    columns += [
+        "count(*) as n", "sum(TVCTOPCTL) as top_sum", "sum(TVCBOT) as bottom_sum", "sum(CTBH) as ctbh_sum", "max(EVDBAT) as battery_max",
+        "max(EWDCA) as pv_max", "max(measureddtm) as last_time", f"count(distinct {slot('measureddtm', 600)}) as slots",
+        f"count(distinct case when {cold} then date_trunc('day', measureddtm) end) as low_days",
+        f"count(distinct case when {counted['low_any']} then date_trunc('day', measureddtm) end) as low_any_days"]
+    hours = (f"(select count(*) from (select max(s.EVDBAT) as v from sensor s where s.fridgeid = p.fridgeid and {w} "
+             f"group by date_trunc('hour', s.measureddtm)) where v < {LIMITS.battery_volt})")
+    days = (f"(select count(*) from (select count(*) as c from sensor s where s.fridgeid = p.fridgeid and {w} group by {day}) "
+            f"where c > {LIMITS.duplicate_per_day})")
+    latest = f"(select s.CTBH from sensor s where s.fridgeid = p.fridgeid and {w} order by s.measureddtm desc, s.event_id desc limit 1)"
+    return (f"select *, {hours} as battery_hours, {days} as duplicate_days, {latest} as ctbh_last from "
+            f"(select fridgeid, {', '.join(columns)} from sensor where {window('measureddtm')} group by fridgeid) p")
+
+
+register("device_profile", lambda t: device_profile(t, START, END, set(counters(LIMITS)) | set(derived(LIMITS)), LIMITS).drop("last_key"),
+         report_sql.statement(_profile_sql()))
+
+
+# --- stored tables ---------------------------------------------------------------------------
+
+
+def _billing(t: FleetTables) -> DataFrame:
+    """A billing table derived from the location records, stored and scanned with the declared schema."""
+    month = F.to_date(F.date_trunc("month", "createddtm"))
+    rows = t.location_history.select(
+        F.concat(F.lit("sub-"), F.col("fridgeid")).alias("SUBSCRIBER_ID"), F.col("fridgeid").alias("DEVICE_ID"),
+        (F.col("location_id") + 10**14).alias("IMSI"), F.concat(F.lit("89"), F.col("location_id")).alias("ICCID"),
+        F.col("location_id").alias("MSISDN"), F.date_format("createddtm", "yyyyMM").cast("int").alias("BILL_PERIOD"),
+        F.year("createddtm").alias("BILL_PERIOD_YR"), F.month("createddtm").alias("BILL_PERIOD_MO"), F.col("L3").alias("BILL_STATUS"),
+        month.alias("BILL_STATUS_START"), F.last_day(month).alias("BILL_STATUS_END"), F.lit("Z").alias("HOME_ZONE"),
+        F.col("L1").alias("ZONE_NAME"), month.alias("RATE_PLAN_START"), F.last_day(month).alias("RATE_PLAN_END"),
+        F.dayofmonth(F.last_day(month)).alias("ACTIVE_DAYS_IN_PLAN"), F.lit(1.0).alias("PRORATE_FACTOR"),
+        F.col("report").alias("BILL_PKT_KB"), (F.col("report") * 0.5).alias("BILL_PKT_PRICE"),
+        (F.col("report") * 0.5).alias("BILL_TOTAL_TRAFFIC_CHARGES"))
+    path = shared_folder(rows.sparkSession, "sim-billing")
+    rows.write.parquet(path)
+    return read_sim_billing(rows.sparkSession, path)
+
+
+_MONTH = "cast(date_trunc('month', createddtm) as date)"
+register("sim_billing_scan", _billing, report_sql.statement(
+    f"""select 'sub-' || fridgeid as SUBSCRIBER_ID, fridgeid as DEVICE_ID, location_id + 100000000000000 as IMSI, '89' || location_id as ICCID,
+    location_id as MSISDN, cast(strftime(createddtm, '%Y%m') as int) as BILL_PERIOD, cast(year(createddtm) as int) as BILL_PERIOD_YR,
+    cast(month(createddtm) as int) as BILL_PERIOD_MO, L3 as BILL_STATUS, {_MONTH} as BILL_STATUS_START, last_day(createddtm) as BILL_STATUS_END,
+    'Z' as HOME_ZONE, L1 as ZONE_NAME, {_MONTH} as RATE_PLAN_START, last_day(createddtm) as RATE_PLAN_END,
+    cast(day(last_day(createddtm)) as int) as ACTIVE_DAYS_IN_PLAN, 1.0::double as PRORATE_FACTOR, report as BILL_PKT_KB,
+    report * 0.5::double as BILL_PKT_PRICE, report * 0.5::double as BILL_TOTAL_TRAFFIC_CHARGES from location_history"""))
+
+
+def _stored_eng(t: FleetTables) -> DataFrame:
+    """Two overlapping weekly runs into one table, the first of them twice."""
+    spark = t.sensor.sparkSession
+    path = shared_folder(spark, "report-eng")
+    for run_time in (RUN_BEFORE, RUN_BEFORE, RUN_TIME):
+        jobs.run_weekly_eng(t, path, run_time, **_TECH_ARGS)
+    return read_report(spark, path, REPORT_ENG)
+
+
+def _window_of(window) -> tuple[str, str]:
+    return tuple(day.isoformat() for day in window)
+
+
+_W1, _W2 = _window_of(readers.eng_window(RUN_BEFORE)), _window_of(readers.eng_window(RUN_TIME))
+_ENG_FIRST = report_sql.eng_report(*_W1, RUN_BEFORE)
+_ENG_SECOND = report_sql.new_rows(report_sql.eng_report(*_W2, RUN_TIME), "(select * from first_run)")
+_ENG_STORED = f"first_run as (select * from {_ENG_FIRST}), stored as (select * from first_run union all select * from {_ENG_SECOND})"
+register("eng_report_stored", _stored_eng, query(f"{_ENG_STORED} select * from stored"))
+register("eng_report_read", lambda t: readers.read_eng(_stored_eng(t), RUN_TIME),
+         query(f"{_ENG_STORED} {report_sql.read_eng('stored', _W2[0])}"))
+register("eng_report_read_country", lambda t: readers.read_eng(_stored_eng(t), RUN_TIME, COUNTRY),
+         query(f"{_ENG_STORED} {report_sql.read_eng('stored', _W2[0], COUNTRY)}"))
+register("eng_report_rows_per_start", lambda t: readers.rows_per_start(_stored_eng(t)),
+         query(f"{_ENG_STORED} select StartDate, count(*) as rows from stored group by StartDate"))
+
+
+def _stored_tech(t: FleetTables) -> DataFrame:
+    """Two weekly runs: the second replaces the whole table."""
+    spark = t.sensor.sparkSession
+    path = shared_folder(spark, "report-tech")
+    for run_time in (RUN_BEFORE, TECH_RUN_TIME):
+        jobs.run_weekly_tech(t, path, run_time, **_TECH_ARGS)
+    return readers.read_tech(read_report(spark, path, REPORT_TECH), TECH_RUN_TIME)
+
+
+def _refreshed_tech(t: FleetTables, country: str) -> DataFrame:
+    """One country loaded once although asked for twice, then all countries over it."""
+    path = shared_folder(t.sensor.sparkSession, "report-tech")
+    for _ in range(2):
+        shown = jobs.refreshed_tech(t, path, TECH_RUN_TIME, COUNTRY, **_TECH_ARGS)
+    return shown if country == COUNTRY else jobs.refreshed_tech(t, path, TECH_RUN_TIME, country, **_TECH_ARGS)
+
+
+_W3 = _window_of(readers.tech_window(TECH_RUN_TIME))
+register("tech_report_stored", lambda t: doubles(_stored_tech(t)),
+         report_sql.statement(report_sql.read_tech(report_sql.tech_report(*_W3), *_W3, 1)))
+register("tech_report_refreshed", lambda t: doubles(_refreshed_tech(t, "All")),
+         report_sql.statement(report_sql.read_tech(report_sql.tech_report(*_W3), *_W3, 0)))
+register("tech_report_refreshed_country", lambda t: doubles(_refreshed_tech(t, COUNTRY)),
+         report_sql.statement(report_sql.read_tech(report_sql.tech_report(*_W3, country=COUNTRY), *_W3, 0, COUNTRY)))

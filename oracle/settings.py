@@ -13,7 +13,9 @@ from coldtrail.limits import Limits
 START, END = "2024-01-01", "2024-01-31"
 WEEK_START, WEEK_END = "2024-01-21", "2024-01-28"
 LAST_DAY = "2024-01-30"
-RUN_TIME = "2024-01-27 06:30:00"
+# two engineering runs a week apart (their windows overlap by a day) and one technician run
+RUN_BEFORE, RUN_TIME = "2024-01-20 06:30:00", "2024-01-27 06:30:00"
+TECH_RUN_TIME = "2024-01-29 06:30:00"
 EXCLUDED = "NATION_0"
 COUNTRY = "NATION_7"
 
