@@ -30,6 +30,10 @@ def session():
     return spark
 
 
+def explained(frame) -> str:
+    return frame.sparkSession._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+
+
 def duck(folder: str):
     import duckdb
 
