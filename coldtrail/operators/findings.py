@@ -59,14 +59,18 @@ def class_matches(is_solar: Column) -> Column:
     return only.isNull() | (only == F.when(is_solar, "S").otherwise("M"))
 
 
-def render(rows: DataFrame, device_group: DataFrame, base: LinkBase = DEFAULT_BASE) -> DataFrame:
-    """Gate findings by device class and write their chart links."""
-    classed = with_class(rows, device_group).where(class_matches(F.col("is_solar")))
+def render_classed(rows: DataFrame, base: LinkBase = DEFAULT_BASE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Gate findings that have ``is_solar`` by device class, and write their chart links."""
+    classed = rows.where(class_matches(F.col("is_solar")))
     args = (F.col("fridgeid"), F.col("is_solar"))
     span = (F.col("link_from"), F.col("link_to"), F.col("link_slack"))
     kind = F.col("link_kind")
     device, errors = link_range(*args, *span, base), link_errors(*args, F.col("link_codes"), *span, base)
     return classed.select(
-        *ENG_COLUMNS[:-2],
+        *ENG_COLUMNS[:-2], *carry,
         F.when(kind == ERROR_LINK, errors).otherwise(device).alias("link"),
         F.when(kind == BOTH_LINKS, errors).alias("Glink"))
+
+
+def render(rows: DataFrame, device_group: DataFrame, base: LinkBase = DEFAULT_BASE) -> DataFrame:
+    return render_classed(with_class(rows, device_group), base)

@@ -13,15 +13,14 @@ from ..functions.timebucket import as_datetime, ts_lit, window_days
 from ..limits import Limits
 from ..operators import eng
 from ..operators.edges import charge_frame, edge_power, trip_frames
-from ..operators.findings import render
+from ..operators.findings import render_classed
 from ..schema import REPORT_ENG
 from ..sources.tables import FleetTables
 from .fleet import ALL, EXCLUDED_COUNTRY, eng_location, fleet
 
 
-def eng_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits(),
-                 base: LinkBase = DEFAULT_BASE) -> DataFrame:
-    """All detectors of the report; only some follow the caller's interval."""
+def eng_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+    """All detectors of the report, unrendered; only some follow the caller's interval."""
     edges = edge_power(t.sensor, start, end, [*trip_frames(limits), charge_frame(limits)])
     parts = [
         eng.no_door_openings(t, start, end, "Week", limits),
@@ -35,16 +34,17 @@ def eng_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limi
         eng.failed_starts(t, start, end, "Week", limits),
         eng.low_charge(t, start, end, interval, limits, edges),
     ]
-    return render(reduce(DataFrame.unionByName, parts), t.device_group, base)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def eng_report(t: FleetTables, start, end, country: str = ALL, interval: str = "Day", *, run_time: dt.datetime | str,
                limits: Limits = Limits(), excluded: str = EXCLUDED_COUNTRY, base: LinkBase = DEFAULT_BASE) -> DataFrame:
     """Report rows before the insert guard."""
-    found = eng_findings(t, start, end, interval, limits, base)
-    devices = fleet(t, country, excluded)
+    devices = fleet(t, country, excluded).withColumn("is_solar", F.col("fridgeType") == "S")
+    found = render_classed(eng_findings(t, start, end, interval, limits).join(devices, "fridgeid"), base,
+                           carry=("FridgeShortSN", "fridgeType"))
     place = eng_location(t, excluded).select("fridgeid", "country", "L1", "L3")
-    rows = found.join(devices, "fridgeid").join(place, "fridgeid", "left")
+    rows = found.join(place, "fridgeid", "left")
     columns = {
         "CreatedDtm": ts_lit(run_time), "Country": F.col("country"),
         "StartDate": F.lit(as_datetime(start).date()), "EndDate": F.lit(as_datetime(end).date()),

@@ -25,32 +25,42 @@ def elsewhere(country: Column, excluded: str) -> Column:
     return ~same_text(country, excluded)
 
 
-def _no_freezers(rows: DataFrame, t: FleetTables) -> DataFrame:
-    freezers = device_flags(t.device_group).where("is_freezer").select("fridgeid")
-    return rows.join(freezers, "fridgeid", "left_anti")
+def _flagged(rows: DataFrame, t: FleetTables) -> DataFrame:
+    """Devices that are no freezers, with their class."""
+    flagged = rows.join(device_flags(t.device_group), "fridgeid", "left").where("not coalesce(is_freezer, false)")
+    return flagged.withColumn("fridgeType", F.expr("if(is_solar, 'S', 'M')")).drop("is_solar", "is_freezer")
 
 
-def eng_location(t: FleetTables, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
-    """Newest place outside the excluded country: filtered before ranking."""
-    return latest_location(_no_freezers(t.location_history.where(elsewhere(F.col("country"), excluded)), t))
+def _named(rows: DataFrame, t: FleetTables) -> DataFrame:
+    """Add the device record; ``device_id`` is NULL where there is none."""
+    return rows.join(t.device.select("fridgeid", F.col("fridgeid").alias("device_id"), "FridgeShortSN"), "fridgeid", "left")
 
 
-def _classed(rows: DataFrame, t: FleetTables) -> DataFrame:
-    solar = device_flags(t.device_group).where("is_solar").select("fridgeid", F.lit("S").alias("solar"))
-    return rows.join(solar, "fridgeid", "left").withColumn("fridgeType", F.coalesce("solar", F.lit("M"))).drop("solar")
+def eng_location(t: FleetTables, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
+    """Newest place outside the excluded country: filtered before ranking."""
+    newest = latest_location(t.location_history.where(elsewhere(F.col("country"), excluded)))
+    return _flagged(newest, t).select("fridgeid", "createddtm", *PLACE)
 
 
-def fleet(t: FleetTables, country: str = ALL, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
+def placed_fleet(t: FleetTables, country: str = ALL, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
     """Devices by their latest place: all but one country, or one country; no freezers."""
     country = country.strip()
     place = F.col("country")
     chosen = elsewhere(place, excluded) if country.lower() == ALL.lower() else same_text(place, country)
-    rows = latest_location(t.location_history).where(chosen).select("fridgeid")
-    return _classed(_no_freezers(rows, t), t).join(t.device, "fridgeid", "left").select(
-        "fridgeid", "FridgeShortSN", "fridgeType")
+    return _named(_flagged(latest_location(t.location_history).where(chosen), t), t).select(
+        "fridgeid", "device_id", "FridgeShortSN", "fridgeType", *PLACE)
+
+
+def fleet(t: FleetTables, country: str = ALL, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
+    return placed_fleet(t, country, excluded).select("fridgeid", "FridgeShortSN", "fridgeType")
 
 
 def history_fleet(t: FleetTables, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
     """Older choice: every device that ever stood outside the excluded country."""
     rows = t.location_history.where(elsewhere(F.col("country"), excluded)).select("fridgeid").distinct()
-    return _classed(_no_freezers(rows, t), t).select("fridgeid", "fridgeType")
+    return _flagged(rows, t)
+
+
+def placed_history_fleet(t: FleetTables, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
+    placed = history_fleet(t, excluded).join(latest_location(t.location_history), "fridgeid", "left")
+    return _named(placed, t).select("fridgeid", "device_id", "FridgeShortSN", "fridgeType", *PLACE)

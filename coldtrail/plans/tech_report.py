@@ -11,12 +11,12 @@ from ..functions.links import DEFAULT_BASE, LinkBase, link_plain, link_range
 from ..functions.timebucket import as_datetime, days_hours, epoch, epoch_of, ts_lit, window_days
 from ..limits import Limits
 from ..operators import tech
-from ..operators.findings import TECH_COLUMNS, with_class
+from ..operators.findings import TECH_COLUMNS
 from ..operators.profile import fleet_profile
 from ..operators.runs import last_compressor_run
 from ..schema import REPORT_TECH
 from ..sources.tables import FleetTables, between, readings
-from .fleet import ALL, EXCLUDED_COUNTRY, fleet, history_fleet, latest_location
+from .fleet import ALL, EXCLUDED_COUNTRY, placed_fleet, placed_history_fleet
 from .suppress import clear_offline_columns, only_missing_data_when_scarce, suppress
 
 # Fixed value: chart slack of the weekly link in seconds.
@@ -111,11 +111,11 @@ def event_findings(t: FleetTables, start, end, limits: Limits) -> DataFrame:
 
 def tech_findings(t: FleetTables, devices: DataFrame, start, end, rules: str = "v6", limits: Limits = Limits(),
                   intended_precedence: bool = False) -> DataFrame:
-    """Gated and suppressed findings of the listed devices, each with its device's profile."""
+    """Gated and suppressed findings of the listed devices, each with its device's columns and state."""
     chosen = RULE_SETS[rules]
     window = tech.Window(start, end)
     want = tech.needed_counters(chosen.detectors, limits, window) | _state_counters(chosen)
-    profile = fleet_profile(devices.select("fridgeid", "fridgeType"), t, start, end, want, limits)
+    profile = fleet_profile(devices, t, start, end, want, limits)
     # a device's counter findings go out with its first event finding, or alone
     events = event_findings(t, start, end, limits).selectExpr(
         "fridgeid", f"struct({', '.join(TECH_COLUMNS[1:])}, only_class) as event",
@@ -124,7 +124,7 @@ def tech_findings(t: FleetTables, devices: DataFrame, start, end, rules: str = "
     counted = tech.rule_findings(chosen.detectors, limits, window)
     profile = profile.join(events, "fridgeid", "left").withColumn("counted", counted)
     found = "if(nth is null, counted, if(nth = 1, array_append(counted, event), array(event)))"
-    rows = profile.select("fridgeid", "fridgeType", "last_time", *state, F.expr(f"inline({found})"))
+    rows = profile.select(*devices.columns, "last_time", *state, F.expr(f"inline({found})"))
     gated = rows.where(F.col("only_class").isNull() | (F.col("only_class") == F.col("fridgeType"))).drop("only_class")
     return suppress(gated, chosen.suppression, intended_precedence)
 
@@ -133,14 +133,13 @@ def tech_report(t: FleetTables, start, end, country: str = ALL, *, rules: str =
                 excluded: str = EXCLUDED_COUNTRY, base: LinkBase = DEFAULT_BASE,
                 intended_precedence: bool = False) -> DataFrame:
     chosen = RULE_SETS[rules]
-    devices = fleet(t, country, excluded) if chosen.by_country else history_fleet(t, excluded)
+    devices = placed_fleet(t, country, excluded) if chosen.by_country else placed_history_fleet(t, excluded)
     found = tech_findings(t, devices, start, end, rules, limits, intended_precedence)
     runs = last_compressor_run(t.sensor, start, end, limits)
-    place = latest_location(t.location_history).drop("createddtm")
-    rows = (
-        found.join(with_class(t.device, t.device_group).withColumn("device_id", F.col("fridgeid")), "fridgeid", "left")
-        .join(place, "fridgeid", "left").join(runs, "fridgeid", "left").join(seen_before(t, devices, start, end), "fridgeid", "left"))
-    device, solar = F.col("device_id"), F.coalesce("is_solar", F.lit(False))
+    rows = found.join(runs, "fridgeid", "left").join(seen_before(t, devices, start, end), "fridgeid", "left")
+    # class and link belong to the device record, as does the reported id
+    device = F.col("device_id")
+    solar = device.isNotNull() & (F.col("fridgeType") == "S")
     link = link_range(device, solar, ts_lit(start), ts_lit(end), SLACK, base) if chosen.ranged_link else link_plain(
         device, solar, base)
     columns = {

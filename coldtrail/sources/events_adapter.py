@@ -29,30 +29,29 @@ ERROR_CODES = (
     "6181", "618B", "E0A1", "4406", "6402", "5404", "6782", "6784", "6301", "630D",
 )
 
-_K = "cast(get_json_object(props, '$.k') as int)"
-# Sensor columns as expressions over one event.
+# Sensor columns as expressions over one event and the number ``k`` in its properties.
 DOUBLES = {
     "EVLN": "if(event_id % 11 = 0, null, value * 4)",
-    "EHZLN": f"{_K} * 0.3d + 40",
+    "EHZLN": "k * 0.3d + 40",
     "EWCP2": "if(event_id % 5 = 0, 0.5d, value * 12)",
     "EWCP": "value * 2",
     "EWDCA": "value",
     "TVCTOPCTL": "if(event_id % 6 = 0, null, value / 10)",
-    "TVCBOT": f"{_K} / 10d",
-    "TAMDAQ": f"if(event_id % 9 = 0, null, {_K} * 0.5d - 2)",
-    "TICMCTL": f"if(event_id % 8 = 0, null, {_K} * 0.1d)",
-    "TICBKCTL": f"if(event_id % 10 = 0, null, {_K} * 0.2d)",
-    "CTBH": f"if(event_id % 4 = 1, null, {_K} * 1.5d)",
-    "EVDBAT": f"{_K} / 100d",
-    "ECDBAT": f"{_K} / 10d",
+    "TVCBOT": "k / 10d",
+    "TAMDAQ": "if(event_id % 9 = 0, null, k * 0.5d - 2)",
+    "TICMCTL": "if(event_id % 8 = 0, null, k * 0.1d)",
+    "TICBKCTL": "if(event_id % 10 = 0, null, k * 0.2d)",
+    "CTBH": "if(event_id % 4 = 1, null, k * 1.5d)",
+    "EVDBAT": "k / 100d",
+    "ECDBAT": "k / 10d",
     "TEVIN": "value - 20",
     "TCPDISCTL": "value + 20",
 }
 INTS = {
     "SCPX": "case event_type when 'click' then 1 when 'view' then 0 when 'purchase' then 6 when 'signup' then 2 end",
     "SCPS": "if(event_id % 7 = 0, 2000, 1000)",
-    "ICPS": f"{_K} % 3",
-    "SLNX": f"if(event_id % 4 = 0, null, {_K} % 2)",
+    "ICPS": "k % 3",
+    "SLNX": "if(event_id % 4 = 0, null, k % 2)",
     "SDXC": "if(event_type = 'signup' and event_id % 3 = 0, 1, 0)",
 }
 _SECOND = "date_trunc('second', cast(ts as timestamp) + interval 500 milliseconds)"
@@ -84,7 +83,9 @@ class EventFleet:
 
     @cached_property
     def sensor(self) -> DataFrame:
-        return self._events.selectExpr(
+        # parsed once per event, in a projection of its own
+        parsed = self._events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
+        return parsed.selectExpr(
             "user_id as fridgeid", f"{_SECOND} as measureddtm", "event_id as reading_id",
             *[f"cast({e} as double) as {name}" for name, e in DOUBLES.items()],
             *[f"cast({e} as int) as {name}" for name, e in INTS.items()])
