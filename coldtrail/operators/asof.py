@@ -20,7 +20,7 @@ def next_day_pairs(sensor: DataFrame, start, end, limits: Limits = Limits(), chu
     """
     after = limits.drain_after_s
     reach = limits.drain_minutes * 60 - after
-    chunk_s = chunk_s or max(4 * reach, 600)
+    chunk_s = chunk_s or max(2 * reach, 600)
     rows = keyed_readings(sensor, start, end, "ECDBAT")
     at, due = F.col("epoch"), F.col("epoch") + after
 

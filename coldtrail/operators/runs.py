@@ -10,7 +10,7 @@ from ..limits import Limits
 from ..sources.tables import keyed_readings
 from .timeline import spread, with_neighbours
 
-CHUNK_S = 3600
+CHUNK_S = 1800
 
 
 def last_compressor_run(sensor: DataFrame, start, end, limits: Limits = Limits()) -> DataFrame:
