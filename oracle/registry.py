@@ -238,10 +238,10 @@ register("chart_links", _chart_links, report_sql.statement(
     {error_link('measureddtm', f"timestamp '{END}'", 1200, code("'E0A1'"))} as errors from sensor"""))
 
 _FRAMES = [*trip_frames(LIMITS), charge_frame(LIMITS)]
-register("edge_power", lambda t: edge_power(t.sensor, START, END, _FRAMES), eng_sql.statement((
+register("edge_power", lambda t: _rounded(edge_power(t.sensor, START, END, _FRAMES), "avg_w", "avg_ambient"), eng_sql.statement((
     eng_sql.trip_ctes() + ", " + eng_sql.low_charge("Day")[0],
     " union all ".join(
-        f"select fridgeid, '{name}' as name, {at} as EventTime, ct as samples, watts as avg_w, ambient as avg_ambient from {cte}"
+        f"select fridgeid, '{name}' as name, {at} as EventTime, ct as samples, round(watts, 4) as avg_w, round(ambient, 4) as avg_ambient from {cte}"
         for name, at, cte in (("stop_trip", "edge_time", "stop_e"), ("start_trip", "edge_time", "start_e"),
                               ("charge", f"edge_time - interval {LIMITS.charge_settle_s} second", "off_e"))))))
 register("next_day_pairs", lambda t: next_day_pairs(t.sensor, START, END, LIMITS), tech_sql.statement(
@@ -250,12 +250,20 @@ register("last_door_opening", lambda t: eng.last_door_opening(t, END, LIMITS), r
     f"select fridgeid, max(measureddtm) as last_time from sensor where SDXC > 0 and measureddtm < timestamp '{END}' "
     f"and measureddtm >= timestamp '{END}' - interval {LIMITS.door_lookback_days} day group by fridgeid"))
 register("alarm_islands", lambda t: bucket_islands(error_rows(t.errors, START, END), "Day"), report_sql.statement(
-    f"""select fridgeid, island, count(*) as length from (select *, sum(g) over (partition by fridgeid order by b) as island from (
+    f"""select fridgeid, island, count(*) as length from (select *, cast(sum(g) over (partition by fridgeid order by b) as bigint) as island from (
     select *, case when gap is null or gap = 1 then 0 else 1 end as g from (
     select *, datediff('day', b, lead(b) over (partition by fridgeid order by b)) as gap from (
     select distinct fridgeid, date_trunc('day', measureddtm) as b from errors where {window('measureddtm')})))) group by all"""))
 
 
+_SUMS = {"TVCTOPCTL": "top_sum", "TVCBOT": "bottom_sum", "CTBH": "ctbh_sum"}
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    """Sums and averages to four places: engines add in different orders."""
+    return rows.withColumns({c: F.round(c, 4) for c in columns})
+
+
 def _profile_sql() -> str:
     volt = f"EVLN > {LIMITS.volt_min} and EVLN < {LIMITS.volt_max}"
     legacy = f"SLNX = 1 or (SLNX is null and EVLN > {LIMITS.legacy_volt_min} and EVLN < {LIMITS.volt_max})"
@@ -271,9 +279,9 @@ def _profile_sql() -> str:
     w = window("s.measureddtm")
     day = "date_trunc('day', s.measureddtm)"
     columns = [f"count({c}) as {c.lower()}_n" for c in ("SCPX", "EVLN", "TAMDAQ", "TVCTOPCTL", "TICMCTL", "TICBKCTL", "CTBH", "TVCBOT")]
-    columns += [f"sum(case when {sql} then 1 else 0 end) as {name}" for name, sql in counted.items()]
+    columns += [f"cast(sum(case when {sql} then 1 else 0 end) as bigint) as {name}" for name, sql in counted.items()]
     columns += [
-        "count(*) as n", "sum(TVCTOPCTL) as top_sum", "sum(TVCBOT) as bottom_sum", "sum(CTBH) as ctbh_sum", "max(EVDBAT) as battery_max",
+        "count(*) as n", *[f"round(sum({c}), 4) as {name}" for c, name in _SUMS.items()], "max(EVDBAT) as battery_max",
         "max(EWDCA) as pv_max", "max(measureddtm) as last_time", f"count(distinct {slot('measureddtm', 600)}) as slots",
         f"count(distinct case when {cold} then date_trunc('day', measureddtm) end) as low_days",
         f"count(distinct case when {counted['low_any']} then date_trunc('day', measureddtm) end) as low_any_days"]
@@ -286,7 +294,8 @@ def _profile_sql() -> str:
             f"(select fridgeid, {', '.join(columns)} from sensor where {window('measureddtm')} group by fridgeid) p")
 
 
-register("device_profile", lambda t: device_profile(t, START, END, set(counters(LIMITS)) | set(derived(LIMITS)), LIMITS).drop("last_key"),
+register("device_profile", lambda t: _rounded(
+    device_profile(t, START, END, set(counters(LIMITS)) | set(derived(LIMITS)), LIMITS).drop("last_key"), *_SUMS.values()),
          report_sql.statement(_profile_sql()))
 
 

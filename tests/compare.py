@@ -19,6 +19,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP", "date": "DATE",
+             "boolean": "BOOLEAN"}
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -69,11 +73,16 @@ def compare(spark, con, name, build, sql, folder):
     seconds = time.time() - began
     if sql is None:
         return None, len(got), seconds
+    kinds = {row[0]: row[1] for row in con.execute(f"describe {sql}").fetchall()}
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
     want = result.fetchall()
     if sorted(frame.columns) != sorted(columns):
         return f"columns {sorted(frame.columns)} != {sorted(columns)}", len(got), seconds
+    other = {f.name: (f.dataType.simpleString(), kinds[f.name]) for f in frame.schema
+             if SQL_TYPES.get(f.dataType.simpleString()) != kinds[f.name]}
+    if other:
+        return f"types {other}", len(got), seconds
     a, b = rows_of(frame.columns, got), rows_of(columns, want)
     if a != b:
         only_a = [r for r in a if r not in set(b)][:3]
