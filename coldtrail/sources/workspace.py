@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; local sessions may fall back to a temporary one."""
+    """A fresh folder under ``spark.checkpoint.dir``, else under the warehouse; the same rule for every master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="coldtrail-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: later jobs neither recompute them nor depend on an executor."""
+    spark, folder = frame.sparkSession, shared_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)

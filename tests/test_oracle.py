@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from oracle import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,12 +17,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, con, name):
-    error, _, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], FOLDER)
+    error, _, _ = compare(spark, con, name, registry.queries()[name], registry.oracle_sql()[name], FOLDER)
     assert error is None, error
 
 
