@@ -80,6 +80,10 @@ def _fixed(layout: Layout, get) -> Column:
     return F.array(*[_turn(F.lit(role), text) for role, text in texts])
 
 
+def _listed(entries: Column, layout: Layout) -> Column:
+    return F.transform(entries, lambda x: _turn(x[layout.role], x[layout.text]))
+
+
 def canonical_turns(records: DataFrame, id_column: str) -> DataFrame:
     """(id, layout, turns) of a table whose schema, without the id of nested records, is one of ``LAYOUTS``.
 
@@ -99,7 +103,7 @@ def canonical_turns(records: DataFrame, id_column: str) -> DataFrame:
     if layout.fixed:
         turns = _fixed(layout, F.col)
     else:
-        turns = F.transform(F.coalesce(F.col(layout.entries), F.array()), lambda x: _turn(x[layout.role], x[layout.text]))
+        turns = _listed(F.coalesce(F.col(layout.entries), F.array()), layout)
     return records.select(id_column, F.lit(layout.name).alias("layout"), turns.alias("turns"))
 
 
@@ -123,7 +127,7 @@ def canonical_json(records: DataFrame, id_column: str, json_column: str) -> Data
             found = _fixed(known, lambda field: F.try_variant_get("_v", f"$.{field}", "string"))
         else:
             listed = F.try_variant_get("_v", f"$.{known.entries}", f"array<struct<`{known.role}`:string,`{known.text}`:string>>")
-            found = F.transform(listed, lambda x, known=known: _turn(x[known.role], x[known.text]))
+            found = _listed(listed, known)
         layout, turns = F.when(match, F.lit(known.name)).otherwise(layout), F.when(match, found).otherwise(turns)
     return hashed.select(id_column, layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 

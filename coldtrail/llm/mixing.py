@@ -30,9 +30,9 @@ def rates(docs: DataFrame, source_column: str = "source", weights: dict[str, flo
     else:
         named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map(F.lit(""), F.lit(0.0))
         share = F.coalesce(F.element_at(named, F.coalesce(F.col("source"), F.lit(""))), F.lit(0.0)).cast("double")
-    whole = sizes.agg(F.sum("n").alias("_rows"), F.sum(share).alias("_shares"))  # one row
-    joined = sizes.withColumn("_share", share).join(F.broadcast(whole), F.lit(True))
-    return joined.select("source", "n", F.when(F.col("_shares") > 0, epochs * F.col("_rows") * F.col("_share") / F.col("_shares") / F.col("n")).otherwise(0.0).alias("rate"))
+    rows, shares = sizes.agg(F.sum("n"), F.sum(share)).first()
+    rate = epochs * F.lit(float(rows or 0)) * share / F.lit(float(shares)) / F.col("n") if shares else F.lit(0.0)
+    return sizes.select("source", "n", rate.alias("rate"))
 
 
 def poisson_cdf(rate: Column) -> Column:
