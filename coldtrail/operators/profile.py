@@ -19,10 +19,9 @@ from ..sources.tables import FleetTables, between
 
 SENSOR, SOLAR, PV = "sensor", "solar_sensor", "pv"
 LEVELS = (("slot", 600), ("hour", 3600), ("day", 86400))
-# Fixed value: 2016-01-01, keeps the order key of a reading within a long.
-ORDER_EPOCH = 1451606400
-ORDER_IDS = 1 << 32
-ORDER_KEY = f"((unix_seconds(measureddtm) - {ORDER_EPOCH}) * {ORDER_IDS} + pmod(reading_id, {ORDER_IDS}))"
+# Seconds and the whole id side by side; the factor exceeds the span of a long, so no id reaches into the seconds.
+ORDER_IDS = 10 ** 20
+ORDER_KEY = f"(cast(unix_seconds(measureddtm) as decimal(14,0)) * {ORDER_IDS}BD + cast(reading_id as decimal(20,0)))"
 
 
 @dataclass(frozen=True)

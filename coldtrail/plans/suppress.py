@@ -21,9 +21,9 @@ def _is(*names: str) -> str:
     return "Message in (" + ", ".join(f"'{name}'" for name in names) + ")"
 
 
-def _drop(rows: DataFrame, device_has: str, doomed: str, key: str = "fridgeid") -> DataFrame:
+def _drop(rows: DataFrame, device_has: str, doomed: str) -> DataFrame:
     """Delete ``doomed`` rows, where ``has`` says whether the device has a matching finding."""
-    flag = f"{key} is not null and max(coalesce({device_has}, false)) over (partition by {key}) as has"
+    flag = f"fridgeid is not null and max(coalesce({device_has}, false)) over (partition by fridgeid) as has"
     return rows.selectExpr("*", flag).where(f"not coalesce({doomed}, false)").drop("has")
 
 
@@ -76,6 +76,6 @@ def clear_offline_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.expr(f"if({_is(OFFLINE)}, null, {c})") for c in ("CTBH", "SLNX")})
 
 
-def only_missing_data_when_scarce(rows: DataFrame, key: str = "fridgeid") -> DataFrame:
-    """Devices with some data but less than one percent keep the missing-data finding alone."""
-    return _drop(rows, "DataRx > 0 and DataRx < 1", f"has and not {_is(MISSING_DATA)}", key)
+def only_missing_data_when_scarce(rows: DataFrame, listed: str = "true") -> DataFrame:
+    """Devices with some data but less than one percent keep the missing-data finding alone, if they are ``listed``."""
+    return _drop(rows, "DataRx > 0 and DataRx < 1", f"has and {listed} and not {_is(MISSING_DATA)}")

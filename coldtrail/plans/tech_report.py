@@ -86,13 +86,14 @@ def state_columns(rules: RuleSet, start, end, limits: Limits) -> list[str]:
 def seen_before(t: FleetTables, devices: DataFrame, start, end) -> DataFrame:
     """Last reading before the window of devices that are silent in it.
 
-    Only silent devices need history; where there is none, the history scan is
-    dropped at run time.
+    History is reduced to one row per device in the map tasks, before anything is
+    shuffled. The join is an inner one because Spark would push a semi-join below
+    the aggregation, in front of the raw readings.
     """
     active = readings(t.sensor, start, end).select("fridgeid").distinct()
-    silent = devices.select("fridgeid").join(active, "fridgeid", "left_anti")
-    past = between(t.sensor, None, start).select("fridgeid", "measureddtm")
-    return past.join(silent, "fridgeid", "left_semi").groupBy("fridgeid").agg(F.max("measureddtm").alias("past_time"))
+    silent = devices.select("fridgeid").distinct().join(active, "fridgeid", "left_anti")
+    past = between(t.sensor, None, start).groupBy("fridgeid").agg(F.max("measureddtm").alias("past_time"))
+    return past.join(silent, "fridgeid")
 
 
 def data_age(last_time: Column, end) -> Column:
@@ -137,6 +138,8 @@ def tech_report(t: FleetTables, start, end, country: str = ALL, *, rules: str =
     found = tech_findings(t, devices, start, end, rules, limits, intended_precedence)
     runs = last_compressor_run(t.sensor, start, end, limits)
     rows = found.join(runs, "fridgeid", "left").join(seen_before(t, devices, start, end), "fridgeid", "left")
+    if chosen.drop_scarce:
+        rows = only_missing_data_when_scarce(rows, "device_id is not null")
     # class and link belong to the device record, as does the reported id
     device = F.col("device_id")
     solar = device.isNotNull() & (F.col("fridgeType") == "S")
@@ -151,5 +154,4 @@ def tech_report(t: FleetTables, start, end, country: str = ALL, *, rules: str =
         "DataAge": data_age(F.coalesce("last_time", "past_time"), end), "Link": link,
     }
     report = rows.select(*[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in REPORT_TECH])
-    report = clear_offline_columns(report)
-    return only_missing_data_when_scarce(report, "FridgeId") if chosen.drop_scarce else report
+    return clear_offline_columns(report)

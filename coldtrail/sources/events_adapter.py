@@ -11,8 +11,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.timebucket import as_datetime
-
 # Declared so that building a plan reads no file.
 STAR_SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
@@ -60,22 +58,15 @@ _SECOND = "date_trunc('second', cast(ts as timestamp) + interval 500 millisecond
 class EventFleet:
     """The relations of :class:`~coldtrail.sources.tables.FleetTables`, planned on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str, since=None, until=None):
+    def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
-        self._since, self._until = since, until
 
     def _table(self, name: str) -> DataFrame:
         return self._spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{self._folder}/{name}.parquet")
 
     @cached_property
     def _events(self) -> DataFrame:
-        rows = self._table("events")
-        # one second of slack on the raw column reaches the scan; the rounded column alone would hide it
-        if self._since is not None:
-            rows = rows.where(f"ts >= timestamp_ntz '{as_datetime(self._since)}' - interval 1 second")
-        if self._until is not None:
-            rows = rows.where(f"ts < timestamp_ntz '{as_datetime(self._until)}' + interval 1 second")
-        return rows
+        return self._table("events")
 
     @cached_property
     def _users(self) -> DataFrame:
@@ -135,5 +126,5 @@ class EventFleet:
                         "if(fridgeid % 17 = 0, 'freezer', null)))) as GroupName")
 
 
-def fleet_from_events(spark: SparkSession, folder: str, since=None, until=None) -> EventFleet:
-    return EventFleet(spark, folder, since, until)
+def fleet_from_events(spark: SparkSession, folder: str) -> EventFleet:
+    return EventFleet(spark, folder)

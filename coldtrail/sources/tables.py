@@ -71,8 +71,14 @@ def _day(second: int) -> str:
     return (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=second)).date().isoformat()
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 def read_fleet(spark: SparkSession, root: str) -> FleetTables:
-    """All relations of a fleet stored under one root folder."""
+    """All relations of a fleet stored under one root folder. Days and weeks are cut in session time, which must be UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session time zone is {zone}; set spark.sql.session.timeZone to UTC")
     return FleetTables(
         sensor=read_series(spark, f"{root}/sensor", schema.SENSOR),
         errors=read_series(spark, f"{root}/errors", schema.ERRORS),

@@ -162,3 +162,22 @@ def test_sim_billing_has_the_declared_schema(spark, tmp_path):
     assert read_sim_billing(spark, path).columns == schema.SIM_BILLING.names
     with pytest.raises(ValueError):
         read_sim_billing(spark)
+
+
+def test_scarce_devices_keep_the_missing_data_finding_if_they_have_a_record(spark):
+    rows = spark.createDataFrame(
+        [(d, None if d == 2 else d, m, 0.5) for d in (1, 2) for m in (suppress.MISSING_DATA, suppress.FREQUENCY)], "fridgeid long, device_id long, Message string, DataRx double")
+    kept = suppress.only_missing_data_when_scarce(rows, "device_id is not null").collect()
+    assert sorted((r.fridgeid, r.Message) for r in kept) == [(1, suppress.MISSING_DATA), (2, suppress.FREQUENCY), (2, suppress.MISSING_DATA)]
+
+
+def test_reading_a_fleet_needs_a_utc_session(spark):
+    from coldtrail.sources.tables import read_fleet
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        with pytest.raises(ValueError, match="Paris"):
+            read_fleet(spark, "nowhere")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -100,3 +100,10 @@ def test_battery_drain_uses_the_worst_pair(spark):
     assert [r.fridgeid for r in tech.battery_drain(fleet, *WEEK).collect()] == [1]
     (pair,) = [r for r in tech.first_battery_pair(fleet, *WEEK).collect()]
     assert (pair.fridgeid, pair.startDtm, pair.endDtm, pair.battDiff) == (1, at(0), at(86400), -1.0)
+
+
+@pytest.mark.parametrize("old, new", [((1 << 32) - 1, 1 << 32), ((1 << 33) - 1, 1 << 33), (-1, (1 << 63) - 1)])
+def test_newest_holdover_by_id_within_a_second(spark, old, new):
+    rows = [reading(1, at(), CTBH=5) | {"reading_id": new}, reading(1, at(), CTBH=9) | {"reading_id": old}]
+    fleet = make_fleet(spark, sensor=rows, devices=[1])
+    assert [r.ctbh_last for r in device_profile(fleet, *WEEK, {"ctbh_last", "slots"}).collect()] == [5.0]
