@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from coldtrail.llm import chat, exact_dedup, html, lm, mixing, oracle, packing, quality, secrets, simhash, toxicity
+from coldtrail.llm import chat, conversation_repair, exact_dedup, filter_audit, html, lm, mixing, oracle, packing, quality, secrets, simhash, suffix_dedup, toxicity
 from coldtrail.llm.common import table
 
 #: The conversation that the chat query adds: texts that hold the look of control strings and of escapes.
@@ -69,6 +69,22 @@ def mixed_documents(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+def repeats_removed(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def filter_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return conversation_repair.repair_conversations(rows, present=F.col("present")).withColumn("repaired_sha256", F.sha2(whole, 256)).drop("turns")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scores,
     "op2_simhash": simhash_components,
@@ -80,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed_pieces,
     "op9_html_text": page_texts,
     "op10_source_mixing": mixed_documents,
+    "op11_suffix_dedup": repeats_removed,
+    "op12_filter_audit": filter_steps,
+    "op13_conversation_repair": repaired_conversations,
     "pipeline": corpus_pipeline.run,
 }
 
