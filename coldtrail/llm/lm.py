@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldtrail.llm.common import chunks, remainder, split_words, whole_text
 from coldtrail.sources.workspace import stored
 
 END, START = b"\n", b"\t"  # no word holds these
-PROBES = 8  # bits set per entry and level
+PROBES, BITS = 6, 20  # bits set per entry and level, all in one 64-bit word, and bits of the filter for each
 PRIOR = 300.0  # weight of the unigram distribution beside a history's counts
 ADD = 0.1
 HEAVY = 1 << 20  # words of at least 1/HEAVY of the tokens: at most that many, broadcast with their exact counts
-GROUP_TOKENS = 1 << 23
-SUBS = 3  # each group of last words is built in 2**SUBS segments
+SEGMENT_BYTES = 6 << 20  # bytes of text per segment of the filter
 LEVELS = 48
-LIMIT = 512 << 20  # bytes of filter broadcast at a time
+LIMIT = 96 << 20  # bytes of filter that are broadcast; a larger one stays in its segments
 TEXT_BYTES = 4_000_000
-LOW = np.uint64(0xFFFF)
+COUNT_BYTES = 8_000_000  # of text whose n-grams are counted together before the shuffle
+SENT_BYTES = 500_000  # of text that ask a filter in segments together
+MERGED = 1 << 22  # entries a segment gathers before it adds them up
 GOLD, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+ONE = np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,211 +42,304 @@ def _salt(level: int) -> np.uint64:
     return np.uint64(level * int(GOLD) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def word_key(word: bytes) -> int:
+    """63 bits of the word's hash; the lowest bit is zero, that of a bigram's key one."""
+    return xxhash.xxh64_intdigest(word) & ~1
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].tolist()
+    raw = words.buffers()[2].to_pybytes() if len(words) else b""
+    return np.fromiter(map(xxhash.xxh64_intdigest, [raw[a:b] for a, b in zip(edges, edges[1:])]), np.uint64, len(words)) & ~ONE
+
+
+def bigram_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _mix(_mix(before) + words * GOLD) | ONE
 
 
 @dataclass
 class Tokens:
-    """Tokens of a chunk of texts: hash of each token and of the one before it, and where each text begins."""
+    """Tokens of a chunk of texts: keys of its distinct words (then end and start), the number of each token's word and of
+    the one before it, and where each text begins."""
 
-    hashes: np.ndarray
+    names: np.ndarray
+    words: np.ndarray
     before: np.ndarray
     begins: np.ndarray
     counts: np.ndarray
 
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams as numbers of the word before and the word, and which of them each token ends."""
+        base, n = np.uint64(len(self.names)), len(self.words)
+        codes = self.before.astype(np.uint64) * base + self.words.astype(np.uint64)
+        low = np.uint64(max(1, n.bit_length()))
+        if int(base) ** 2 << int(low) < 1 << 64:  # the token's place rides in the lower bits through one sort
+            both = np.sort(codes << low | np.arange(n, dtype=np.uint64))
+            place, codes = (both & ((ONE << low) - ONE)).astype(np.int64), both >> low
+        else:
+            place = np.argsort(codes)
+            codes = codes[place]
+        new = np.ones(n, bool)
+        new[1:] = codes[1:] != codes[:-1]
+        number = np.empty(n, np.int64)
+        number[place] = np.cumsum(new) - 1
+        distinct = codes[new]
+        return (distinct // base).astype(np.int64), (distinct % base).astype(np.int64), number
+
 
 def tokens(texts: pa.Array) -> Tokens:
     words, offsets = split_words(texts, lower=True)
     coded = words.dictionary_encode()
-    table = np.fromiter((_hash(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    n = np.diff(offsets)
+    size, n = len(coded.dictionary), np.diff(offsets)
+    names = np.append(word_keys(coded.dictionary), np.array([word_key(END), word_key(START)], np.uint64))
     begins = offsets[:-1] + np.arange(len(n))
-    hashes = np.empty(len(words) + len(n), np.uint64)
-    is_end = np.zeros(len(hashes), bool)
+    every = np.empty(len(words) + len(n), np.int64)
+    is_end = np.zeros(len(every), bool)
     is_end[begins + n] = True
-    hashes[is_end] = _hash(END)
-    hashes[~is_end] = table[coded.indices.to_numpy()]
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[begins] = _hash(START)
-    return Tokens(hashes, before, begins, n + 1)
+    every[is_end] = size
+    every[~is_end] = coded.indices.to_numpy()
+    before = np.empty_like(every)
+    before[1:] = every[:-1]
+    before[begins] = size + 1
+    return Tokens(names, every, before, begins, n + 1)
 
 
-def _keys(last: np.ndarray, mixed: np.ndarray, order: int, group_bits: int) -> np.ndarray:
-    """64-bit keys of n-grams: the group of the last word, then the n-gram's own hash to 48 bits, then its order."""
-    key = (mixed >> np.uint64(group_bits)) if group_bits else mixed
-    if group_bits:
-        key = key | (last >> np.uint64(64 - group_bits) << np.uint64(64 - group_bits))
-    return (key & ~LOW) | np.uint64(order)
-
-
-def unigram_keys(words: np.ndarray, group_bits: int) -> np.ndarray:
-    return _keys(words, _mix(words), 1, group_bits)
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Quantised counts: 1 for one, 2 for two and three, and so on by powers of two."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def bigram_keys(before: np.ndarray, words: np.ndarray, group_bits: int) -> np.ndarray:
-    return _keys(words, _mix(_mix(before) + words * GOLD), 2, group_bits)
+def _orders(keys: np.ndarray) -> np.ndarray:
+    return (keys & ONE).astype(np.int64)
 
 
-def _positions(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+def _marks(keys: np.ndarray, level: int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a segment of ``size`` words that holds the bits of a key at a level, and those bits."""
     seed = _mix(keys + _salt(level))
-    at, step = seed >> np.uint64(32), (seed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    for _ in range(PROBES):
-        yield (at * np.asarray(bits, np.uint64)) >> np.uint64(32)
-        at = (at + step) & np.uint64(0xFFFFFFFF)
-
-
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts: 1 for one, 2 for two and three, and so on by powers of two."""
-    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+    bits = np.zeros(len(keys), np.uint64)
+    for probe in range(PROBES):
+        bits |= ONE << ((seed >> np.uint64(6 * probe)) & np.uint64(63))
+    return ((seed >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32)).astype(np.int64), bits
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of one segment, and per order and level the entries and the sum of their counts (2 x LEVELS x 2)."""
     levels = np.minimum(_levels(counts), LEVELS - 1)
-    size = (int(levels.sum() * PROBES * 1.4427) // 64 + 1) * 64
-    marks = np.zeros(size, np.uint8)
+    words = np.zeros(int(levels.sum()) * BITS // 64 + 1, np.uint64)
     for level in range(1, int(levels.max()) + 1):
-        for at in _positions(keys[levels >= level], level, size):
-            marks[at.astype(np.int64)] = 1
+        np.bitwise_or.at(words, *_marks(keys[levels >= level], level, len(words)))
     stats = np.zeros((2, LEVELS, 2), np.int64)
-    order = (keys & LOW).astype(np.int64) - 1
-    np.add.at(stats[:, :, 0], (order, levels), 1)
-    np.add.at(stats[:, :, 1], (order, levels), counts)
-    return np.packbits(marks, bitorder="little").tobytes(), stats
+    np.add.at(stats[:, :, 0], (_orders(keys), levels), 1)
+    np.add.at(stats[:, :, 1], (_orders(keys), levels), counts)
+    return words.tobytes(), stats
 
 
 @dataclass
 class Filter:
-    """Segments ``first`` to ``last`` (exclusive) of the filter, their bits in one array."""
+    """Segments of the filter from ``first`` on, their bits in one array."""
 
     group_bits: int
     first: int
-    last: int
-    bits: np.ndarray
+    words: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
-    values: np.ndarray  # mean count of each order and level
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys that belong to these segments: levels are probed one after the other until one is missing."""
-        segment = (keys >> np.uint64(64 - self.group_bits - SUBS)).astype(np.int64) - self.first
-        start, size = self.starts[segment], self.sizes[segment].astype(np.uint64)
-        level, active = np.zeros(len(keys), np.int64), np.flatnonzero(size)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of sorted keys that belong to these segments: one level after the other is probed until one is missing."""
+        segment = segment_of(keys, self.group_bits) - self.first
+        level = np.zeros(len(keys), np.uint8)
+        active = np.flatnonzero(self.sizes[segment])
+        keys, start, size = keys[active], self.starts[segment[active]], self.sizes[segment[active]]
         for now in range(1, LEVELS):
-            alive, own = np.arange(len(active)), (keys[active], size[active], start[active])
-            seed = _mix(own[0] + _salt(now))
-            at, step = seed >> np.uint64(32), (seed & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-            for _ in range(PROBES):
-                place = ((at * own[1][alive]) >> np.uint64(32)).astype(np.int64) + own[2][alive]
-                hit = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                alive, at, step = alive[hit], at[hit], step[hit]
-                at = (at + step) & np.uint64(0xFFFFFFFF)
-            active = active[alive]
-            level[active] = now
-            if not len(active):
+            place, bits = _marks(keys, now, size)
+            hit = np.flatnonzero(self.words[start + place] & bits == bits)
+            if not len(hit):
                 break
-        return self.values[(keys & LOW).astype(np.int64) - 1, level]
+            active, keys, start, size = active[hit], keys[hit], start[hit], size[hit]
+            level[active] = now
+        return level
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): tokens of the texts by 64-bit word hash, counted per chunk before the shuffle."""
+def segment_of(keys: np.ndarray, group_bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - group_bits)).astype(np.int64) if group_bits else np.zeros(len(keys), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, limit=TEXT_BYTES):
-            word, n = np.unique(tokens(part.column(0)).hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[new], np.add.reduceat(n[order], new)
+
+
+def _dealt(keys: np.ndarray, group_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys, the segments among them, and where each begins (one entry more)."""
+    order = np.argsort(keys)
+    segment = segment_of(keys[order], group_bits)
+    edges = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(segment))
+    return order, segment[edges[:-1]], edges
 
 
 def filter_segments(docs: DataFrame, group_bits: int) -> DataFrame:
-    """(segment, bits, stats): one row per segment of the filter over unigrams and bigrams of the texts.
+    """(segment, bits, stats, words, times): one row per segment of the filter over unigrams and bigrams of the texts, with the
+    exact counts of the segment's words.
 
-    A chunk's n-grams are counted first; each segment then receives packed arrays of keys (six bytes) and counts. A
-    segment holds a share of the n-grams fixed by ``group_bits``, so its size does not follow the corpus.
+    A chunk's n-grams are counted first; each segment then receives packed arrays of keys and counts and adds them up as
+    they come. Segments are cut from the hash of the n-gram, so their number follows the corpus and their size does
+    not, whatever words are frequent.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, limit=2 * TEXT_BYTES):
+        for part in chunks(batches, limit=COUNT_BYTES):
             t = tokens(part.column(0))
-            starts = np.full(len(t.begins), _hash(START), np.uint64)
-            keys, n = np.unique(np.concatenate([
-                unigram_keys(t.hashes, group_bits), unigram_keys(starts, group_bits), bigram_keys(t.before, t.hashes, group_bits)]), return_counts=True)
-            segment = (keys >> np.uint64(64 - group_bits - SUBS)).astype(np.int64)
-            edges = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), len(segment))
-            order = (keys & LOW).astype(np.uint8)
-            packed = [keys[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for a, b in zip(edges, edges[1:])]
+            times = np.bincount(t.words, minlength=len(t.names))
+            times[-1] = len(t.begins)
+            before, word, number = t.bigrams()
+            keys = np.concatenate([t.names, bigram_keys(t.names[before], t.names[word])])
+            counts = np.concatenate([times, np.bincount(number, minlength=len(word))])
+            order, segments, edges = _dealt(keys, group_bits)
+            keys, counts = keys[order], counts[order].astype("<u4")
             yield pa.RecordBatch.from_arrays([
-                pa.array(segment[edges[:-1]]), pa.array(packed, pa.binary()), pa.array([order[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-                pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["segment", "keys", "orders", "counts"])
-
-    def build(group: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for key, order, count in zip(*(group.column(c).to_pylist() for c in ("keys", "orders", "counts"))):
-            wide = np.zeros((len(order), 8), np.uint8)
-            wide[:, 2:] = np.frombuffer(key, np.uint8).reshape(-1, 6)
-            keys.append(wide.view(np.uint64).ravel() | np.frombuffer(order, np.uint8).astype(np.uint64))
-            counts.append(np.frombuffer(count, "<u4").astype(np.int64))
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        bits, stats = build_segment(every, np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64))
-        return pa.table({"segment": group.column("segment").slice(0, 1), "bits": pa.array([bits], pa.binary()), "stats": pa.array([stats.ravel()], pa.list_(pa.int64()))})
-
-    gathered = docs.select("text").mapInArrow(gather, "segment bigint, keys binary, orders binary, counts binary")
-    return gathered.groupBy("segment").applyInArrow(build, "segment bigint, bits binary, stats array<bigint>")
-
-
-def filters(segments: DataFrame, group_bits: int, limit: int = LIMIT) -> Iterator[Filter]:
-    """The whole filter in parts of at most ``limit`` bytes (or one group of segments), each to be broadcast for one pass."""
-    sizes = {r["segment"]: r["size"] for r in segments.select("segment", F.octet_length("bits").alias("size")).collect()}
-    totals = segments.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+                pa.array(segments), pa.array([keys[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                pa.array([counts[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["segment", "keys", "counts"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, waiting, segment = [], [], 0, None
+        for batch in batches:
+            segment = batch.column("segment").slice(0, 1)
+            for key, count in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                keys.append(np.frombuffer(key, np.uint64))
+                counts.append(np.frombuffer(count, "<u4").astype(np.int64))
+                waiting += len(keys[-1])
+                if waiting > MERGED:
+                    keys, counts = ([x] for x in _summed(keys, counts))
+                    waiting = 0
+        every, total = _summed(keys, counts)
+        bits, stats = build_segment(every, total)
+        words = _orders(every) == 0
+        yield pa.RecordBatch.from_arrays([
+            segment, pa.array([bits], pa.binary()), pa.array([stats.ravel()], pa.list_(pa.int64())), pa.array([every[words].view(np.int64)], pa.list_(pa.int64())),
+            pa.array([total[words]], pa.list_(pa.int64()))], ["segment", "bits", "stats", "words", "times"])
+
+    gathered = docs.select("text").mapInArrow(gather, "segment bigint, keys binary, counts binary")
+    return gathered.groupBy("segment").applyInArrow(build, "segment bigint, bits binary, stats array<bigint>, words array<bigint>, times array<bigint>")
+
+
+def mean_counts(segments: DataFrame) -> np.ndarray:
+    """Mean count of each order and level."""
     stats = np.zeros(4 * LEVELS)
-    for row in totals:
+    for row in segments.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
         stats[row["pos"]] = row["n"]
     stats = stats.reshape(2, LEVELS, 2)
-    values = stats[:, :, 1] / np.maximum(stats[:, :, 0], 1)
-    first = 0
-    while first < 1 << (group_bits + SUBS):
-        last, total = first, 0
-        while last < 1 << (group_bits + SUBS):
-            more = sum(sizes.get(s, 0) for s in range(last, last + (1 << SUBS)))
-            if total and total + more > limit:
-                break
-            total, last = total + more, last + (1 << SUBS)
-        bits, starts, counts = np.zeros(total, np.uint8), np.zeros(last - first, np.int64), np.zeros(last - first, np.int64)
-        at = 0
-        for row in segments.where(F.col("segment").between(first, last - 1)).select("segment", "bits").toLocalIterator():
-            k, raw = row["segment"] - first, row["bits"]
-            bits[at: at + len(raw)] = np.frombuffer(raw, np.uint8)
-            starts[k], counts[k] = at * 8, len(raw) * 8
-            at += len(raw)
-        yield Filter(group_bits, first, last, bits, starts, counts, values)
-        first = last
-
-
-def _score(t: Tokens, part: Filter, total: float) -> np.ndarray:
-    """Per text, log10 P(word | word before) summed as far as these segments tell it: the numerators of words of their
-    groups, and the denominators of histories of their groups."""
-    low, high = part.first >> SUBS, part.last >> SUBS
-
-    def probed(keys: np.ndarray) -> np.ndarray:
-        distinct, place = np.unique(keys, return_inverse=True)
-        return part.counts(distinct)[place]
-
-    def mine(words: np.ndarray) -> np.ndarray:
-        if not part.group_bits:
-            return np.ones(len(words), bool)
-        group = (words >> np.uint64(64 - part.group_bits)).astype(np.int64)
-        return (group >= low) & (group < high)
-
-    value, own = np.zeros(len(t.hashes)), mine(t.hashes)
-    word = t.hashes[own]
-    base = (probed(unigram_keys(word, part.group_bits)) + ADD) / total
-    value[own] = np.log10(probed(bigram_keys(t.before[own], word, part.group_bits)) + PRIOR * base)
-    own = mine(t.before)
-    value[own] -= np.log10(probed(unigram_keys(t.before[own], part.group_bits)) + PRIOR)
-    return np.add.reduceat(value, t.begins)
+    return stats[:, :, 1] / np.maximum(stats[:, :, 0], 1)
+
+
+def whole_filter(segments: DataFrame, group_bits: int, size: int) -> Filter:
+    """All segments in one array of ``size`` bytes."""
+    words, starts, sizes, at = np.zeros(size // 8, np.uint64), np.zeros(1 << group_bits, np.int64), np.zeros(1 << group_bits, np.int64), 0
+    for row in segments.select("segment", "bits").toLocalIterator():
+        part = np.frombuffer(row["bits"], np.uint64)
+        words[at: at + len(part)] = part
+        starts[row["segment"]], sizes[row["segment"]] = at, len(part)
+        at += len(part)
+    return Filter(group_bits, 0, words, starts, sizes)
+
+
+def text_scores(t: Tokens, asked: Callable[[np.ndarray], np.ndarray], values: np.ndarray, total: float) -> np.ndarray:
+    """Per text, log10 P(word | word before) summed; ``asked`` gives the levels of keys. Each distinct n-gram is asked for once."""
+    before, word, number = t.bigrams()
+    keys = np.concatenate([t.names, bigram_keys(t.names[before], t.names[word])])
+    counts = values[_orders(keys), asked(keys)]
+    one, two = counts[:len(t.names)], counts[len(t.names):]
+    value = np.log10(two + PRIOR * (one[word] + ADD) / total) - np.log10(one[before] + PRIOR)
+    return np.add.reduceat(value[number], t.begins)
+
+
+@contextmanager
+def _rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def asked_segments(rows: DataFrame, segments: DataFrame, group_bits: int, values: np.ndarray, total: float) -> DataFrame:
+    """(rid, score): the texts of ``rows`` (rid, text) scored by a filter too large for one worker. Each small chunk sends its
+    distinct keys to the segments that hold them and gets levels back, in one shuffle each way, so that work and memory
+    follow the texts and no worker holds more than a segment."""
+    spark = rows.sparkSession
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for part in chunks(batches, limit=SENT_BYTES):
+            t = tokens(part.column(1))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([chunk]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([t.names.tobytes()], pa.binary()),
+                pa.array([t.words.astype(np.int32).tobytes()], pa.binary()), pa.array([t.counts.astype(np.int32).tobytes()], pa.binary())],
+                ["chunk", "rids", "names", "words", "counts"])
+            chunk += 1
+
+    def opened(names: bytes, words: bytes, counts: bytes) -> Tokens:
+        every, n = np.frombuffer(words, np.int32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64)
+        begins, keys = np.cumsum(n) - n, np.frombuffer(names, np.uint64)
+        before = np.empty_like(every)
+        before[1:] = every[:-1]
+        before[begins] = len(keys) - 1
+        return Tokens(keys, every, before, begins, n)
+
+    def keys_of(t: Tokens) -> np.ndarray:
+        before, word, _ = t.bigrams()
+        return np.concatenate([t.names, bigram_keys(t.names[before], t.names[word])])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, *packed in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                keys = keys_of(opened(*packed))
+                order, found, edges = _dealt(keys, group_bits)
+                keys = keys[order]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(found), pa.array([chunk] * len(found), pa.int64()), pa.array([keys[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["segment", "chunk", "body"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None  # rows come by segment, its bits first
+        for batch in batches:
+            answers = []
+            for segment, chunk, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk is None:
+                    held = np.frombuffer(body, np.uint64)
+                    part = Filter(group_bits, segment, held, np.zeros(1, np.int64), np.array([len(held)]))
+                    continue
+                keys = np.frombuffer(body, np.uint64)
+                known = part is not None and part.first == segment
+                answers.append((chunk, segment, (part.levels(keys) if known else np.zeros(len(keys), np.uint8)).tobytes()))
+            columns = list(zip(*answers)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "segment", "levels"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rids, names, words, counts, answers in zip(*(c.to_pylist() for c in batch.columns)):
+                t = opened(names, words, counts)
+                got = np.frombuffer(b"".join(x["levels"] for x in sorted(answers, key=lambda x: x["segment"])), np.uint8)
+
+                def levels(keys: np.ndarray) -> np.ndarray:
+                    found = np.empty(len(keys), np.uint8)
+                    found[_dealt(keys, group_bits)[0]] = got
+                    return found
+
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(text_scores(t, levels, values, total))], ["rid", "score"])
+
+    coded = stored(rows.select("rid", "text").mapInArrow(code, "chunk bigint, rids array<bigint>, names binary, words binary, counts binary"), "coded-chunks")
+    with _rows_per_batch(spark, 64):
+        sent = coded.select("chunk", "names", "words", "counts").mapInArrow(ask, "segment bigint, chunk bigint, body binary")
+        held = segments.select("segment", F.lit(None).cast("bigint").alias("chunk"), F.col("bits").alias("body"))
+        met = sent.unionByName(held).repartition("segment").sortWithinPartitions("segment", F.col("chunk").asc_nulls_first())
+        answers = stored(met.mapInArrow(answer, "chunk bigint, segment bigint, levels binary"), "answers")
+        gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("segment", "levels")).alias("answers"))
+        joined = coded.join(gathered, "chunk").select("rids", "names", "words", "counts", "answers")
+        return stored(joined.mapInArrow(score, "rid bigint, score double"), "text-scores")
 
 
 def language_model_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out=None, limit: int = LIMIT, heavy: int = HEAVY) -> DataFrame:
@@ -256,70 +352,69 @@ def language_model_scores(docs: DataFrame, id_column: str = "doc_id", text_colum
     end token; repeated rows score and count each; a null id belongs to the hold-out its empty text gives; other columns
     are ignored; no rows give no rows. Should nothing be left to learn from, every count is zero.
 
-    The filter is broadcast in parts of at most ``limit`` bytes, one pass over the texts for each; the parts' scores add up.
+    A filter of up to ``limit`` bytes is broadcast. A larger one stays in its segments, and the texts' distinct n-grams are
+    sent there (``asked_segments``): same answers, work in proportion to the texts.
     """
     held_out = remainder(id_column, 10) == 0 if held_out is None else held_out
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out.alias("held_out"), whole_text(text_column).alias("text"))
     learned = rows.where(~F.col("held_out"))
     spark, kind = docs.sparkSession, rows.schema["doc_id"].dataType.simpleString()
-    counts = stored(word_counts(learned), "word-counts")
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group_bits = max(0, int(np.ceil(np.log2(max(1, size / SEGMENT_BYTES)))))
+    segments = stored(filter_segments(learned, group_bits), "filter")
+    counts = segments.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("n")))).where((F.col("n") > 0) & (F.col("word") != np.uint64(word_key(START)).astype(np.int64).item()))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total = n + ADD * (v + 1)
+    total, values = n + ADD * (v + 1), mean_counts(segments)
     often = counts.where(F.col("n") * heavy >= n).toPandas().sort_values("word")
     common = spark.sparkContext.broadcast((often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
-    group_bits = min(16, max(0, int(np.ceil(np.log2(max(1, n / GROUP_TOKENS))))))
-    segments = stored(filter_segments(learned, group_bits), "filter")
-    parts = filters(segments, group_bits, limit)
-    part = next(parts)
-    more = part.last < 1 << (group_bits + SUBS)
-    if more:
-        numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-        rows = stored(numbered, "numbered")
-    else:
+    filter_bytes = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    within = filter_bytes <= limit
+    if within:
+        shared = spark.sparkContext.broadcast(whole_filter(segments, group_bits, filter_bytes))
         rows = rows.withColumn("rid", F.lit(0).cast("bigint"))
+    else:
+        shared = None
+        rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
-    def first_pass(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, known = common.value
-            next_row = TaskContext.get().partitionId() << 33
-            for chunk in chunks(batches, limit=TEXT_BYTES):
-                t = tokens(chunk.column(2))
-                signed = t.hashes.view(np.int64)
-                at = np.minimum(np.searchsorted(words, signed), max(0, len(words) - 1))
-                hit = words[at] == signed if len(words) else np.zeros(len(signed), bool)
-                value = np.zeros(len(signed))
-                value[hit] = np.log10((known[at[hit]] + ADD) / total)
-                owner = np.repeat(np.arange(len(t.counts)), t.counts)
-                rare, rare_owner = signed[~hit], owner[~hit]
-                ends = np.cumsum(np.bincount(rare_owner, minlength=len(t.counts)))
-                rid = chunk.column(3) if more else pa.array(next_row + np.arange(len(t.counts)))
-                next_row += len(t.counts)
-                yield pa.RecordBatch.from_arrays([
-                    chunk.column(0), chunk.column(1), rid, pa.array(t.counts), pa.array(np.add.reduceat(hit.astype(np.int64), t.begins)), pa.array(np.add.reduceat(value, t.begins)),
-                    pa.array(_score(t, shared.value, total)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rare))],
-                    ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "part", "rare"])
-        return run
-
-    def next_pass(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk in chunks(batches, limit=TEXT_BYTES):
-                yield pa.RecordBatch.from_arrays([chunk.column(1), pa.array(_score(tokens(chunk.column(0)), shared.value, total))], ["rid", "more"])
-        return run
-
-    schema = f"doc_id {kind}, held_out boolean, rid bigint, n_tokens bigint, known bigint, base double, part double, rare array<bigint>"
-    scored = stored(rows.mapInArrow(first_pass(spark.sparkContext.broadcast(part)), schema), "scored")
-    score = F.col("part")
-    if more:
-        passes = [stored(rows.select("text", "rid").mapInArrow(next_pass(spark.sparkContext.broadcast(p)), "rid bigint, more double"), "pass") for p in parts]
-        rest = passes[0]
-        for another in passes[1:]:
-            rest = rest.unionByName(another)
-        scored = scored.join(rest.groupBy("rid").agg(F.sum("more").alias("more")), "rid")
-        score = score + F.col("more")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = common.value
+        next_row = TaskContext.get().partitionId() << 33
+        for chunk in chunks(batches, limit=TEXT_BYTES):
+            t = tokens(chunk.column(2))
+            signed = t.names.view(np.int64)
+            at = np.minimum(np.searchsorted(words, signed), max(0, len(words) - 1))
+            common_word = words[at] == signed if len(words) else np.zeros(len(signed), bool)
+            value = np.zeros(len(signed))
+            value[common_word] = np.log10((known[at[common_word]] + ADD) / total)
+            hit = common_word[t.words]
+            rare = t.words[~hit]
+            ends = np.cumsum(t.counts) - np.cumsum(np.add.reduceat(hit.astype(np.int64), t.begins))
+            rid = pa.array(next_row + np.arange(len(t.counts))) if within else chunk.column(3)
+            next_row += len(t.counts)
+            if within:
+                score = text_scores(t, lambda keys: _asked(shared.value, keys), values, total)
+            else:
+                score = np.zeros(len(t.counts))
+            yield pa.RecordBatch.from_arrays([
+                chunk.column(0), chunk.column(1), rid, pa.array(t.counts), pa.array(np.add.reduceat(hit.astype(np.int64), t.begins)), pa.array(np.add.reduceat(value[t.words], t.begins)),
+                pa.array(score), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(signed[rare]))],
+                ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare"])
+
+    schema = f"doc_id {kind}, held_out boolean, rid bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"
+    scored = stored(rows.mapInArrow(run, schema), "scored")
     rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     found = rare.join(counts.where(F.col("n") * heavy < n), "word", "left")
     seen = F.coalesce("n", F.lit(0))
     sums = found.groupBy("rid").agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((seen + ADD) / F.lit(total))).alias("b"))
+    if not within:
+        scored = scored.drop("score").join(asked_segments(rows, segments, group_bits, values, total), "rid")
     return scored.join(sums, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), score.alias("score"))
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score")
+
+
+def _asked(part: Filter, keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    found = np.empty(len(keys), np.uint8)
+    found[order] = part.levels(keys[order])
+    return found

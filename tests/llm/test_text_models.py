@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from coldtrail.llm import lm, secrets, toxicity
 
@@ -38,7 +39,7 @@ def model_by_hand(rows):
 @pytest.mark.parametrize("heavy, limit", [(lm.HEAVY, lm.LIMIT), (300, 20_000)])
 def test_lm_counts_are_exact_and_the_filter_follows_the_model(documents, odd, heavy, limit, monkeypatch):
     if limit < lm.LIMIT:
-        monkeypatch.setattr(lm, "GROUP_TOKENS", 10_000)
+        monkeypatch.setattr(lm, "SEGMENT_BYTES", 30_000)
     for docs in (documents, odd):
         got = sorted(lm.language_model_scores(docs, heavy=heavy, limit=limit).collect(), key=repr)
         want = sorted(model_by_hand(docs.collect()), key=repr)
@@ -54,24 +55,50 @@ def test_lm_counts_are_exact_and_the_filter_follows_the_model(documents, odd, he
 
 def test_lm_empty_and_nothing_to_learn(none, documents):
     assert lm.language_model_scores(none).count() == 0
-    from pyspark.sql import functions as F
-
     rows = lm.language_model_scores(documents.limit(5), held_out=F.lit(True)).collect()
     assert len(rows) == 5 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in rows)
 
 
+def one_segment(bits):
+    words = np.frombuffer(bits, np.uint64)
+    return lm.Filter(0, 0, words, np.zeros(1, np.int64), np.array([len(words)]))
+
+
 def test_filter_segment_gives_levels_back():
     rng = np.random.default_rng(1)
-    keys = np.unique((rng.integers(0, 1 << 61, 5000, dtype=np.uint64) & ~lm.LOW) | rng.integers(1, 3, 5000).astype(np.uint64))
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
     counts = rng.geometric(0.2, len(keys))
     bits, stats = lm.build_segment(keys, counts)
     assert stats[:, :, 0].sum() == len(keys) and stats[:, :, 1].sum() == counts.sum()
-    values = np.arange(lm.LEVELS, dtype=float) + np.zeros((2, 1))
-    part = lm.Filter(0, 0, 8, np.frombuffer(bits, np.uint8), np.zeros(8, np.int64), np.full(8, len(bits) * 8), values)
-    found = part.counts(keys)
+    found = one_segment(bits).levels(keys)
     assert (found >= lm._levels(counts)).all() and (found == lm._levels(counts)).mean() > 0.97
-    strange = (rng.integers(0, 1 << 61, 20000, dtype=np.uint64) & ~lm.LOW) | np.uint64(1)
-    assert (part.counts(strange) > 0).mean() < 0.02
+    strange = np.sort(rng.integers(0, 1 << 63, 20000, dtype=np.uint64))
+    assert (one_segment(bits).levels(strange) > 0).mean() < 0.02
+
+
+def test_distinct_bigrams_by_either_sort():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.geometric(0.02, n)) for n in (0, 1, 300, 2000)])
+    t = lm.tokens(texts)
+    before, word, number = t.bigrams()
+    assert np.array_equal(word[number], t.words) and np.array_equal(before[number], t.before)
+    assert len({*zip(before.tolist(), word.tolist())}) == len(word)
+    wide = lm.Tokens(np.zeros(1 << 31, np.uint8), *(x for x in (t.words, t.before, t.begins, t.counts)))  # codes too wide to carry the place
+    assert all(np.array_equal(t.names[a] if k < 2 else a, t.names[b] if k < 2 else b) for k, (a, b) in enumerate(zip(wide.bigrams(), t.bigrams())))
+
+
+def test_no_segment_outgrows_the_others_whatever_word_is_frequent(spark):
+    texts = [(i, " ".join(f"{'the' if k % 2 else f'w{(i * 7919 + k * 31) % 5000}'}" for k in range(400))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(16)
+    segments = lm.filter_segments(docs.select("text"), 5).select("segment", F.octet_length("bits").alias("size")).toPandas()
+    assert len(segments) == 32 and segments["size"].max() < 2 * segments["size"].median()
+
+
+def test_broadcast_and_segments_score_alike(documents, odd):
+    for docs in (documents, odd):
+        rows = [sorted(lm.language_model_scores(docs, limit=limit).collect(), key=repr) for limit in (lm.LIMIT, 0)]
+        for a, b in zip(*rows):
+            assert a[:5] == b[:5] and a["base_score"] == pytest.approx(b["base_score"]) and a["score"] == pytest.approx(b["score"], rel=1e-9)
 
 
 def test_gradients_equal_differences():
