@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coldtrail.sources.workspace import stored
+
 BLANKS = " \t\n\u000b\f\r"  # the characters of [\x20\x09-\x0D]
 CHUNK_BYTES = 2_000_000
 
@@ -58,3 +60,32 @@ def split_words(text: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
         kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
         words, offsets = words.filter(full), kept[offsets]
     return words, offsets
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the frame has it."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits of all columns of a row (maps aside): rows of one id and one hash are equal."""
+    parts = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*parts)
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, id_column: str) -> DataFrame:
+    """The rows of ``docs`` named by ``chosen`` (id, hash, times: how many equal rows there are), one for each of its rows."""
+    name = free_name(docs, "_hash")
+    hashed = docs.withColumn(name, row_hash(docs))
+    chosen = stored(chosen.toDF("_chosen_id", "_chosen_hash", "_times"), "chosen-rows")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return hashed.join(rows, hashed[id_column].eqNullSafe(rows["_chosen_id"]) & (hashed[name] == rows["_chosen_hash"]), "left_semi")
+
+    twins = chosen.where("_times > 1")
+    once = named(chosen.where("_times = 1")).drop(name)
+    if twins.isEmpty():
+        return once
+    return once.unionByName(named(twins).dropDuplicates([id_column, name]).drop(name))

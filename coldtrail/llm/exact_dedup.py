@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldtrail.llm.common import whole_text, without_blanks
+from coldtrail.llm.common import row_hash, rows_of, whole_text, without_blanks
 from coldtrail.sources.workspace import stored
 
 
@@ -16,45 +16,42 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     one with the most code points stays, then the smallest id (a null id comes last). Rows repeated with the same id
     count each in group_size and share ``kept``; an empty table gives an empty result; other columns are ignored.
 
-    The groups come from a 128-bit ``content_hash``. Bytes are compared by a distinct over (hash, text): a hash with two
-    texts is a collision, and its rows are grouped by hash and text. Copies collapse in the map task before each
-    shuffle, and the group table is stored, so that a hot group joins back under AQE's skew split.
+    The groups come from a 128-bit ``content_hash``. Bytes are compared, by a distinct over (hash, text), where a hash has
+    several rows: a hash with two texts is a collision, and its rows are grouped by hash and text. Copies collapse in the
+    map task before each shuffle, and the group table is stored, so that a hot group joins back under AQE's skew split.
     """
-    body = without_blanks(whole_text(text_column))
-    texts = docs.select(F.col(id_column).alias("doc_id"), body.alias("_body"), F.length(whole_text(text_column)).alias("_length"))
-    hashed = texts.withColumn("_hash", content_hash("_body"))
-    collided = hashed.select("_hash", "_body").distinct().groupBy("_hash").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_hash")
-    collided = stored(collided, "collisions")
-    rows = hashed.select("doc_id", "_length", "_hash", F.sha2("_body", 256).alias("text_sha256"))
-    if collided.isEmpty():
-        key = F.col("_hash")
-    else:
-        flagged = hashed.join(collided.withColumn("_clash", F.lit(True)), "_hash", "left")
-        rows = flagged.select("doc_id", "_length", F.when(F.col("_clash"), F.concat("_hash", F.lit(":"), "_body")).otherwise(F.col("_hash")).alias("_hash"),
-                              F.sha2("_body", 256).alias("text_sha256"))
-        key = F.col("_hash")
-    rows = rows.withColumn("_key", key).drop("_hash")
-    best: Column = F.min(F.struct((-F.col("_length")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id")))
-    groups = stored(rows.groupBy("_key").agg(F.count("*").alias("group_size"), best.alias("_best")).select("_key", "group_size", F.col("_best.id").alias("keep_id")), "exact-groups")
-    return rows.join(groups, "_key").select(
+    rows = _keyed(docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")), content_hash)
+    best: Column = F.min(F.struct((-F.col("length")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id")))
+    groups = stored(rows.groupBy("key").agg(F.count("*").alias("group_size"), best.alias("best")).select("key", "group_size", F.col("best.id").alias("keep_id")), "exact-groups")
+    return rows.join(groups, "key").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows repeated with the kept id one remains."""
-    keep = exact_groups(docs, id_column, text_column).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_column].eqNullSafe(keep["_keep"]), "left_semi")
-    return one_row_per_id(kept, id_column, text_column)
-
-
-def one_row_per_id(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows whose id is repeated reduce to the one with the most code points, then the smallest text and other columns; the rest pass untouched."""
-    repeated = stored(docs.groupBy(id_column).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col(id_column).alias("_twice")), "repeated-ids")
-    if repeated.isEmpty():
-        return docs
-    again = docs.join(repeated, docs[id_column].eqNullSafe(repeated["_twice"]), "left_semi")
-    once = docs.join(repeated, docs[id_column].eqNullSafe(repeated["_twice"]), "left_anti")
-    rest = [c for c in docs.columns if c != id_column]
-    order = F.struct((-F.length(whole_text(text_column))).alias("_longest"), *rest)
-    picked = again.groupBy(id_column).agg(F.min(order).alias("_row")).select(id_column, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return once.unionByName(picked.select(*docs.columns))
+def _keyed(rows: DataFrame, content_hash) -> DataFrame:
+    """(doc_id, length, key, text_sha256, ...) of (doc_id, text, ...): equal keys for equal texts, and only for those.
+
+    The key is the content hash. Bytes are compared only where a hash has several rows: two texts under one hash are a
+    collision, and their rows take the text into the key. Hashes and lengths are stored once."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    body = without_blanks(F.col("text"))
+    hashed = rows.select("doc_id", "text", *rest, F.length("text").alias("length"), body.alias("body")).select(
+        "doc_id", "text", *rest, "length", content_hash("body").alias("hash"), F.sha2("body", 256).alias("text_sha256"))
+    digests = stored(hashed.select("doc_id", *rest, "length", "hash", "text_sha256"), "text-digests")
+    several = digests.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    texts = rows.select(body.alias("body")).select(content_hash("body").alias("hash"), "body")
+    shared = texts.join(several, "hash", "left_semi").distinct()
+    collided = stored(shared.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "collisions")
+    if collided.isEmpty():
+        return digests.withColumnRenamed("hash", "key")
+    flagged = hashed.join(collided.withColumn("clash", F.lit(True)), "hash", "left")
+    return flagged.select("doc_id", *rest, "length", F.when(F.col("clash"), F.concat("hash", F.lit(":"), without_blanks(F.col("text")))).otherwise(F.col("hash")).alias("key"), "text_sha256")
+
+
+def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", content_hash=F.md5) -> DataFrame:
+    """One row of each group of equal texts, with all its columns: the most code points, then the smallest id (a null id
+    last), then the smallest hash of the row. No other row goes: rows that share an id, or have none, stay as long as
+    their texts differ."""
+    rows = _keyed(docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"), row_hash(docs).alias("row")), content_hash)
+    equal = rows.groupBy("key", "length", "doc_id", "row").agg(F.count("*").alias("times"))
+    best = F.min(F.struct((-F.col("length")).alias("n"), F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")).alias("best")
+    return rows_of(docs, equal.groupBy("key").agg(best).select("best.doc_id", "best.row", "best.times"), id_column)

@@ -9,6 +9,7 @@ from coldtrail.sources.workspace import stored
 
 SEED = 17
 TEMPERATURE = 0.5
+OWN = ("copy", "copies", "rate", "shuffle_key", "_cdf", "_mixed", "_count")  # columns that the operator adds
 DIGITS = 13  # hex digits of the hash that make the uniform number: 52 bits, exact in a double
 
 
@@ -58,8 +59,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", source_column: str =
     gives the same rows. Rows with one id, repeated rows among them, take the same count. A null source is a source of its
     own, a null id hashes as empty text, no rows give no rows. Columns of these names in the input are replaced.
     """
-    own = ("copy", "copies", "rate", "shuffle_key", "_cdf", "_mixed", "_count")
-    docs = docs.drop(*[c for c in own if c in docs.columns])
+    docs = docs.drop(*[c for c in OWN if c in docs.columns])
     table = rates(docs, source_column, weights, temperature, epochs).select(F.col("source").alias("_mixed"), "rate", poisson_cdf(F.col("rate")).alias("_cdf"))
     counted = docs.join(table, docs[source_column].eqNullSafe(table["_mixed"]))
     u = uniform(F.lit(seed), F.col(id_column))
@@ -67,3 +67,9 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", source_column: str =
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     keyed = copies.withColumn("shuffle_key", _hashed(F.lit(seed), F.col(id_column), F.col("copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def repeated_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``mix_sources`` with the input's columns alone, those of clashing names included."""
+    aside = {c: f"_input_{c}" for c in docs.columns if c in OWN}
+    return mix_sources(docs.withColumnsRenamed(aside), **options).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

@@ -47,6 +47,17 @@ class Encoder:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
+    def in_one_go(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each with a blank before it, and where each word's begin. One stream is encoded and cut at the ids
+        that begin with a blank; should their number differ from that of the words, each word is encoded by itself."""
+        stream = np.array(self.fast.encode_ordinary("".join(" " + w for w in words)), np.uint32)
+        first = np.append(np.flatnonzero(self.begins[stream]), len(stream))
+        if len(first) != len(words) + 1:
+            each = [self.fast.encode_ordinary(" " + w) for w in words]
+            stream = np.array([i for ids in each for i in ids], np.uint32)
+            first = np.cumsum([0, *map(len, each)])
+        return stream, first
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, each text followed by ``END``, and where each text begins (one entry more).
 
@@ -61,10 +72,7 @@ class Encoder:
         offsets = offsets - offsets[0]
         coded = words.dictionary_encode()
         known, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        stream = np.array(self.fast.encode_ordinary("".join(" " + w for w in known)), np.uint32)
-        first = np.append(np.flatnonzero(self.begins[stream]), len(stream))
-        if len(first) != len(known) + 1:
-            raise ValueError("a word of the chunk holds a blank")
+        stream, first = self.in_one_go(known)
         sizes = np.diff(first)
         bare = [self.whole(strings[i].partition(" ")[0]) for i in np.flatnonzero(plain)]  # a text's first word has no blank before it
         result: list[np.ndarray] = [np.zeros(0, np.uint32)]

@@ -10,22 +10,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldtrail.llm.common import BLANKS, chunks, split_words, whole_text
+from coldtrail.llm.common import BLANKS, chunks, free_name, row_hash, split_words, whole_text
 from coldtrail.sources.workspace import stored
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SCALE = 1000  # sketch buckets are thousandths of a ratio
-FENCE = 3.0  # interquartile ranges beyond the quartiles
-LEAST_GROUP = 200  # smaller groups take the sketch of their language, then of all rows
-#: Rules: name, numerator, denominator, side of the fence, and the least distance from the quartile in thousandths.
+SCALE = 1000  # ratios are sketched in thousandths
+LOSS = 0.005  # share of a group's rows that lie beyond its own cutoff of one rule
+PULL = 200.0  # rows' weight of the language's quantile beside the group's, and of the whole table's beside the language's
+KEPT = 4096  # items of a quantile sketch; its ranks are right to 0.0013 of the rows
+#: Rules: name, numerator, denominator, and the side of the cutoff on which rows fail.
 RULES = (
-    ("symbols", "n_symbols", "n_words", "upper", 150),
-    ("dup_lines", "n_dup_lines", "n_lines", "upper", 300),
-    ("repeats", "n_repeat_words", "n_words", "upper", 200),
-    ("long_words", "word_chars", "n_words", "upper", 2500),
-    ("short_words", "word_chars", "n_words", "lower", 2000),
+    ("symbols", "n_symbols", "n_words", "upper"),
+    ("dup_lines", "n_dup_lines", "n_lines", "upper"),
+    ("repeats", "n_repeat_words", "n_words", "upper"),
+    ("long_words", "word_chars", "n_words", "upper"),
+    ("short_words", "word_chars", "n_words", "lower"),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -88,73 +89,78 @@ def with_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def _bucket(top: str, bottom: str) -> Column:
+def _ratio(top: str, bottom: str) -> Column:
     return F.when(F.col(bottom) > 0, F.floor(F.col(top) * SCALE / F.col(bottom))).cast("bigint")
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(lang, source, rule, bucket, n): per language and source the rows in each thousandth of a ratio. Two sketches
-    merge by adding n, in any order and with the same result, whichever tasks they come from."""
-    entries = F.array(*[F.struct(F.lit(name).alias("rule"), _bucket(top, bottom).alias("bucket")) for name, top, bottom, _, _ in RULES])
-    return counts.select("lang", "source", F.inline(entries)).where("bucket is not null").groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
-
-
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per rule and ``keys``: rows seen and the cutoff, from the sketch merged up to these keys."""
-    merged = sketch.groupBy("rule", "bucket", *keys).agg(F.sum("n").alias("n"))
-    lists = merged.groupBy("rule", *keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sum("n").alias("rows"))
-
-    def quantile(share: float) -> Column:
-        need = F.ceil(F.col("rows") * share)
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("at"))
-        return F.aggregate("s", start, lambda acc, x: F.struct(
-            (acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + x["n"] >= need), x["bucket"]).otherwise(acc["at"]).alias("at")))["at"]
-
-    lists = lists.select("rule", *keys, "rows", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    reach, low, high = FENCE * (F.col("q3") - F.col("q1")), F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, _, _, side, least in RULES:
-        room = F.greatest(reach, F.lit(float(least)))
-        if side == "upper":
-            high = F.when(F.col("rule") == name, F.col("q3") + room).otherwise(high)
-        else:
-            low = F.when(F.col("rule") == name, F.col("q1") - room).otherwise(low)
-    return lists.select("rule", *keys, "rows", F.coalesce(high, low).alias("cutoff"))
+    """(lang, source, n, one quantile sketch per rule): sketches combine in the map task and again after the shuffle."""
+    found = [F.kll_sketch_agg_bigint(_ratio(top, bottom), F.lit(KEPT)).alias(name) for name, top, bottom, _ in RULES]
+    return counts.groupBy("lang", "source").agg(F.count("*").alias("n"), *found)
 
 
-def cutoffs(sketch: DataFrame) -> DataFrame:
-    """(lang, source, one column per rule): the cutoff of the pair, or of its language or of all rows where it is small."""
-    pairs, langs, every = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"]), _fences(sketch, [])
-    l, e = langs.select(F.col("rule").alias("r2"), F.col("lang").alias("l2"), F.col("rows").alias("n2"), F.col("cutoff").alias("c2")), every.select(F.col("rule").alias("r3"), F.col("cutoff").alias("c3"))
-    chosen = pairs.join(l, (F.col("rule") == F.col("r2")) & F.col("lang").eqNullSafe(F.col("l2"))).join(e, F.col("rule") == F.col("r3"))
-    value = F.when(F.col("rows") >= LEAST_GROUP, F.col("cutoff")).when(F.col("n2") >= LEAST_GROUP, F.col("c2")).otherwise(F.col("c3"))
-    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == name, value)).alias(f"cut_{name}") for name, *_ in RULES])
+def merged(sketch: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of larger groups from those of smaller ones."""
+    return sketch.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(F.col(name), F.lit(KEPT)).alias(name) for name, *_ in RULES])
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """One row per input row: doc_id, lang, source, the counts, base_failed, failed (names of the adaptive rules that reject it), kept.
+def _quantiles(sketch: DataFrame) -> list[Column]:
+    return [F.kll_sketch_get_quantile_bigint(sketch[name], F.lit(LOSS if side == "lower" else 1 - LOSS)) for name, _, _, side in RULES]
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text (null: none). base_failed: under 50 words, or over half of them in
-    repeated three-word windows. Adaptive cutoffs are Tukey fences, three interquartile ranges beyond the quartiles (and
-    a least distance), of a ratio's sketch for the row's language and source; rows that already failed do not feed the
-    sketches. Null languages and sources are groups of their own. Repeated rows count each; a text without words fails
-    the base rule; no rows give no rows; other columns are ignored.
-    """
-    plain = docs.select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"), F.col(source_column).alias("source"), F.col(text_column).alias("text"))
+
+def cutoffs(sketch: DataFrame) -> DataFrame:
+    """(lang, source, cut_ and one column per rule). A cutoff is the quantile of the group's own sketch, drawn towards that of its
+    language, itself drawn towards that of all rows, by a weight of ``PULL`` rows: a group of n rows counts n / (n + PULL)."""
+    names = [name for name, *_ in RULES]
+    if sketch.isEmpty():
+        return sketch.select("lang", "source", *[F.lit(None).cast("double").alias(f"cut_{name}") for name in names])
+    pairs = sketch.select("lang", "source", "n", *[q.alias(f"q_{name}") for name, q in zip(names, _quantiles(sketch))])
+    langs = merged(sketch, "lang")
+    langs = langs.select(F.col("lang").alias("_lang"), F.col("n").alias("_n"), *[q.alias(f"l_{name}") for name, q in zip(names, _quantiles(langs))])
+    every = merged(sketch)
+    whole = every.select(*[q.alias(f"a_{name}") for name, q in zip(names, _quantiles(every))]).first()
+    chosen = pairs.join(langs, pairs["lang"].eqNullSafe(langs["_lang"]))
+
+    def drawn(rows: Column, own: Column, wider: Column) -> Column:
+        return (rows * own + PULL * wider) / (rows + PULL)
+
+    return chosen.select("lang", "source", *[
+        drawn(F.col("n"), F.col(f"q_{name}"), drawn(F.col("_n"), F.col(f"l_{name}"), F.lit(whole[f"a_{name}"]).cast("double"))).alias(f"cut_{name}") for name in names])
+
+
+def judged(docs: DataFrame, id_column: str, text_column: str, lang_column: str, source_column: str) -> DataFrame:
+    """(doc_id, row, lang, source, counts, base_failed, failed, kept): ``row`` is the hash of the whole row."""
+    plain = docs.select(F.col(id_column).alias("doc_id"), row_hash(docs).alias("row"), F.col(lang_column).alias("lang"), F.col(source_column).alias("source"), F.col(text_column).alias("text"))
     counts = with_counts(plain).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     counts = stored(counts, "quality-counts")
-    cuts = cutoffs(stored(sketches(counts.where(~F.col("base_failed"))), "sketches"))
-    cuts = cuts.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    sketch = stored(sketches(counts.where(~F.col("base_failed"))), "sketches")
+    cuts = cutoffs(sketch).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counts.join(cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     broken = []
-    for name, top, bottom, side, _ in RULES:
-        at, cut = _bucket(top, bottom), F.col(f"cut_{name}")
+    for name, top, bottom, side in RULES:
+        at, cut = _ratio(top, bottom), F.col(f"cut_{name}")
         broken.append(F.when(at > cut if side == "upper" else at < cut, F.lit(name)))
     joined = joined.withColumn("failed", F.array_join(F.array_compact(F.array(*broken)), ","))
-    return joined.select("doc_id", "lang", "source", *COUNTS, "base_failed", "failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"))
+    return joined.select("doc_id", "row", "lang", "source", *COUNTS, "base_failed", "failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"))
+
+
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
+    """One row per input row: doc_id, lang, source, the counts, base_failed, failed (names of the adaptive rules that reject it), kept.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text (null: none). base_failed: under 50 words, or over half of them in
+    repeated three-word windows. An adaptive rule rejects rows beyond a cutoff on a ratio: the quantile that leaves
+    ``LOSS`` of the rows of the row's language and source beyond it, from a mergeable KLL sketch, small groups drawn
+    towards their language and that towards all rows (``cutoffs``). Rows that already failed do not feed the sketches.
+    Null languages and sources are groups of their own. Repeated rows count each; a text without words fails the base
+    rule; no rows give no rows; other columns are ignored.
+    """
+    return judged(docs, id_column, text_column, lang_column, source_column).drop("row")
 
 
 def drop_poor(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """The rows the rules keep, with all their columns (of rows that share an id, those of a kept verdict all stay)."""
-    keep = quality_rules(docs, id_column, text_column, lang_column, source_column).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[id_column].eqNullSafe(keep["_keep"]), "left_semi")
+    """The rows the rules keep, with all their columns; rows that share an id are judged each by its own text."""
+    keep = judged(docs, id_column, text_column, lang_column, source_column).where("kept").select(F.col("doc_id").alias("_keep"), F.col("row").alias("_row")).distinct()
+    name = free_name(docs, "_hash")
+    hashed = docs.withColumn(name, row_hash(docs))
+    return hashed.join(keep, hashed[id_column].eqNullSafe(keep["_keep"]) & (hashed[name] == keep["_row"]), "left_semi").drop(name)

@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldtrail.llm.common import chunks, split_words, whole_text
+from coldtrail.llm.common import chunks, row_hash, rows_of, split_words, whole_text
 from coldtrail.llm.components import components
-from coldtrail.llm.exact_dedup import one_row_per_id
 from coldtrail.sources.workspace import stored
 
 SEED = 42
@@ -46,15 +45,15 @@ def fingerprints(text: pa.Array, width: int) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed 64-bit numbers."""
-    ids = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
+    """(doc_id, row, fp): hashes of the rows, and fingerprints as signed 64-bit numbers."""
+    ids = docs.select(F.col(id_column).alias("doc_id"), row_hash(docs).alias("row"), whole_text(text_column).alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1), width).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(part.column(2), width).view(np.int64))], ["doc_id", "row", "fp"])
 
-    return ids.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return ids.mapInArrow(run, f"doc_id {kind}, row bigint, fp bigint")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -110,17 +109,25 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     connections in linear space.
     """
     prints = stored(with_fingerprint(docs, id_column, text_column, width), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links_within_two_bits(distinct.select("fp"), paired))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = stored(placed, "placed-fingerprints")
+    placed = _placed(prints, paired)
     named = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     ids = stored(placed.join(named, "root").select("fp", "component_id"), "component-of-fingerprint")
     return prints.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
-    """The row with the smallest id of each component, with all its columns; of rows repeated with that id one remains."""
-    groups = simhash_groups(docs, id_column, text_column, width)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return one_row_per_id(docs.join(keep, docs[id_column].eqNullSafe(keep["_keep"]), "left_semi"), id_column, text_column)
+def _placed(prints: DataFrame, paired: int) -> DataFrame:
+    """(fp, least, root): each fingerprint once, with its smallest id and the least fingerprint it reaches."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links_within_two_bits(distinct.select("fp"), paired))
+    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return stored(placed, "placed-fingerprints")
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, paired: int = PAIRED) -> DataFrame:
+    """One row of each component, with all its columns: the smallest id (a null id last), then the smallest fingerprint and
+    hash of the row. No other row goes: rows that share an id, or have none, stay where their components differ."""
+    prints = stored(with_fingerprint(docs, id_column, text_column, width), "fingerprints")
+    roots = _placed(prints, paired).select("fp", "root")
+    equal = prints.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("times")).join(roots, "fp")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "row", "times")).alias("best")
+    return rows_of(docs, equal.groupBy("root").agg(best).select("best.doc_id", "best.row", "best.times"), id_column)

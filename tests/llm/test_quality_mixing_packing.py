@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,31 +38,61 @@ def test_counts_and_base_rule(documents, odd, clashing):
             assert not (r["base_failed"] and r["kept"]) and r["kept"] == (not r["base_failed"] and r["failed"] == "")
 
 
-def fence(values, side, least):
-    values = sorted(values)
-    at = lambda share: values[max(0, int(np.ceil(len(values) * share)) - 1)]
-    room = max(3 * (at(0.75) - at(0.25)), least)
-    return at(0.75) + room if side == "upper" else at(0.25) - room
+def at_rank(values, share):
+    return sorted(values)[max(0, math.ceil(len(values) * share - 1e-9) - 1)]
 
 
-def test_adaptive_verdicts_equal_brute_force(spark, documents, monkeypatch):
-    monkeypatch.setattr(quality, "LEAST_GROUP", 12)
-    rows = quality.quality_rules(documents).collect()
-    ratio = lambda r, top, bottom: r[top] * 1000 // r[bottom] if r[bottom] else None
-    fair = [r for r in rows if not r["base_failed"]]
-    for r in rows:
-        same = [x for x in fair if (x["lang"], x["source"]) == (r["lang"], r["source"])]
-        lang = [x for x in fair if x["lang"] == r["lang"]]
-        group = same if len(same) >= 12 else lang if len(lang) >= 12 else fair
-        failed = []
-        for name, top, bottom, side, least in quality.RULES:
-            value = ratio(r, top, bottom)
-            if value is None or not same:
-                continue
-            cut = fence([v for x in group if (v := ratio(x, top, bottom)) is not None], side, least)
-            if value > cut if side == "upper" else value < cut:
-                failed.append(name)
-        assert r["failed"] == ",".join(failed), r["doc_id"]
+def test_adaptive_verdicts_equal_brute_force(documents, odd):
+    for docs in (documents, odd):
+        rows = quality.quality_rules(docs).collect()
+        ratio = lambda r, top, bottom: r[top] * 1000 // r[bottom]
+        fair = [r for r in rows if not r["base_failed"]]
+        for r in rows:
+            same = [x for x in fair if (x["lang"], x["source"]) == (r["lang"], r["source"])]
+            lang = [x for x in fair if x["lang"] == r["lang"]]
+            failed = []
+            for name, top, bottom, side in quality.RULES:
+                if not same or not r[bottom]:
+                    continue
+                cut = None
+                for group in (fair, lang, same):
+                    own = at_rank([ratio(x, top, bottom) for x in group], quality.LOSS if side == "lower" else 1 - quality.LOSS)
+                    cut = own if cut is None else (len(group) * own + quality.PULL * cut) / (len(group) + quality.PULL)
+                value = ratio(r, top, bottom)
+                if value > cut if side == "upper" else value < cut:
+                    failed.append(name)
+            assert r["failed"] == ",".join(failed), r["doc_id"]
+
+
+def test_sketches_merge_in_any_order_within_their_error(spark):
+    counts = spark.range(60000).selectExpr("'en' as lang", "'a' as source", "id % 7 as part", "1000L as n_words", "1L as n_lines", "0L as n_dup_lines", "0L as n_repeat_words",
+                                           "pmod(xxhash64(id), 100000) as n_symbols", "id as word_chars")
+    truth = sorted(r[0] for r in counts.select("n_symbols").collect())
+    for order in ("part", "part desc", "pmod(part * 3, 7)"):
+        sketch = quality.sketches(counts.withColumn("source", F.col("part").cast("string"))).repartition(3).sortWithinPartitions(F.expr("cast(source as int) % 2"), "source" if order == "part" else F.expr(order.replace("part", "cast(source as int)").replace(" desc", " * -1")))
+        whole = quality.merged(sketch, "lang").select(F.kll_sketch_get_quantile_bigint("symbols", F.lit(0.995)), "n").first()
+        rank = np.searchsorted(truth, whole[0], side="right") / len(truth)
+        assert whole[1] == 60000 and abs(rank - 0.995) < 0.003
+
+
+def test_cutoffs_differ_by_group_in_every_rule(spark):
+    rows = []
+    for k, (lang, source) in enumerate([("en", "a"), ("en", "b"), ("de", "a")]):
+        for i in range(1500):
+            noisy = i % (10 + 20 * k) == 0
+            words = [("w" * (2 + k + i % 3)) + str((i * 31 + j * (17 + k)) % 997) for j in range(60)]
+            lines = [" ".join(words[a:a + 6]) for a in range(0, 60, 6)]
+            if noisy:
+                lines += lines[:1 + k % 2] + ["# " * (3 + 2 * k)] + [f"extra{j} line" for j in range(k * 2)]
+            rows.append((len(rows), "\n".join(lines), lang, source, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    judged = quality.quality_rules(docs)
+    fair = judged.where("not base_failed")
+    cuts = quality.cutoffs(quality.sketches(fair)).collect()
+    for name, *_ in quality.RULES:
+        assert len({round(r[f"cut_{name}"], 6) for r in cuts}) == 3, name
+    lost = {(r["lang"], r["source"]): r["lost"] for r in fair.groupBy("lang", "source").agg(F.avg(F.when(F.col("kept"), 0.0).otherwise(1.0)).alias("lost")).collect()}
+    assert all(share <= 5 * quality.LOSS + 0.01 for share in lost.values()), lost
 
 
 def test_quality_empty(none):
