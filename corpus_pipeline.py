@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coldtrail.llm.common import table
 from coldtrail.llm.exact_dedup import drop_exact_copies
-from coldtrail.llm.mixing import mix_sources
+from coldtrail.llm.mixing import repeated_documents
 from coldtrail.llm.packing import pack
 from coldtrail.llm.quality import drop_poor
 from coldtrail.llm.simhash import drop_near_copies
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target rates and shuffled globally; a repeated document is several rows."""
-    return mix_sources(docs).select(*docs.columns)
+    return repeated_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
