@@ -6,8 +6,6 @@ joins the device class once and adds the links.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +15,10 @@ from ..functions.timebucket import bucket, epoch_of, slot_number, ts_lit, week_l
 from ..limits import Limits
 from ..sources.tables import FleetTables, between, error_rows, readings
 from .edges import charge_frame, edge_power, trip_frames
-from .findings import BOTH_LINKS, ERROR_LINK, eng_rows, supported
+from .findings import BOTH_LINKS, ERROR_LINK, eng_cases, eng_columns, eng_rows, supported
+from .point_rules import BY_KEY, HIGHEST, LOWEST, Match, PointRule, point_rows
 from .rollup import rollup
+from .sized import MOST_ROWS, small_side
 
 # Chart slack in seconds.
 SLACK = 1200
@@ -100,111 +100,166 @@ def failed_starts(t: FleetTables, start, end, interval: str = "Week", limits: Li
     return eng_rows(rollup(raw, interval), interval, *FAILED_START, **shape)
 
 
-def _events(frame: DataFrame, start, end, value: str, condition: Column) -> DataFrame:
-    return readings(frame, start, end, value).where(condition).select(
-        "fridgeid", F.col("measureddtm").alias("EventTime"), F.col(value).alias("value"))
+# --- rules over single readings, evaluated together -------------------------------------------
 
+VOLT, LOW, AMBIENT, SOLAR, MAINS, STUCK, OVERLAPS, DOORS = range(1, 9)
 
-def solar_power(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+
+def _value() -> Column:
+    return number_text(F.col("value"))
+
+
+def voltage_rule(interval: str, limits: Limits) -> PointRule:
     interval = supported(interval, "All", "Day")
-    raw = _events(t.solar_sensor, start, end, "EWCP", F.col("EWCP") > limits.solar_power_w)
-    shape = {"value": number_text(F.col("value")), "slack_s": SLACK_POWER, "only": "S"}
+    shape = {"value": _value(), "slack_s": SLACK_VOLTAGE}
+    match = Match(F.col("EVLN") > limits.high_volt, F.col("EVLN"))
     if interval == "All":
-        return eng_rows(raw, interval, *SOLAR_POWER, count=_one(), span=("EventTime", _hour_later()), **shape)
-    return eng_rows(_by_value(raw), interval, *SOLAR_POWER, span=("LowTime", "EventTime"), **shape)
+        return PointRule(VOLT, ("EVLN",), (match,), None, lambda: eng_columns(
+            interval, VOLTAGE, VOLTAGE_EVENT, count=_one(), span=("EventTime", _hour_later()), **shape))
+    return PointRule(VOLT, ("EVLN",), (match,), interval, lambda: eng_columns(interval, VOLTAGE, VOLTAGE_DAY, **shape), pick=HIGHEST)
 
 
-def _by_value(raw: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Day roll-up whose chart runs from the lowest-valued to the highest-valued event."""
-    low = F.min(F.struct("value", "EventTime"))
-    rolled = rollup(raw, "Day", pick=-F.col("value"), carry=("value",), extra={"_low": low, **(extra or {})})
-    return rolled.withColumn("LowTime", F.col("_low.EventTime"))
+def low_temperature_rule(interval: str, limits: Limits) -> PointRule:
+    """Both compartment sensors; a reading may count for each."""
+    interval = supported(interval, "All", "Day")
+    texts = sorted((LOW_TOP, LOW_BOTTOM))
+    matches = tuple(
+        Match(F.col(column) < limits.low_temp_c, F.col(column), detail=texts.index(text))
+        for column, text in (("TVCTOPCTL", LOW_TOP), ("TVCBOT", LOW_BOTTOM)))
+    detail = F.when(F.col("detail") == 0, texts[0]).otherwise(texts[1])
+    shape = {"value": _value(), "slack_s": SLACK}
+    if interval == "All":
+        return PointRule(LOW, ("TVCTOPCTL", "TVCBOT"), matches, None, lambda: eng_columns(
+            interval, LOW_TEMP, detail, count=_one(), span=("EventTime", _hour_later()), **shape))
+    return PointRule(LOW, ("TVCTOPCTL", "TVCBOT"), matches, interval, lambda: eng_columns(interval, LOW_TEMP, detail, **shape), pick=LOWEST)
 
 
-def mains_power(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+def ambient_rule(interval: str, limits: Limits) -> PointRule:
+    """The week's hottest and coldest excursion of a device."""
+    interval = supported(interval, "All", "Week")
+    ambient = F.col("TAMDAQ")
+    low = ambient < limits.ambient_low_c
+    match = Match(low | (ambient > limits.ambient_high_c), ambient, key=low)
+    texts = [F.when(F.col("key") == 1, a).otherwise(b) for a, b in zip(AMBIENT_LOW, AMBIENT_HIGH)]
+    shape = {"value": _value(), "slack_s": SLACK}
+    if interval == "All":
+        return PointRule(AMBIENT, ("TAMDAQ",), (match,), None, lambda: eng_columns(interval, *texts, count=_one(), span=_point(), **shape))
+    return PointRule(AMBIENT, ("TAMDAQ",), (match,), interval, lambda: eng_columns(interval, *texts, **shape), pick=BY_KEY)
+
+
+def solar_power_rule(interval: str, limits: Limits) -> PointRule:
+    """The chart of a day runs from the lowest-valued to the highest-valued event."""
+    interval = supported(interval, "All", "Day")
+    match = Match(F.col("EWCP") > limits.solar_power_w, F.col("EWCP"))
+    shape = {"value": _value(), "slack_s": SLACK_POWER, "only": "S"}
+    if interval == "All":
+        return PointRule(SOLAR, ("EWCP",), (match,), None, lambda: eng_columns(
+            interval, *SOLAR_POWER, count=_one(), span=("EventTime", _hour_later()), **shape), solar=True)
+    return PointRule(SOLAR, ("EWCP",), (match,), interval, lambda: eng_columns(
+        interval, *SOLAR_POWER, span=("LowTime", "EventTime"), **shape), pick=HIGHEST, both_ends=True, solar=True)
+
+
+def mains_power_rule(interval: str, limits: Limits) -> PointRule:
     """Days with enough readings above the first threshold or one above the second."""
     interval = supported(interval, "All", "Day")
     power = F.col("value")
-    raw = _events(t.sensor, start, end, "EWCP2", F.col("EWCP2") > limits.mains_power_w)
+    match = Match(F.col("EWCP2") > limits.mains_power_w, F.col("EWCP2"))
     above_low, above_high = power < limits.mains_power_high_w, power > limits.mains_power_high_w
-    shape = {"value": number_text(power), "slack_s": SLACK_POWER, "only": "M"}
+    shape = {"value": _value(), "slack_s": SLACK_POWER, "only": "M"}
     if interval == "All":
         detail = F.when(above_low, MAINS_EVENT_600).when(above_high, MAINS_EVENT_1000)
-        return eng_rows(raw, interval, MAINS_POWER, detail, count=_one(), span=("EventTime", _hour_later()), **shape)
-    rolled = _by_value(raw, {"low_count": F.count_if(above_low), "high_count": F.count_if(above_high)})
+        return PointRule(MAINS, ("EWCP2",), (match,), None, lambda: eng_columns(
+            interval, MAINS_POWER, detail, count=_one(), span=("EventTime", _hour_later()), **shape))
     often, once = F.col("low_count") >= limits.mains_power_min_count, F.col("high_count") >= 1
-    return eng_rows(
-        rolled.where(often | once), interval, MAINS_POWER,
-        F.when(often, MAINS_DAY_600).otherwise(MAINS_DAY_1000),
-        count=F.when(often, F.col("low_count")).otherwise(F.col("high_count")),
-        span=("LowTime", "EventTime"), **shape)
+    return PointRule(MAINS, ("EWCP2",), (match,), interval, lambda: eng_columns(
+        interval, MAINS_POWER, F.when(often, MAINS_DAY_600).otherwise(MAINS_DAY_1000),
+        count=F.when(often, F.col("low_count")).otherwise(F.col("high_count")), span=("LowTime", "EventTime"), **shape),
+        pick=HIGHEST, both_ends=True, counted=(above_low, above_high), keep=often | once)
+
+
+def stuck_rule(interval: str, limits: Limits) -> PointRule:
+    """Solar compressors that do not run although they could: days with enough readings, or weeks with enough full hours."""
+    interval = supported(interval, "All", "Day", "Week")
+    columns = ("SCPS", "ICPS", "EWDCA", "SLNX")
+    match = Match((F.col("SCPS") == limits.stuck_scps) & (F.col("ICPS") == limits.stuck_icps) & (
+        (F.col("EWDCA") > limits.stuck_pv_w) | (F.col("SLNX") == 1)))
+    shape = {"slack_s": SLACK, "only": "S"}
+    if interval == "All":
+        return PointRule(STUCK, columns, (match,), None, lambda: eng_columns(
+            interval, SOLAR_STUCK, TRIP_STOP, count=_one(), span=_point(), **shape), solar=True)
+    if interval == "Day":
+        return PointRule(STUCK, columns, (match,), "Day", lambda: eng_columns(interval, SOLAR_STUCK, TRIP_STOP, **shape),
+                         keep=F.col("RecCount") > limits.stuck_day_min, solar=True)
+    return PointRule(STUCK, columns, (match,), "Hour", lambda: eng_columns(interval, SOLAR_STUCK, TRIP_STOP, at="FirstTime", **shape),
+                     keep=F.col("full") >= limits.stuck_hours, weekly=True, full=F.col("RecCount") > limits.stuck_hour_min, solar=True)
+
+
+def overlap_rule(interval: str, limits: Limits, doors: bool = False) -> PointRule:
+    """Readings by hour; with ``doors`` their door openings are summed up by device as well."""
+    interval = supported(interval, "All", "Hour")
+    hour = ("bucket", "bucket")
+    found = F.lit(True) if interval == "All" else F.col("RecCount") >= limits.overlap_per_hour
+    return PointRule(OVERLAPS, ("SDXC",) if doors else (), (Match(F.lit(True), F.col("SDXC") if doors else None),), "Hour", lambda: eng_columns(
+        interval, OVERLAP[0], None if interval == "All" else OVERLAP[1], at="bucket", span=hour, slack_s=SLACK_OVERLAP),
+        keep=found, per_device=(DOORS,) if doors else ())
+
+
+def door_rule(start, end) -> PointRule:
+    """Devices whose readings count no opening; without a scan of its own, see ``overlap_rule``."""
+    return PointRule(DOORS, (), (), "Week", lambda: eng_columns(
+        "Week", *NO_DOOR, count="total", at="last_time", span=(ts_lit(start), ts_lit(end)), slack_s=SLACK), keep=F.col("total") == 0)
+
+
+def point_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+    """All rules of the report over single readings, from one scan of the window and one of the door openings before it."""
+    rules = [
+        voltage_rule(interval, limits), low_temperature_rule(interval, limits), ambient_rule("Week", limits), solar_power_rule(interval, limits),
+        mains_power_rule(interval, limits), stuck_rule("Week", limits), overlap_rule("Hour", limits, doors=True), door_rule(start, end)]
+    opened = last_door_opening(t, start, limits).withColumn("rule", F.lit(DOORS))
+    return point_rows(t, start, end, rules, opened)
+
+
+def solar_power(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+    return point_rows(t, start, end, [solar_power_rule(interval, limits)])
+
+
+def mains_power(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+    return point_rows(t, start, end, [mains_power_rule(interval, limits)])
 
 
 def high_compressor_power(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
-    return solar_power(t, start, end, interval, limits).unionByName(mains_power(t, start, end, interval, limits))
+    return point_rows(t, start, end, [solar_power_rule(interval, limits), mains_power_rule(interval, limits)])
 
 
 def high_voltage(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
-    interval = supported(interval, "All", "Day")
-    raw = _events(t.sensor, start, end, "EVLN", F.col("EVLN") > limits.high_volt)
-    shape = {"value": number_text(F.col("value")), "slack_s": SLACK_VOLTAGE}
-    if interval == "All":
-        return eng_rows(raw, interval, VOLTAGE, VOLTAGE_EVENT, count=_one(), span=("EventTime", _hour_later()), **shape)
-    return eng_rows(rollup(raw, interval, pick=-F.col("value"), carry=("value",)), interval, VOLTAGE, VOLTAGE_DAY, **shape)
+    return point_rows(t, start, end, [voltage_rule(interval, limits)])
 
 
 def low_temperature(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
-    """Both compartment sensors in one scan; a reading may count for each."""
-    interval = supported(interval, "All", "Day")
-    top, bottom = F.col("TVCTOPCTL"), F.col("TVCBOT")
-    raw = (
-        readings(t.sensor, start, end, "TVCTOPCTL", "TVCBOT")
-        .where((top < limits.low_temp_c) | (bottom < limits.low_temp_c))
-        .select("fridgeid", F.col("measureddtm").alias("EventTime"), F.inline(F.array(
-            F.struct(F.lit(LOW_TOP).alias("Detail"), top.alias("value")),
-            F.struct(F.lit(LOW_BOTTOM).alias("Detail"), bottom.alias("value")))))
-        .where(F.col("value") < limits.low_temp_c))
-    shape = {"value": number_text(F.col("value")), "slack_s": SLACK}
-    if interval == "All":
-        return eng_rows(raw, interval, LOW_TEMP, F.col("Detail"), count=_one(), span=("EventTime", _hour_later()), **shape)
-    rolled = rollup(raw, interval, pick=F.col("value"), carry=("Detail", "value"))
-    return eng_rows(rolled, interval, LOW_TEMP, F.col("Detail"), **shape)
+    return point_rows(t, start, end, [low_temperature_rule(interval, limits)])
 
 
 def ambient_extremes(t: FleetTables, start, end, interval: str = "Week", limits: Limits = Limits()) -> DataFrame:
-    interval = supported(interval, "All", "Week")
-    ambient = F.col("TAMDAQ")
-    raw = _events(t.sensor, start, end, "TAMDAQ", (ambient < limits.ambient_low_c) | (ambient > limits.ambient_high_c))
-    raw = raw.withColumn("is_low", F.col("value") < limits.ambient_low_c)
-    low = F.col("is_low")
-    texts = [F.when(low, a).otherwise(b) for a, b in zip(AMBIENT_LOW, AMBIENT_HIGH)]
-    shape = {"value": number_text(F.col("value")), "slack_s": SLACK}
-    if interval == "All":
-        return eng_rows(raw, interval, *texts, count=_one(), span=_point(), **shape)
-    farthest = F.when(low, F.col("value")).otherwise(-F.col("value"))
-    return eng_rows(rollup(raw, interval, keys=("is_low",), pick=farthest, carry=("value",)), interval, *texts, **shape)
+    return point_rows(t, start, end, [ambient_rule(interval, limits)])
 
 
 def overlapping_data(t: FleetTables, start, end, interval: str = "Hour", limits: Limits = Limits()) -> DataFrame:
-    interval = supported(interval, "All", "Hour")
-    hours = readings(t.sensor, start, end).groupBy(
-        "fridgeid", bucket(F.col("measureddtm"), "Hour").alias("EventTime")).agg(F.count(F.lit(1)).alias("RecCount"))
-    if interval == "All":
-        return eng_rows(hours, interval, OVERLAP[0], None, span=_point(), slack_s=SLACK_OVERLAP)
-    return eng_rows(hours.where(F.col("RecCount") >= limits.overlap_per_hour), interval, *OVERLAP,
-                    span=_point(), slack_s=SLACK_OVERLAP)
+    return point_rows(t, start, end, [overlap_rule(interval, limits)])
 
 
 def no_door_openings(t: FleetTables, start, end, interval: str = "Week", limits: Limits = Limits()) -> DataFrame:
-    """Devices with readings but no opening; the event is the last opening of the weeks before."""
+    """Devices with readings but no opening in the window; the event is the last opening of the weeks before.
+
+    Two phases: the window's openings by device, then a look-back that reads openings
+    only, of the devices without one in the window.
+    """
     interval = supported(interval, "Week")
-    back = limits.door_lookback_days * 86400
-    rows = between(t.sensor, start, end, back_s=back).selectExpr(
-        "fridgeid", "SDXC", "measureddtm", f"unix_seconds(measureddtm) >= {epoch_of(start)} as inside")
-    openings = rows.groupBy("fridgeid").agg(
-        F.expr("sum(SDXC) filter (where inside) as RecCount"),
-        F.expr("max(measureddtm) filter (where not inside and SDXC > 0) as EventTime"))
-    return eng_rows(openings.where("RecCount = 0"), interval, *NO_DOOR, span=(ts_lit(start), ts_lit(end)), slack_s=SLACK)
+    totals = readings(t.sensor, start, end, "SDXC").groupBy("fridgeid").agg(F.sum("SDXC").alias("total"))
+    closed = totals.where("total = 0")
+    before = between(t.sensor, start, start, back_s=limits.door_lookback_days * 86400).where("SDXC > 0")
+    before = before.join(small_side(closed.select("fridgeid")), "fridgeid", "left_semi")
+    found = closed.join(before.groupBy("fridgeid").agg(F.max("measureddtm").alias("last_time")), "fridgeid", "left")
+    return eng_rows(found, interval, *NO_DOOR, count="total", at="last_time", span=(ts_lit(start), ts_lit(end)), slack_s=SLACK)
 
 
 def last_door_opening(t: FleetTables, before, limits: Limits = Limits()) -> DataFrame:
@@ -216,33 +271,13 @@ def last_door_opening(t: FleetTables, before, limits: Limits = Limits()) -> Data
 # --- thermostat and charge: edges ------------------------------------------------------------
 
 
-def _solar_stuck(t: FleetTables, start, end, limits: Limits) -> DataFrame:
-    rows = readings(t.solar_sensor, start, end, "SCPS", "ICPS", "EWDCA", "SLNX")
-    stuck = (F.col("SCPS") == limits.stuck_scps) & (F.col("ICPS") == limits.stuck_icps) & (
-        (F.col("EWDCA") > limits.stuck_pv_w) | (F.col("SLNX") == 1))
-    return rows.where(stuck).select("fridgeid", F.col("measureddtm").alias("EventTime"), F.lit(TRIP_STOP).alias("Detail"))
-
-
 def trip_events(edges: DataFrame, limits: Limits) -> DataFrame:
     return edges.where(F.col("name").isin("stop_trip", "start_trip") & (F.col("avg_w") < limits.trip_max_w)).select(
         "fridgeid", "EventTime", F.when(F.col("name") == "stop_trip", TRIP_STOP).otherwise(TRIP_START).alias("Detail"))
 
 
 def solar_trips(t: FleetTables, start, end, interval: str = "Week", limits: Limits = Limits()) -> DataFrame:
-    interval = supported(interval, "All", "Day", "Week")
-    raw = _solar_stuck(t, start, end, limits)
-    shape = {"slack_s": SLACK, "only": "S"}
-    if interval == "All":
-        return eng_rows(raw, interval, SOLAR_STUCK, TRIP_STOP, count=_one(), span=_point(), **shape)
-    if interval == "Day":
-        days = rollup(raw, "Day").where(F.col("RecCount") > limits.stuck_day_min)
-        return eng_rows(days, interval, SOLAR_STUCK, TRIP_STOP, **shape)
-    hours = rollup(raw, "Hour")
-    weeks = hours.groupBy("fridgeid", week_label(F.col("bucket")).alias("week")).agg(
-        F.sum("RecCount").alias("RecCount"), F.min("FirstTime").alias("FirstTime"),
-        F.max("LastTime").alias("LastTime"), F.count_if(F.col("RecCount") > limits.stuck_hour_min).alias("hours"))
-    return eng_rows(weeks.where(F.col("hours") >= limits.stuck_hours), interval, SOLAR_STUCK, TRIP_STOP,
-                    at="FirstTime", **shape)
+    return point_rows(t, start, end, [stuck_rule(interval, limits)])
 
 
 def mains_trips(events: DataFrame, interval: str = "Week") -> DataFrame:
@@ -273,6 +308,11 @@ def mech_thermostat(t: FleetTables, start, end, interval: str = "Week", limits:
         mains_trips(trip_events(edges, limits), interval))
 
 
+def _charge_bands(power: Column, ambient: Column, limits: Limits) -> tuple[Column, Column]:
+    low = (power >= limits.charge_floor_w) & (power < limits.charge_low_w) & (ambient < limits.charge_ambient_c)
+    return low, (power >= limits.charge_low_w) & (power < limits.charge_high_w) & (ambient >= limits.charge_ambient_c)
+
+
 def low_charge(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits(),
                edges: DataFrame | None = None) -> DataFrame:
     """Low power in the minutes before shutdown, in a band that depends on the ambient temperature."""
@@ -280,8 +320,7 @@ def low_charge(t: FleetTables, start, end, interval: str = "Day", limits: Limits
     if edges is None:
         edges = edge_power(t.sensor, start, end, [charge_frame(limits)])
     power, ambient = F.col("avg_w"), F.col("avg_ambient")
-    low = (power >= limits.charge_floor_w) & (power < limits.charge_low_w) & (ambient < limits.charge_ambient_c)
-    high = (power >= limits.charge_low_w) & (power < limits.charge_high_w) & (ambient >= limits.charge_ambient_c)
+    low, high = _charge_bands(power, ambient, limits)
     raw = edges.where((F.col("name") == "charge") & (F.col("samples") > limits.charge_min_count) & (low | high)).select(
         "fridgeid", "EventTime", power.alias("value"), "samples", (power < limits.charge_low_w).alias("is_low"))
     is_low = F.col("is_low")
@@ -293,6 +332,41 @@ def low_charge(t: FleetTables, start, end, interval: str = "Day", limits: Limits
     return eng_rows(rolled, interval, CHARGE, F.when(is_low, CHARGE_LOW).otherwise(CHARGE_HIGH), **shape)
 
 
+TRIPS, CHARGES = 1, 2
+
+
+def edge_findings(edges: DataFrame, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
+    """Weekly thermostat trips and low charge of one edge table, rolled up together so that its readings are read once."""
+    interval = supported(interval, "All", "Day", "Week")
+    at, power, ambient = F.col("EventTime"), F.col("avg_w"), F.col("avg_ambient")
+    trip = F.col("name").isin("stop_trip", "start_trip") & (power < limits.trip_max_w)
+    low, high = _charge_bands(power, ambient, limits)
+    charge = (F.col("name") == "charge") & (F.col("samples") > limits.charge_min_count) & (low | high)
+    texts = sorted((TRIP_STOP, TRIP_START))
+    # edges of one kind and second are one row, so an event is a bucket of its own
+    own = at if interval == "All" else bucket(at, interval).cast("timestamp")
+    rows = edges.where(trip | charge).select(
+        "fridgeid", "EventTime", "samples", power.alias("value"), F.when(trip, TRIPS).otherwise(CHARGES).alias("rule"),
+        F.when(trip, (F.col("name") == "stop_trip").cast("int") * texts.index(TRIP_STOP) + (F.col("name") == "start_trip").cast("int") * texts.index(TRIP_START)).otherwise(
+            (power < limits.charge_low_w).cast("int")).alias("key"),
+        F.when(trip, bucket(at, "Week").cast("timestamp")).otherwise(own).alias("bucket"))
+    rolled = rows.groupBy("fridgeid", "rule", "key", "bucket").agg(
+        F.count(F.lit(1)).alias("RecCount"), F.sum("samples").alias("samples"), F.min("EventTime").alias("EventTime"), F.max("EventTime").alias("LastTime"), F.min_by("value", "EventTime").alias("value"))
+    # each Detail's first trip is charted up to the last trip of every Detail of the week: at most 2 x 2 rows
+    week = Window.partitionBy("fridgeid", "rule", "bucket")
+    ends = F.when(F.col("rule") == TRIPS, F.collect_list("LastTime").over(week)).otherwise(F.array("LastTime"))
+    paired = rolled.withColumn("ends", ends).select("fridgeid", "rule", "key", "RecCount", "samples", "EventTime", "value", F.explode("ends").alias("LastTime"))
+    is_low = F.col("key") == 1
+    shape = {"slack_s": SLACK, "only": "M"}
+    if interval == "All":
+        charged = eng_columns(interval, CHARGE, F.when(is_low, CHARGE_LOW_EVENT).otherwise(CHARGE_HIGH), value=_value(), count="samples",
+                              span=("EventTime", F.when(is_low, _hour_later()).otherwise(at)), **shape)
+    else:
+        charged = eng_columns(interval, CHARGE, F.when(is_low, CHARGE_LOW).otherwise(CHARGE_HIGH), value=_value(), span=("EventTime", "LastTime"), **shape)
+    trips = eng_columns("Week", TRIP, F.when(F.col("key") == 0, texts[0]).otherwise(texts[1]), span=("EventTime", "LastTime"), **shape)
+    return eng_cases(paired, [(F.col("rule") == TRIPS, trips), (F.col("rule") == CHARGES, charged)])
+
+
 # --- error codes -----------------------------------------------------------------------------
 
 
@@ -305,38 +379,54 @@ def _daq_rows(t: FleetTables, start, end) -> DataFrame:
         F.when(counted, inside_parentheses(F.col("message"))).otherwise("1").alias("value"))
 
 
-def code_values(events: DataFrame, sensor: DataFrame, start, end, limits: Limits = Limits()) -> DataFrame:
+#: Code, column, extreme and further condition of the sensor values beside a code.
+CODE_EXTREMES = {
+    "v5881": ("5881", "EWCP2", F.max, "SCPX = 1"), "v5882_on": ("5882", "EWCP2", F.min, "SCPX = 1 and EWCP2 > 1"), "v5882_any": ("5882", "EWCP2", F.min, "SCPX = 1"),
+    "v5888": ("5888", "TCPDISCTL", F.max, "true"), "v5889": ("5889", "TEVIN", F.min, "SCPX = 1"), "v5084_max": ("5084", "ECDBAT", F.max, "SCPX = 1"),
+    "v5084_min": ("5084", "ECDBAT", F.min, "SCPX = 1"),
+}
+
+
+def hour_extremes(readings: DataFrame, borders: DataFrame) -> DataFrame:
+    """Extremes of ``CODE_EXTREMES`` by device and hour; in the hours of ``borders`` (fridgeid, hour) by single time.
+
+    ``since`` is the time of the group, or the begin of its hour. The summaries
+    combine in the map tasks, so only they are shuffled.
+    """
+    marked = readings.join(borders.withColumn("border", F.lit(True)), ["fridgeid", "hour"], "left")
+    single = F.when(F.col("border"), F.col("measureddtm"))
+    grouped = marked.groupBy("fridgeid", "hour", single.alias("single")).agg(*[
+        extreme(F.when(F.expr(condition), F.col(column))).alias(name) for name, (_, column, extreme, condition) in CODE_EXTREMES.items()])
+    return grouped.withColumn("since", F.coalesce("single", F.timestamp_seconds(F.col("hour") * 3600)))
+
+
+def code_values(events: DataFrame, sensor: DataFrame, start, end, limits: Limits = Limits(), most: int = MOST_ROWS) -> DataFrame:
     """Sensor extremes of each code in the days after its first event.
 
     ``events`` has one row per device and code, so a device is one row of five
-    times. It meets the readings on (device, hour), which spreads a large device
-    over its hours; every reading is counted for all codes at once.
+    times. Readings are summed up by (device, hour): an hour lies inside or outside
+    a code's days as a whole, but for the two hours at its borders, where each
+    time stays by itself. Devices without such a code leave before the shuffle as
+    long as the others can be broadcast (at most ``most``), and shuffle summaries only
+    beyond that.
     """
     valued = ("5881", "5882", "5888", "5889", "5084")
     first = events.where(F.col("id").isin(*valued)).groupBy("fridgeid").agg(
         *[F.min(F.when(F.col("id") == c, F.col("EventTime"))).alias(f"at_{c}") for c in valued])
-    times = F.array_compact(F.array(*[f"at_{c}" for c in valued]))
+    few = first.limit(most + 1).count() <= most
+    near = F.broadcast if few else (lambda frame: frame)
     span = F.expr(f"interval {limits.code_value_days} days")
-    hours = F.sequence(slot_number(F.array_min(times), 3600), slot_number(F.array_max(times) + span, 3600))
-    asked = first.withColumn("hour", F.explode(hours))
-    at = F.col("measureddtm")
+    times = F.array_compact(F.array(*[f"at_{c}" for c in valued]))
+    edges = F.concat(times, F.transform(times, lambda x: x + span))
+    borders = first.select("fridgeid", F.explode(F.array_distinct(F.transform(edges, lambda x: slot_number(x, 3600)))).alias("hour"))
     measured = between(sensor, start, end, fwd_s=limits.code_value_days * 86400).select(
-        "fridgeid", "measureddtm", slot_number(at, 3600).alias("hour"), "SCPX", "EWCP2", "TEVIN", "TCPDISCTL", "ECDBAT")
-
-    def during(code: str, *also: Column) -> Column:
-        begin = F.col(f"at_{code}")
-        return reduce(lambda a, b: a & b, also, (at >= begin) & (at < begin + span))
-
-    running = F.col("SCPX") == 1
-    power = F.col("EWCP2")
-    met = asked.join(measured, ["fridgeid", "hour"]).groupBy("fridgeid").agg(
-        F.max(F.when(during("5881", running), power)).alias("v5881"),
-        F.min(F.when(during("5882", running, power > 1), power)).alias("v5882_on"),
-        F.min(F.when(during("5882", running), power)).alias("v5882_any"),
-        F.max(F.when(during("5888"), F.col("TCPDISCTL"))).alias("v5888"),
-        F.min(F.when(during("5889", running), F.col("TEVIN"))).alias("v5889"),
-        F.max(F.when(during("5084", running), F.col("ECDBAT"))).alias("v5084_max"),
-        F.min(F.when(during("5084", running), F.col("ECDBAT"))).alias("v5084_min"))
+        "fridgeid", "measureddtm", slot_number(F.col("measureddtm"), 3600).alias("hour"), "SCPX", "EWCP2", "TEVIN", "TCPDISCTL", "ECDBAT")
+    if few:
+        measured = measured.join(near(first.select("fridgeid")), "fridgeid", "left_semi")
+    groups = hour_extremes(measured, near(borders)).join(near(first), "fridgeid")
+    met = groups.groupBy("fridgeid").agg(*[
+        extreme(F.when((F.col("since") >= F.col(f"at_{code}")) & (F.col("since") < F.col(f"at_{code}") + span), F.col(name))).alias(name)
+        for name, (code, _, extreme, _) in CODE_EXTREMES.items()])
     battery = F.concat(F.lit("["), number_text(F.col("v5084_max")), F.lit(","), number_text(F.col("v5084_min")), F.lit("]"))
     texts = {
         "5881": number_text(F.col("v5881")), "5882": number_text(F.coalesce("v5882_on", "v5882_any")),
@@ -362,6 +452,13 @@ def daq_codes(t: FleetTables, start, end, interval: str = "Week", limits: Limits
     return eng_rows(valued, interval, message, F.col("Detail"), value=value, **shape)
 
 
+def _listed_codes(raw: DataFrame) -> DataFrame:
+    """(fridgeid, RecCount of the window, ids, sensors): distinct rows first, then one sorted list of few texts per device."""
+    distinct = raw.groupBy("fridgeid", "id", "sensor").agg(F.count(F.lit(1)).alias("n"))
+    return distinct.groupBy("fridgeid").agg(
+        F.sum("n").cast("int").alias("total"), F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("sensor")).alias("sensors"))
+
+
 def daq_sensor_codes(t: FleetTables, start, end, interval: str = "Week", limits: Limits = Limits()) -> DataFrame:
     """Sensor codes: one weekly row listing all codes and sensors of the device's window."""
     interval = supported(interval, "All", "Week")
@@ -375,14 +472,8 @@ def daq_sensor_codes(t: FleetTables, start, end, interval: str = "Week", limits:
     if interval == "All":
         return eng_rows(raw, interval, F.col("id"), F.col("sensor"), count=_one(), span=("EventTime", _day_later()),
                         codes=F.concat(F.lit(CODE_PARAMETER), F.col("id")), **shape)
-    weeks = rollup(raw, "Week", extra={"ids": F.collect_set("id"), "sensors": F.collect_set("sensor")})
-    device = Window.partitionBy("fridgeid")
-
-    def all_of(column: str) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column).over(device))))
-
-    listed = weeks.select("fridgeid", "EventTime", "FirstTime", "LastTime", F.sum("RecCount").over(device).alias("RecCount"),
-                          all_of("ids").alias("ids"), all_of("sensors").alias("sensors"))
+    weeks = rollup(raw, "Week").drop("bucket", "EventTime")
+    listed = _listed_codes(raw).join(weeks.drop("RecCount"), "fridgeid").withColumns({"EventTime": F.col("FirstTime"), "RecCount": F.col("total")})
     codes = F.concat(F.lit(CODE_PARAMETER), F.array_join("ids", CODE_PARAMETER))
     return eng_rows(listed, interval, SENSOR_ERROR, F.array_join("ids", ","), value=F.array_join("sensors", ","),
                     codes=codes, **shape)

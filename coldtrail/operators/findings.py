@@ -20,11 +20,11 @@ def supported(interval: str, *known: str) -> str:
     raise ValueError(f"interval {interval!r} is not supported here; use one of {', '.join(known)}")
 
 
-def eng_rows(events: DataFrame, interval: str, message: Column | str, detail: Column | str | None, *,
-             value: Column | None = None, count: Column | str = "RecCount", at: Column | str | None = "EventTime",
-             span: tuple[Column | str, Column | str] = ("FirstTime", "LastTime"), slack_s: int,
-             links: str = DEVICE_LINK, codes: Column | None = None, only: str | None = None) -> DataFrame:
-    """Finding without its links: they need the device class, joined once by :func:`render`."""
+def eng_columns(interval: str, message: Column | str, detail: Column | str | None, *,
+                value: Column | None = None, count: Column | str = "RecCount", at: Column | str | None = "EventTime",
+                span: tuple[Column | str, Column | str] = ("FirstTime", "LastTime"), slack_s: int,
+                links: str = DEVICE_LINK, codes: Column | None = None, only: str | None = None) -> dict[str, Column]:
+    """A finding's columns without its links: they need the device class, joined once by :func:`render`."""
 
     def col(x):
         return F.col(x) if isinstance(x, str) else x
@@ -32,13 +32,27 @@ def eng_rows(events: DataFrame, interval: str, message: Column | str, detail: Co
     def text(x):
         return x if isinstance(x, Column) else F.lit(x).cast("string")
 
-    return events.select(
-        "fridgeid", F.lit(interval).alias("MessageInterval"), text(message).alias("Message"),
-        text(detail).alias("Detail"), text(value).alias("value"),
-        (count if isinstance(count, Column) else F.col(count)).cast("int").alias("RecCount"),
-        col(at).cast("timestamp").alias("EventTime"), col(span[0]).alias("link_from"), col(span[1]).alias("link_to"),
-        F.lit(slack_s).alias("link_slack"), F.lit(links).alias("link_kind"), text(codes).alias("link_codes"),
-        F.lit(only).cast("string").alias("only_class"))
+    return {
+        "MessageInterval": F.lit(interval), "Message": text(message), "Detail": text(detail), "value": text(value),
+        "RecCount": col(count).cast("int"), "EventTime": col(at).cast("timestamp"), "link_from": col(span[0]), "link_to": col(span[1]),
+        "link_slack": F.lit(slack_s), "link_kind": F.lit(links), "link_codes": text(codes), "only_class": F.lit(only).cast("string")}
+
+
+def eng_rows(events: DataFrame, *args, **shape) -> DataFrame:
+    """Findings of one shape, see :func:`eng_columns`."""
+    return events.select("fridgeid", *[column.alias(name) for name, column in eng_columns(*args, **shape).items()])
+
+
+def eng_cases(events: DataFrame, cases: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """Findings whose columns depend on which condition a row meets."""
+    def chosen(name: str) -> Column:
+        (first, shape), *rest = cases
+        chain = F.when(first, shape[name])
+        for condition, other in rest:
+            chain = chain.when(condition, other[name])
+        return chain.alias(name)
+
+    return events.select("fridgeid", *[chosen(name) for name in cases[0][1]])
 
 
 def device_flags(device_group: DataFrame) -> DataFrame:

@@ -20,19 +20,18 @@ from .fleet import ALL, EXCLUDED_COUNTRY, eng_location, fleet
 
 
 def eng_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
-    """All detectors of the report, unrendered; only some follow the caller's interval."""
+    """All detectors of the report, unrendered; only some follow the caller's interval.
+
+    The sensor series is read four times: by the rules over single readings, by the
+    edges, by the values beside error codes, and for openings before the window
+    (five times where events are listed one by one).
+    """
     edges = edge_power(t.sensor, start, end, [*trip_frames(limits), charge_frame(limits)])
     parts = [
-        eng.no_door_openings(t, start, end, "Week", limits),
+        eng.point_findings(t, start, end, interval, limits),
+        eng.edge_findings(edges, interval, limits),
         eng.daq_errors(t, start, end, "Week", limits),
-        eng.mech_thermostat(t, start, end, "Week", limits, edges),
-        eng.overlapping_data(t, start, end, "Hour", limits),
-        eng.high_voltage(t, start, end, interval, limits),
-        eng.low_temperature(t, start, end, interval, limits),
-        eng.ambient_extremes(t, start, end, "Week", limits),
-        eng.high_compressor_power(t, start, end, interval, limits),
         eng.failed_starts(t, start, end, "Week", limits),
-        eng.low_charge(t, start, end, interval, limits, edges),
     ]
     return reduce(DataFrame.unionByName, parts)
 
