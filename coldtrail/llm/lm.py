@@ -23,13 +23,14 @@ ADD = 0.1
 HEAVY = 1 << 20  # words of at least 1/HEAVY of the tokens: at most that many, broadcast with their exact counts
 SEGMENT_BYTES = 6 << 20  # bytes of text per segment of the filter
 LEVELS = 48
-LIMIT = 96 << 20  # bytes of filter that are broadcast; a larger one stays in its segments
+LIMIT = 256 << 20  # bytes of filter that are broadcast; a larger one stays in its segments
 TEXT_BYTES = 4_000_000
 COUNT_BYTES = 8_000_000  # of text whose n-grams are counted together before the shuffle
-SENT_BYTES = 500_000  # of text that ask a filter in segments together
+SENT_BYTES = 2_000_000  # of text that ask a filter in segments together
 MERGED = 1 << 22  # entries a segment gathers before it adds them up
 GOLD, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ONE = np.uint64(1)
+SCORED = ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -266,21 +267,11 @@ def _rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def asked_segments(rows: DataFrame, segments: DataFrame, group_bits: int, values: np.ndarray, total: float) -> DataFrame:
-    """(rid, score): the texts of ``rows`` (rid, text) scored by a filter too large for one worker. Each small chunk sends its
-    distinct keys to the segments that hold them and gets levels back, in one shuffle each way, so that work and memory
-    follow the texts and no worker holds more than a segment."""
-    spark = rows.sparkSession
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 33
-        for part in chunks(batches, limit=SENT_BYTES):
-            t = tokens(part.column(1))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([chunk]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([t.names.tobytes()], pa.binary()),
-                pa.array([t.words.astype(np.int32).tobytes()], pa.binary()), pa.array([t.counts.astype(np.int32).tobytes()], pa.binary())],
-                ["chunk", "rids", "names", "words", "counts"])
-            chunk += 1
+def asked_segments(coded: DataFrame, segments: DataFrame, group_bits: int, values: np.ndarray, total: float) -> DataFrame:
+    """(rid, score): the texts of ``coded`` chunks scored by a filter too large for one worker. Each chunk sends its distinct
+    keys to the segments that hold them and gets levels back, in one shuffle each way, so that work and memory follow
+    the texts and no worker holds more than a segment."""
+    spark = coded.sparkSession
 
     def opened(names: bytes, words: bytes, counts: bytes) -> Tokens:
         every, n = np.frombuffer(words, np.int32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64)
@@ -331,14 +322,13 @@ def asked_segments(rows: DataFrame, segments: DataFrame, group_bits: int, values
 
                 yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(text_scores(t, levels, values, total))], ["rid", "score"])
 
-    coded = stored(rows.select("rid", "text").mapInArrow(code, "chunk bigint, rids array<bigint>, names binary, words binary, counts binary"), "coded-chunks")
     with _rows_per_batch(spark, 64):
         sent = coded.select("chunk", "names", "words", "counts").mapInArrow(ask, "segment bigint, chunk bigint, body binary")
         held = segments.select("segment", F.lit(None).cast("bigint").alias("chunk"), F.col("bits").alias("body"))
         met = sent.unionByName(held).repartition("segment").sortWithinPartitions("segment", F.col("chunk").asc_nulls_first())
         answers = stored(met.mapInArrow(answer, "chunk bigint, segment bigint, levels binary"), "answers")
         gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("segment", "levels")).alias("answers"))
-        joined = coded.join(gathered, "chunk").select("rids", "names", "words", "counts", "answers")
+        joined = coded.join(gathered, "chunk").select("texts.rid", "names", "words", "counts", "answers")
         return stored(joined.mapInArrow(score, "rid bigint, score double"), "text-scores")
 
 
@@ -352,8 +342,8 @@ def language_model_scores(docs: DataFrame, id_column: str = "doc_id", text_colum
     end token; repeated rows score and count each; a null id belongs to the hold-out its empty text gives; other columns
     are ignored; no rows give no rows. Should nothing be left to learn from, every count is zero.
 
-    A filter of up to ``limit`` bytes is broadcast. A larger one stays in its segments, and the texts' distinct n-grams are
-    sent there (``asked_segments``): same answers, work in proportion to the texts.
+    Texts are read twice, to count and to score. A filter of up to ``limit`` bytes is broadcast. A larger one stays in its
+    segments, and the texts' distinct n-grams are sent there (``asked_segments``): same answers, work in proportion to the texts.
     """
     held_out = remainder(id_column, 10) == 0 if held_out is None else held_out
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out.alias("held_out"), whole_text(text_column).alias("text"))
@@ -369,17 +359,13 @@ def language_model_scores(docs: DataFrame, id_column: str = "doc_id", text_colum
     common = spark.sparkContext.broadcast((often["word"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
     filter_bytes = segments.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     within = filter_bytes <= limit
-    if within:
-        shared = spark.sparkContext.broadcast(whole_filter(segments, group_bits, filter_bytes))
-        rows = rows.withColumn("rid", F.lit(0).cast("bigint"))
-    else:
-        shared = None
-        rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    shared = spark.sparkContext.broadcast(whole_filter(segments, group_bits, filter_bytes)) if within else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = common.value
-        next_row = TaskContext.get().partitionId() << 33
-        for chunk in chunks(batches, limit=TEXT_BYTES):
+        part = TaskContext.get().partitionId() << 33
+        next_row = part
+        for chunk in chunks(batches, limit=TEXT_BYTES if within else SENT_BYTES):
             t = tokens(chunk.column(2))
             signed = t.names.view(np.int64)
             at = np.minimum(np.searchsorted(words, signed), max(0, len(words) - 1))
@@ -387,27 +373,31 @@ def language_model_scores(docs: DataFrame, id_column: str = "doc_id", text_colum
             value = np.zeros(len(signed))
             value[common_word] = np.log10((known[at[common_word]] + ADD) / total)
             hit = common_word[t.words]
-            rare = t.words[~hit]
-            ends = np.cumsum(t.counts) - np.cumsum(np.add.reduceat(hit.astype(np.int64), t.begins))
-            rid = pa.array(next_row + np.arange(len(t.counts))) if within else chunk.column(3)
+            hits = np.add.reduceat(hit.astype(np.int64), t.begins)
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t.counts - hits)]).astype(np.int32)), pa.array(signed[t.words[~hit]]))
+            score = text_scores(t, lambda keys: _asked(shared.value, keys), values, total) if within else np.zeros(len(t.counts))
+            found = [chunk.column(0), chunk.column(1), pa.array(next_row + np.arange(len(t.counts))), pa.array(t.counts), pa.array(hits),
+                     pa.array(np.add.reduceat(value[t.words], t.begins)), pa.array(score), rare]
             next_row += len(t.counts)
             if within:
-                score = text_scores(t, lambda keys: _asked(shared.value, keys), values, total)
-            else:
-                score = np.zeros(len(t.counts))
+                yield pa.RecordBatch.from_arrays(found, SCORED)
+                continue
+            texts = pa.ListArray.from_arrays(pa.array([0, len(t.counts)], pa.int32()), pa.StructArray.from_arrays(found, SCORED))
             yield pa.RecordBatch.from_arrays([
-                chunk.column(0), chunk.column(1), rid, pa.array(t.counts), pa.array(np.add.reduceat(hit.astype(np.int64), t.begins)), pa.array(np.add.reduceat(value[t.words], t.begins)),
-                pa.array(score), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(signed[rare]))],
-                ["doc_id", "held_out", "rid", "n_tokens", "known", "base", "score", "rare"])
+                pa.array([next_row], pa.int64()), texts, *(pa.array([x.tobytes()], pa.binary()) for x in (t.names, t.words.astype(np.int32), t.counts.astype(np.int32)))],
+                ["chunk", "texts", "names", "words", "counts"])
 
-    schema = f"doc_id {kind}, held_out boolean, rid bigint, n_tokens bigint, known bigint, base double, score double, rare array<bigint>"
-    scored = stored(rows.mapInArrow(run, schema), "scored")
+    fields = dict(zip(SCORED, (kind, "boolean", "bigint", "bigint", "bigint", "double", "double", "array<bigint>")))
+    if within:
+        scored = stored(rows.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in fields.items())), "scored")
+    else:
+        texts = ",".join(f"{a}:{b}" for a, b in fields.items())
+        coded = stored(rows.mapInArrow(run, f"chunk bigint, texts array<struct<{texts}>>, names binary, words binary, counts binary"), "coded-chunks")
+        scored = coded.select(F.inline("texts")).drop("score").join(asked_segments(coded, segments, group_bits, values, total), "rid")
     rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     found = rare.join(counts.where(F.col("n") * heavy < n), "word", "left")
     seen = F.coalesce("n", F.lit(0))
     sums = found.groupBy("rid").agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((seen + ADD) / F.lit(total))).alias("b"))
-    if not within:
-        scored = scored.drop("score").join(asked_segments(rows, segments, group_bits, values, total), "rid")
     return scored.join(sums, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score")
