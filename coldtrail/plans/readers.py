@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,14 @@ from ..functions.timebucket import as_datetime, report_time
 from .fleet import ALL
 
 
+Clock = Callable[[], dt.datetime]
+
+
+def utc_now() -> dt.datetime:
+    """The time a job or reader takes where none is given."""
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
 def _day(run_date, offset: int) -> dt.date:
     return as_datetime(run_date).date() + dt.timedelta(days=offset)
 
@@ -28,8 +37,9 @@ def _of_country(rows: DataFrame, country: str) -> DataFrame:
     return rows if country.strip().lower() == ALL.lower() else rows.where(same_text(F.col("Country"), country))
 
 
-def read_eng(report: DataFrame, run_date, country: str = ALL) -> DataFrame:
-    """Engineering rows of the week before, formatted and in report order."""
+def read_eng(report: DataFrame, run_date=None, country: str = ALL, *, clock: Clock = utc_now) -> DataFrame:
+    """Engineering rows of the week before (the current time by default), formatted and in report order."""
+    run_date = clock() if run_date is None else run_date
     rows = _of_country(report.where(F.col("StartDate") == F.lit(eng_window(run_date)[0])), country)
     message = F.col("Message")
     link = F.when(message.like("DAQ%") | message.like("Failed%Start%"), F.col("GLink")).otherwise(F.col("Link"))
@@ -43,9 +53,9 @@ def read_eng(report: DataFrame, run_date, country: str = ALL) -> DataFrame:
         "MessageInterval")
 
 
-def read_tech(report: DataFrame, run_date, country: str = ALL, version: str = "1.1") -> DataFrame:
-    """Technician rows of the window; version 1.0 shows the value without decimals."""
-    start, end = tech_window(run_date)
+def read_tech(report: DataFrame, run_date=None, country: str = ALL, version: str = "1.1", *, clock: Clock = utc_now) -> DataFrame:
+    """Technician rows of the window (of the current time by default); version 1.0 shows the value without decimals."""
+    start, end = tech_window(clock() if run_date is None else run_date)
     rows = _of_country(report.where((F.col("StartDate") == F.lit(start)) & (F.col("EndDate") == F.lit(end))), country)
     digits = {"1.1": 1, "1.0": 0}[version]
     shown = {

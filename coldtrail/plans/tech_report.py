@@ -15,8 +15,9 @@ from ..operators.findings import TECH_COLUMNS
 from ..operators.profile import fleet_profile
 from ..operators.runs import last_compressor_run
 from ..schema import REPORT_TECH
-from ..sources.tables import FleetTables, between, readings
+from ..sources.tables import FleetTables
 from .fleet import ALL, EXCLUDED_COUNTRY, placed_fleet, placed_history_fleet
+from .last_seen import newest
 from .suppress import clear_offline_columns, only_missing_data_when_scarce, suppress
 
 # Fixed value: chart slack of the weekly link in seconds.
@@ -83,19 +84,6 @@ def state_columns(rules: RuleSet, start, end, limits: Limits) -> list[str]:
         f"cast({received} as decimal(6,1)) as DataRx"]
 
 
-def seen_before(t: FleetTables, devices: DataFrame, start, end) -> DataFrame:
-    """Last reading before the window of devices that are silent in it.
-
-    History is reduced to one row per device in the map tasks, before anything is
-    shuffled. The join is an inner one because Spark would push a semi-join below
-    the aggregation, in front of the raw readings.
-    """
-    active = readings(t.sensor, start, end).select("fridgeid").distinct()
-    silent = devices.select("fridgeid").distinct().join(active, "fridgeid", "left_anti")
-    past = between(t.sensor, None, start).groupBy("fridgeid").agg(F.max("measureddtm").alias("past_time"))
-    return past.join(silent, "fridgeid")
-
-
 def data_age(last_time: Column, end) -> Column:
     return days_hours(F.lit(epoch_of(end)) - epoch(last_time))
 
@@ -132,12 +120,15 @@ def tech_findings(t: FleetTables, devices: DataFrame, start, end, rules: str = "
 
 def tech_report(t: FleetTables, start, end, country: str = ALL, *, rules: str = "v6", limits: Limits = Limits(),
                 excluded: str = EXCLUDED_COUNTRY, base: LinkBase = DEFAULT_BASE,
-                intended_precedence: bool = False) -> DataFrame:
+                intended_precedence: bool = False, seen: DataFrame | None = None) -> DataFrame:
+    """Report rows. ``seen`` has each device's last reading before the window (:func:`last_seen.last_seen`); without it all history
+    before the window is read, one row per device and task."""
     chosen = RULE_SETS[rules]
+    seen = newest(t, None, start) if seen is None else seen
     devices = placed_fleet(t, country, excluded) if chosen.by_country else placed_history_fleet(t, excluded)
     found = tech_findings(t, devices, start, end, rules, limits, intended_precedence)
     runs = last_compressor_run(t.sensor, start, end, limits)
-    rows = found.join(runs, "fridgeid", "left").join(seen_before(t, devices, start, end), "fridgeid", "left")
+    rows = found.join(runs, "fridgeid", "left").join(seen, "fridgeid", "left")
     if chosen.drop_scarce:
         rows = only_missing_data_when_scarce(rows, "device_id is not null")
     # class and link belong to the device record, as does the reported id
