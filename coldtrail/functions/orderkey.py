@@ -37,7 +37,7 @@ def value_of(key: Column) -> Column:
 
 
 def time_of(key: Column) -> Column:
-    return F.timestamp_micros(F.floor(_rest(key) / DETAILS).cast("bigint"))
+    return F.timestamp_micros(F.shiftright(_rest(key), DETAILS.bit_length() - 1))
 
 
 def detail_of(key: Column) -> Column:

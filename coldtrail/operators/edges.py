@@ -50,6 +50,17 @@ def tech_start_frame(near_s: int, span_s: int) -> EdgeFrame:
     return EdgeFrame("tech_start", "start", "after", near_s + 1, near_s + span_s - 1, near_s)
 
 
+SCALE = 1_000_000  # power and temperature are summed in millionths
+
+
+def _scaled(column: str) -> str:
+    return f"cast(round({column} * {SCALE}) as bigint)"
+
+
+def _mean(total: str, count: str) -> str:
+    return f"try_divide(cast({total} as double) / {SCALE}, {count})"
+
+
 def edge_power(sensor: DataFrame, start, end, frames: list[EdgeFrame]) -> DataFrame:
     """One row per device, frame and edge time that has running samples.
 
@@ -65,16 +76,18 @@ def edge_power(sensor: DataFrame, start, end, frames: list[EdgeFrame]) -> DataFr
     offset = {"before": ("next_state", 1), "after": ("prev_state", -1)}
     neighbours = {offset[f.anchor][0]: ("SCPX", offset[f.anchor][1]) for f in frames}
     sampled = "SCPX = 1 and EWCP2 != 0"
-    columns = {}
+    sums = {}
     for f in frames:
-        columns[f"{f.name}_samples"] = framed(f"count_if({sampled})", f.lo_s, f.hi_s)
-        columns[f"{f.name}_w"] = framed(f"avg(if({sampled}, EWCP2, null))", f.lo_s, f.hi_s)
-        columns[f"{f.name}_ambient"] = framed(f"avg(if({sampled}, TAMDAQ, null))", f.lo_s, f.hi_s)
+        parts = {
+            "samples": f"if({sampled}, 1, 0)", "w_sum": f"if({sampled}, {_scaled('EWCP2')}, 0)",
+            "ambient_n": f"if({sampled} and TAMDAQ is not null, 1, 0)", "ambient_sum": f"if({sampled}, coalesce({_scaled('TAMDAQ')}, 0), 0)"}
+        sums |= {f"{f.name}_{part}": framed(number, f.lo_s, f.hi_s) for part, number in parts.items()}
     is_edge = {f.name: _CHANGES[f.change, f.anchor] for f in frames}
-    edges = with_neighbours(rows, neighbours, " or ".join(f"({c})" for c in is_edge.values()), columns)
+    edges = with_neighbours(rows, neighbours, " or ".join(f"({c})" for c in is_edge.values()), sums)
     listed = ", ".join(
         f"struct('{f.name}' as name, coalesce({is_edge[f.name]}, false) as is_edge, epoch + {f.shift_s} as at, "
-        f"{f.name}_samples as samples, {f.name}_w as avg_w, {f.name}_ambient as avg_ambient)" for f in frames)
+        f"{f.name}_samples as samples, {_mean(f'{f.name}_w_sum', f'{f.name}_samples')} as avg_w, "
+        f"{_mean(f'{f.name}_ambient_sum', f'{f.name}_ambient_n')} as avg_ambient)" for f in frames)
     return (
         edges.selectExpr("fridgeid", f"inline(array({listed}))")
         .where("is_edge and samples > 0")

@@ -234,9 +234,16 @@ def long_door_open(t: FleetTables, start, end, limits: Limits = Limits(), codes:
     return tech_rows(longest.where(F.col("longest") > limits.door_hours), "High", "Door Open Alert", "Open Hours", F.col("longest"))
 
 
-def _trip_count(edges: DataFrame, min_count: int, limits: Limits) -> DataFrame:
+def _trips(edges: DataFrame, min_count: int, limits: Limits) -> DataFrame:
     hits = edges.where((F.col("avg_w") < limits.trip_max_w) & (F.col("samples") > min_count))
-    counted = hits.groupBy("fridgeid").agg(F.count(F.lit(1)).alias("events"))
+    return hits.groupBy("fridgeid").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _trip_count(edges: DataFrame, min_count: int, limits: Limits) -> DataFrame:
+    return _trip_rows(_trips(edges, min_count, limits))
+
+
+def _trip_rows(counted: DataFrame) -> DataFrame:
     return tech_rows(counted, "Medium", "Mech Thermostat Engaged", "Event Count", F.col("events"), only="M")
 
 
@@ -251,11 +258,17 @@ def mech_trips_slow_start(t: FleetTables, start, end, limits: Limits = Limits())
     return _trip_count(edges, limits.slow_trip_min_count, limits)
 
 
-def mech_trips_slow_stop(t: FleetTables, start, end, limits: Limits = Limits(), literal: bool = True) -> DataFrame:
-    """Older stop-only variant. Literally it adds a count that is never set, so it has no findings."""
+def slow_stops(t: FleetTables, start, end, limits: Limits = Limits()) -> DataFrame:
+    """(fridgeid, events): stops of the older variant, counted."""
     edges = edge_power(t.sensor, start, end, [tech_stop_frame(limits.slow_trip_near_s, limits.slow_trip_span_s)])
-    found = _trip_count(edges, limits.slow_trip_min_count, limits)
-    return found.where(F.lit(False)) if literal else found
+    return _trips(edges, limits.slow_trip_min_count, limits)
+
+
+def mech_trips_slow_stop(t: FleetTables, start, end, limits: Limits = Limits(), literal: bool = True) -> DataFrame:
+    """Older stop-only variant. Literally it adds a count of starts that is never set, so the sum is null and nothing is found."""
+    starts = F.lit(None).cast("bigint") if literal else F.lit(0)
+    found = slow_stops(t, start, end, limits).withColumn("events", F.col("events") + starts).where("events > 0")
+    return _trip_rows(found)
 
 
 def mech_trip_times(t: FleetTables, start, end, limits: Limits = Limits()) -> DataFrame:

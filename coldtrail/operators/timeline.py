@@ -29,13 +29,19 @@ def spread(rows: DataFrame, chunk_s: int, back_s: int = 0, fwd_s: int = 0) -> Da
     return rows.selectExpr("*", f"explode({seen_from}) as chunk").selectExpr("*", f"chunk = {home} as own")
 
 
-def framed(aggregate: str, lo_s: int, hi_s: int) -> str:
-    """An aggregate over the readings between two offsets (inclusive) from the current second."""
-    def bound(offset: int) -> str:
-        return f"{abs(offset)} {'preceding' if offset < 0 else 'following'}"
+def framed(number: str, lo_s: int, hi_s: int) -> str:
+    """Sum of a whole number over the readings between two offsets (inclusive) from the current second.
 
-    return (f"{aggregate} over (partition by fridgeid, chunk order by epoch "
-            f"range between {bound(lo_s)} and {bound(hi_s)})")
+    It is the difference of two running sums, each of which passes over the chunk
+    once, so its cost does not depend on the length of the frame or the cadence of
+    the readings. Whole numbers make the difference exact.
+    """
+    def until(offset: int) -> str:
+        end = "current row" if offset == 0 else f"{abs(offset)} {'preceding' if offset < 0 else 'following'}"
+        return (f"coalesce(sum(cast({number} as bigint)) over (partition by fridgeid, chunk order by epoch "
+                f"range between unbounded preceding and {end}), 0)")
+
+    return f"({until(hi_s)} - {until(lo_s - 1)})"
 
 
 def with_neighbours(rows: DataFrame, neighbours: dict[str, tuple[str, int]], keep: str,

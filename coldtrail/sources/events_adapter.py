@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import STORED_TIME
+
 # Declared so that building a plan reads no file.
 STAR_SCHEMAS = {
     "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
@@ -77,7 +79,7 @@ class EventFleet:
         # parsed once per event, in a projection of its own
         parsed = self._events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
         return parsed.selectExpr(
-            "user_id as fridgeid", f"{_SECOND} as measureddtm", "event_id as reading_id",
+            "user_id as fridgeid", f"{_SECOND} as measureddtm", "event_id as reading_id", f"ts as {STORED_TIME}",
             *[f"cast({e} as double) as {name}" for name, e in DOUBLES.items()],
             *[f"cast({e} as int) as {name}" for name, e in INTS.items()])
 
@@ -96,11 +98,11 @@ class EventFleet:
             "user_id as fridgeid", f"array({codes})[cast(event_id % 20 as int)] as id",
             f"concat('error ', array({codes})[cast(event_id % 20 as int)]) as description",
             "if(event_id % 20 = 5 and event_id % 3 = 0, '', concat(event_id % 3, '(', cast(floor(value) as int), ')')) as message",
-            f"{_SECOND} as measureddtm")
+            f"{_SECOND} as measureddtm", f"ts as {STORED_TIME}")
 
     @cached_property
     def bad_time_errors(self) -> DataFrame:
-        return self._events.where("event_type = 'signup'").selectExpr("user_id as fridgeid", f"{_SECOND} as createddtm")
+        return self._events.where("event_type = 'signup'").selectExpr("user_id as fridgeid", f"{_SECOND} as createddtm", f"ts as {STORED_TIME}")
 
     @cached_property
     def location_history(self) -> DataFrame:

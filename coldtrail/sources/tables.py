@@ -36,6 +36,8 @@ class FleetTables:
 
 
 DAY_COLUMN = "measured_day"
+#: A frame whose time is derived may carry the stored time (without a zone) under this name; it differs by less than a second.
+STORED_TIME = "_stored_at"
 
 
 def read_table(spark: SparkSession, path: str, struct: T.StructType) -> DataFrame:
@@ -52,11 +54,14 @@ def between(frame: DataFrame, start, end, *, back_s: int = 0, fwd_s: int = 0, at
     """Half-open time slice, widened by the slack; no lower bound where ``start`` is None.
 
     The bounds are literals on the stored column, so they reach the scan, and whole
-    day folders are skipped where the table has them.
+    day folders are skipped where the table has them. A frame with a derived time is
+    bounded on its stored time as well, a second wider.
     """
     until = epoch_of(end) + fwd_s
     conditions = [f"{at} < timestamp_seconds({until})"]
-    partitioned = DAY_COLUMN in frame.columns
+    partitioned, derived = DAY_COLUMN in frame.columns, STORED_TIME in frame.columns
+    if derived:
+        conditions.append(f"{STORED_TIME} < timestamp_ntz '{_second(until + 1)}'")
     if partitioned:
         conditions.append(f"{DAY_COLUMN} <= date '{_day(until - 1)}'")
     if start is not None:
@@ -64,7 +69,13 @@ def between(frame: DataFrame, start, end, *, back_s: int = 0, fwd_s: int = 0, at
         conditions.append(f"{at} >= timestamp_seconds({since})")
         if partitioned:
             conditions.append(f"{DAY_COLUMN} >= date '{_day(since)}'")
-    return frame.where(" and ".join(conditions))
+        if derived:
+            conditions.append(f"{STORED_TIME} >= timestamp_ntz '{_second(since - 1)}'")
+    return frame.where(" and ".join(conditions)).drop(STORED_TIME)
+
+
+def _second(second: int) -> str:
+    return (dt.datetime(1970, 1, 1) + dt.timedelta(seconds=second)).isoformat(" ")
 
 
 def _day(second: int) -> str:

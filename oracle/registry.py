@@ -24,7 +24,7 @@ from coldtrail.plans.tech_report import tech_findings, tech_report
 from coldtrail.schema import REPORT_ENG, REPORT_TECH
 from coldtrail.sources.events_adapter import fleet_from_events
 from coldtrail.sources.sinks import read_report
-from coldtrail.sources.tables import FleetTables, error_rows, read_sim_billing, readings
+from coldtrail.sources.tables import STORED_TIME, FleetTables, error_rows, read_sim_billing, readings
 from coldtrail.sources.workspace import shared_folder
 
 from . import eng as eng_sql
@@ -112,6 +112,57 @@ _tech("mech_trips_slow_start", lambda t: tech.mech_trips_slow_start(t, START, EN
       tech_sql.mech_trips(("t_start",), LIMITS.slow_trip_min_count), _SLOW)
 _tech("mech_trips_slow_stop", lambda t: tech.mech_trips_slow_stop(t, START, END, LIMITS, literal=False),
       tech_sql.mech_trips(("t_stop",), LIMITS.slow_trip_min_count), _SLOW)
+
+
+# --- the forms that need hourly alarms and ten-second readings, over tables derived from the events ---
+
+
+def _with(t: FleetTables, **other: DataFrame) -> FleetTables:
+    names = ("sensor", "errors", "bad_time_errors", "location_history", "device", "device_group")
+    return FleetTables(**{name: getattr(t, name) for name in names} | other)
+
+
+def _hourly_alarms(t: FleetTables) -> FleetTables:
+    """Every door alarm repeats each hour, up to 23 times."""
+    last = F.when(F.col("id") == "5404", F.floor(F.unix_seconds("measureddtm") / 60) % 24).otherwise(0)
+    rows = t.errors.drop(STORED_TIME).withColumn("hour", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
+    return _with(t, errors=rows.withColumn("measureddtm", F.expr("timestamp_seconds(unix_seconds(measureddtm) + hour * 3600)")).drop("hour"))
+
+
+def _bursts(t: FleetTables) -> FleetTables:
+    """Every reading starts ten minutes of readings ten seconds apart, running for the first seven and a half."""
+    rows = t.sensor.drop(STORED_TIME).withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint"))))
+    return _with(t, sensor=rows.withColumns({
+        "measureddtm": F.expr("timestamp_seconds(unix_seconds(measureddtm) + step * 10)"), "reading_id": F.col("reading_id") * 60 + F.col("step"),
+        "SCPX": F.when(F.col("step") < 45, 1).otherwise(0)}).drop("step"))
+
+
+def _alarms_sql(statement: str) -> str:
+    hours = "case when id = '5404' then cast(epoch(measureddtm) as bigint) // 60 % 24 else 0 end"
+    again = (f"errors as (select fridgeid, measureddtm + to_hours(cast(hour as int)) as measureddtm, id, description, message "
+             f"from (select *, unnest(range(0, {hours} + 1)) as hour from plain_errors)),")
+    return statement.replace("\nerrors as (", "\nplain_errors as (", 1).replace("\nbad_time_errors as (", f"\n{again}\nbad_time_errors as (", 1)
+
+
+def _bursts_sql(statement: str) -> str:
+    again = ("sensor as (select * replace (measureddtm + to_seconds(cast(step * 10 as int)) as measureddtm, event_id * 60 + step as event_id, "
+             "case when step < 45 then 1 else 0 end as SCPX) from (select *, unnest(range(0, 60)) as step from plain_sensor)),")
+    return statement.replace("\nsensor as (", "\nplain_sensor as (", 1).replace("\nerrors as (", f"\n{again}\nerrors as (", 1)
+
+
+def _literal_stops(t: FleetTables) -> DataFrame:
+    """Stops by the literal rules, and whether the literal sum of stops and starts finds the device."""
+    dense = _bursts(t)
+    found = tech.mech_trips_slow_stop(dense, START, END).select("fridgeid", F.lit(True).alias("found"))
+    return tech.slow_stops(dense, START, END).join(found, "fridgeid", "left").select("fridgeid", "events", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+register("long_door_open_hours", lambda t: tech.long_door_open(_hourly_alarms(t), START, END).drop("only_class"),
+         _alarms_sql(tech_sql.statement(tech_sql.long_door_open(codes="5404", interval="hour", limit=11))))
+register("tech_report_door_alarms", lambda t: doubles(tech_report(_hourly_alarms(t), START, END, limits=LIMITS, excluded=EXCLUDED)),
+         _alarms_sql(report_sql.statement(f"select * from {report_sql.tech_report(START, END)}")))
+register("mech_trips_slow_stop_literal", _literal_stops, _bursts_sql(tech_sql.statement(
+    "select fridgeid, count(*) as events, false as found from t_stop where watts < 1 and ct > 20 group by fridgeid", tech_sql.trip_edges(near=120, span=300))))
 _tech("mech_trip_times", lambda t: tech.mech_trip_times(t, START, END, LIMITS),
       f"select fridgeid, edge_time as dtm from stop_e where watts < {LIMITS.trip_max_w} union all "
       f"select fridgeid, edge_time from start_e where watts < {LIMITS.trip_max_w}", eng_sql.trip_ctes())

@@ -42,7 +42,7 @@ def test_packed_keys_order_like_their_parts_and_give_them_back(spark):
     frame = spark.createDataFrame(rows, "v double, t timestamp, d int").withColumn("key", packed(F.col("v"), F.col("t"), F.col("d")))
     got = frame.orderBy("key", "v").select("v", "t", "d", value_of(F.col("key")), time_of(F.col("key")), detail_of(F.col("key"))).collect()
     assert [(r[0] + 0.0, r[1], r[2]) for r in got] == sorted((v + 0.0, t, d) for v, t, d in rows)
-    assert all((r[0], r[1], r[2]) == (r[3], r[4], r[5]) for r in got)
+    assert [tuple(r[:3]) for r in got] == [tuple(r[3:]) for r in got]
     none = spark.createDataFrame([(None,)], "v double").select(value_of(packed(F.col("v"), F.lit(dt.datetime(2024, 1, 1))))).first()
     assert none[0] is None
 
@@ -60,6 +60,48 @@ def test_eng_report_reads_the_sensor_series_four_times(fleet):
     assert len(series) <= 4, len(series)
 
 
+@pytest.mark.parametrize("build", [
+    lambda t: eng.high_voltage(t, START, END, "Day", LIMITS), lambda t: eng.daq_errors(t, START, END, "Week", LIMITS), lambda t: eng.bad_time(t, START, END, "Day", LIMITS),
+    lambda t: eng.mech_thermostat(t, START, END, "Week", LIMITS)], ids=["voltage", "codes", "clock", "edges"])
+def test_bounds_on_a_derived_time_reach_the_scan(fleet, build):
+    plan = explained(build(fleet))
+    blocks = [b for b in re.split(r"\n\n(?=\(\d+\))", plan) if "Scan parquet" in b and "events.parquet" in b and not re.search(r"ReadSchema: struct<user_id:bigint>", b)]
+    assert blocks and all("GreaterThanOrEqual(ts," in b and "LessThan(ts," in b for b in blocks)
+
+
+def test_a_frame_is_the_difference_of_two_running_sums(spark):
+    from coldtrail.operators.edges import charge_frame, edge_power, trip_frames
+
+    rnd = random.Random(12)
+    limits = replace(Limits(), trip_near_s=5, trip_far_s=20, charge_settle_s=7, charge_window_s=15)
+    base = dt.datetime(2024, 1, 7)
+    rows = []
+    for device in (1, 2):
+        for k, second in enumerate(sorted(rnd.sample(range(4000), 900))):  # every few seconds, across chunk borders
+            rows.append((device, base + dt.timedelta(seconds=second), k, rnd.choice([0, 1, 1, 6]), rnd.choice([None, 0.0, 0.1, 1.0, 159.999999, 160.0]), rnd.choice([None, 29.9, 30.0])))
+    sensor = spark.createDataFrame(rows, "fridgeid long, measureddtm timestamp, reading_id long, SCPX int, EWCP2 double, TAMDAQ double")
+    frames = [*trip_frames(limits), charge_frame(limits)]
+    got = {(r["fridgeid"], r["name"], r["EventTime"]): (r["samples"], r["avg_w"], r["avg_ambient"]) for r in edge_power(sensor, base, base + dt.timedelta(hours=1), frames).collect()}
+    want = {}
+    for device in (1, 2):
+        mine = [r for r in rows if r[0] == device]
+        inside = [r for r in mine if r[1] < base + dt.timedelta(hours=1)]
+        for a, b in zip(inside, inside[1:]):
+            stop, start = a[3] == 1 and b[3] != 1, a[3] != 1 and b[3] == 1
+            for f in frames:
+                if (f.change == "stop" and stop) or (f.change == "start" and start):
+                    anchor = (a if f.anchor == "before" else b)[1]
+                    near = [r for r in mine if f.lo_s <= (r[1] - anchor).total_seconds() <= f.hi_s and r[3] == 1 and r[4]]
+                    if near:
+                        warm = [r[5] for r in near if r[5] is not None]
+                        want[device, f.name, anchor + dt.timedelta(seconds=f.shift_s)] = (len(near), sum(r[4] for r in near) / len(near), sum(warm) / len(warm) if warm else None)
+    assert len(want) > 100 and got.keys() == want.keys()
+    for key, (n, watts, warm) in want.items():
+        assert got[key][0] == n and got[key][1] == pytest.approx(watts, abs=1e-9) and got[key][2] == (None if warm is None else pytest.approx(warm, abs=1e-9)), key
+    # exactly at a threshold: the mean of equal readings is that reading
+    assert {v[1] for v in got.values() if v[0] == 1} <= {0.1, 1.0, 159.999999, 160.0}
+
+
 def test_openings_are_pushed_into_the_look_back(spark, tmp_path, world):
     path = str(tmp_path / "sensor")
     world.sensor.write.parquet(path)
