@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from coldtrail.llm.common import chunks
 
 LINES = 3  # lines of a sliding window
-SURGE = 86  # characters of a window where text begins, on a page that does not mark its article
-PART = 5  # a stretch with less than this part of the largest one is not main text, on such a page
+SURGE = 0.5  # of the page's median window: text surges in a window at least that full, and dives in an empty one
+PART = 5  # a stretch with less than this part of the largest one is not main text
 MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -39,13 +39,12 @@ WORD = re.compile(r"[a-z]+")
 
 
 class _Page:
-    """Lines of one page with their text length outside links; zero where the markup tells boilerplate."""
+    """Lines of one page, weighted by the length of their text; markup only lowers a weight, to zero in boilerplate and links."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.weights: list[int] = []
-        self.marked: list[bool] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, apart, article
+        self.stack: list[tuple[str, bool, bool]] = []  # name, apart, inside an article
         self.text: list[str] = []
         self.linked = self.links = 0
         self.loose = False  # in a paragraph that is boilerplate itself and may lack its end
@@ -55,13 +54,10 @@ class _Page:
         if whole:
             apart = self.loose or (bool(self.stack) and self.stack[-1][1])
             self.lines.append("" if apart else whole)
-            article = bool(self.stack) and self.stack[-1][2]
-            self.weights.append(0 if apart or (not article and 2 * self.linked > len(whole)) else len(whole))
-            self.marked.append(article and not apart)
+            self.weights.append(0 if apart or 2 * self.linked > len(whole) else len(whole))
         elif self.text or not self.lines or self.lines[-1]:
             self.lines.append("")
             self.weights.append(0)
-            self.marked.append(False)
         self.text, self.linked = [], 0
 
     def say(self, text: str) -> None:
@@ -111,8 +107,8 @@ class _Page:
                 return
 
 
-def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
-    """Lines, their weights, and whether the page marks its article (then only lines inside it have a weight)."""
+def page_lines(page: str) -> tuple[list[str], np.ndarray]:
+    """Lines and their weights."""
     state, at = _Page(), 0
     while (m := MARKUP.search(page, at)) is not None:
         if m.start() > at:
@@ -133,46 +129,42 @@ def page_lines(page: str) -> tuple[list[str], np.ndarray, bool]:
     if at < len(page):
         state.say(page[at:])
     state.flush()
-    weights, marked = np.array(state.weights, np.int64), np.array(state.marked, bool)
-    if marked.any():
-        return state.lines, np.where(marked, np.array([len(x) for x in state.lines]), 0), True
-    return state.lines, weights, False
+    return state.lines, np.array(state.weights, np.int64)
 
 
-def main_text(page: str) -> str:
-    """Text between surge and dive points of the sums over ``LINES`` lines."""
-    lines, weights, marked = page_lines(page)
+def stretches(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Lines (from, to) between a surge and a dive of the sums over ``LINES`` lines.
+
+    The surge is taken from the page's own sums: a stretch reaches from one empty window to the next, and counts if a
+    window in it reaches the surge and it holds a fair part of the largest stretch's text."""
     if not weights.any():
-        return ""
-    padded = np.concatenate([np.zeros(LINES - 1, np.int64), weights, np.zeros(LINES - 1, np.int64)])
-    sums = np.convolve(padded, np.ones(LINES, np.int64), mode="valid")  # windows that end at line i, i from 0
-    surge = 1 if marked else min(SURGE, int(sums.max()))
-    stretches, begin, high = [], -1, False
-    for i, value in enumerate(sums.tolist()):  # a stretch runs from one empty window to the next
-        if value and begin < 0:
-            begin, high = i, False
-        high = high or value >= surge
-        if begin >= 0 and not value:
-            if high:
-                stretches.append((max(0, begin - LINES + 1), i))
-            begin = -1
-    if begin >= 0 and high:
-        stretches.append((max(0, begin - LINES + 1), len(sums)))
-    most = max((int(weights[a:b].sum()) for a, b in stretches), default=0)
-    kept = [(a, b) for a, b in stretches if marked or int(weights[a:b].sum()) * PART >= most]
-    return " ".join(lines[i] for a, b in kept for i in range(a, min(b, len(lines))) if weights[i])
+        return []
+    sums = np.convolve(weights, np.ones(LINES, np.int64))  # of the window that ends at each line, LINES - 1 lines past the last
+    surge = SURGE * float(np.median(sums[sums > 0]))
+    low = np.concatenate([[True], sums == 0, [True]])
+    begins, ends = np.flatnonzero(low[:-1] & ~low[1:]), np.flatnonzero(~low[:-1] & low[1:])
+    found = [(int(a), int(min(b, len(weights)))) for a, b in zip(begins, ends) if sums[a:b].max() >= surge]
+    text = [int(weights[a:b].sum()) for a, b in found]
+    return [span for span, size in zip(found, text) if size * PART >= max(text)]
+
+
+def main_text(page: str) -> str:
+    """Lines with a weight between surge and dive points."""
+    lines, weights = page_lines(page)
+    return " ".join(lines[i] for a, b in stretches(weights) for i in range(a, b) if weights[i])
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", *carried: str) -> DataFrame:
     """(id, carried columns, text, n_chars) per page; a null, empty or text-free page gives an empty text.
 
     Lines are blocks of the page; scripts, styles, hidden parts and elements whose names tell boilerplate weigh nothing,
-    and lines of links neither. Main text runs from a surge of the summed line lengths to a dive to none. Character
-    references are decoded, white space becomes one blank, blocks are joined by one. Repeated rows and null ids come
-    back as they are; no rows give no rows.
+    and lines of links neither. Main text runs from a surge of the summed line lengths to a dive to none, the surge set by
+    the page's own sums (``stretches``). Character references are decoded, white space becomes one blank, blocks are joined by one. Repeated rows and null ids come
+    back as they are; a carried column named text or n_chars comes out with an underscore behind; no rows give no rows.
     """
-    keys = [id_column, *carried]
-    frame = pages.select(*keys, F.coalesce(F.col(html_column), F.lit("")).alias("_html"))
+    taken = ("text", "n_chars", "_html")
+    keys = [f"{c}_" if c.lower() in taken else c for c in (id_column, *carried)]
+    frame = pages.select(*[F.col(c).alias(k) for c, k in zip((id_column, *carried), keys)], F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_html"):
