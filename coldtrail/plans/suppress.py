@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Messages of the technician report that the rules name.
 OFFLINE = "Unit Offline"
 MISSING_DATA = "Missing Data"
 POWER_BOARD = "Missing Power Board Data"

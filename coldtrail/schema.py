@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Column names and types of the sources and reports.
 _MEASURES = (
     "EVLN", "EHZLN", "EWCP2", "EWCP", "EWDCA", "TVCTOPCTL", "TVCBOT", "TAMDAQ", "TICMCTL",
     "TICBKCTL", "CTBH", "EVDBAT", "ECDBAT", "TEVIN", "TCPDISCTL",

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from coldtrail.functions.links import CODE_PARAMETER, LinkBase
+import datetime as dt
 
 from .settings import END, START
-
-BASE = LinkBase()
+from .values import BASE, CODE_PARAMETER
 
 TABLES = """
 with raw as (
@@ -122,3 +121,16 @@ def rolled(raw: str, interval: str, worst: str | None = None, keys: str = "") ->
 def query(body: str) -> str:
     """A complete statement: ``body`` is ``name as (...), ... select ...`` after the derived tables."""
     return f"{TABLES},\n{body}"
+
+
+def _whole(value: str, seconds: int) -> int:
+    """Units of so many seconds begun since 1970."""
+    return int((dt.datetime.fromisoformat(value) - dt.datetime(1970, 1, 1)).total_seconds()) // seconds
+
+
+def window_days(start: str, end: str) -> int:
+    return _whole(end, 86400) - _whole(start, 86400)
+
+
+def window_minutes(start: str, end: str) -> int:
+    return _whole(end, 60) - _whole(start, 60)

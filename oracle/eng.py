@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from coldtrail.operators import eng as names
-
+from . import values as names
 from .base import (SOLAR, bucket, code, device_link, error_link, finding, number, query, rolled, slot, text, week, window)
-from .settings import END, LIMITS as L, START, WEEK_END, WEEK_START
+from .settings import END, START, WEEK_END, WEEK_START
+from .values import L
 
 HOUR, DAY = "EventTime + interval 1 hour", "EventTime + interval 1 day"
 

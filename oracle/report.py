@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from coldtrail.functions.timebucket import window_days
-from coldtrail.plans.tech_report import SLACK
-
 from . import eng, tech
-from .base import BASE, FREEZER, SOLAR, TABLES, _span, device_link, number, text, window
-from .settings import END, EXCLUDED, LIMITS as L, START
+from .base import BASE, FREEZER, SOLAR, TABLES, _span, device_link, number, text, window, window_days
+from .settings import END, EXCLUDED, START
+from .values import L, TECH_SLACK
 
 LATEST = ("(select * from (select *, row_number() over (partition by fridgeid order by createddtm desc, location_id desc) as rn "
           "from location_history) where rn = 1)")
@@ -126,7 +124,7 @@ def tech_report(start: str = START, end: str = END, rules: str = "v6", country:
     fridgeid = "fridgeid"
     link = (f"(case when r.fridgeid in {SOLAR} then '{BASE.device_solar}' else '{BASE.device_mains}' end) || d.fridgeid"
             if rules == "v4" else
-            device_link(f"timestamp '{start}'", f"timestamp '{end}'", SLACK).replace(f"|| {fridgeid} ||", "|| d.fridgeid ||").replace(
+            device_link(f"timestamp '{start}'", f"timestamp '{end}'", TECH_SLACK).replace(f"|| {fridgeid} ||", "|| d.fridgeid ||").replace(
                 "when fridgeid in", "when d.fridgeid in"))
     offline = "r.Message = 'Unit Offline'"
     rows = (

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from coldtrail.functions.timebucket import window_days, window_minutes
-
-from .base import TABLES, query, slot, text, window
+from .base import TABLES, query, slot, text, window, window_days, window_minutes
 from .eng import edge_ctes, settled
-from .settings import END, LIMITS as L, START
+from .settings import END, START
+from .values import L
 
 DEVICES = "device"
 
