@@ -62,6 +62,14 @@ def split_words(text: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     return words, offsets
 
 
+def passages(text: Column, most: int, count: int = 16) -> Column:
+    """A text of at most ``most`` code points as it is; of a longer one ``count`` passages at even distances, together that long,
+    one to a line. For fitting on a bounded sample only."""
+    size, part = F.length(text), most // count
+    spread = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(text, (F.floor(i * (size - part) / (count - 1)) + 1).cast("int"), F.lit(part)))
+    return F.when(size <= most, text).otherwise(F.array_join(spread, "\n"))
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of the frame has it."""
     while name.lower() in (c.lower() for c in docs.columns):

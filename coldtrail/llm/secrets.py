@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldtrail.llm.common import chunks, split_words, whole_text
+from coldtrail.llm.common import chunks, passages, split_words, whole_text
 
 #: Patterns, and the least length of a group of the match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -23,6 +23,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
+TEXT_CHARS = 20_000  # code points of a text that the field is fitted on, besides the surroundings of its first matches
+NEAR_CHARS, NEAR_HITS = 400, 8
+NEAR_WORDS = "password|passwd|secret|token|api_?key|akia[a-z0-9]{16}|[0-9a-f]{24}"
 SAMPLE = 800  # rows with and rows without pattern matches that the field is fitted on, at most each
 AROUND = 12  # words kept on either side of a secret in training
 SHORTEST = 12  # characters of a span that the field may add
@@ -31,6 +34,8 @@ NAMED = (
     "password", "passwd", "secret", "token", "apikey", "api_key", "key", "auth", "authorization", "bearer", "credential", "credentials", "passphrase", "access_key",
     "secret_key", "private_key", "")
 FEATURES, NEAR = 40, 64  # of a word itself; buckets of a neighbour
+LETTERS = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+SEED = 5
 SUSPECT = "(?i:pass|secret|token|api)|AKIA|[0-9a-f]{24}"  # every pattern match has this in one word
 TEXT_BYTES = 4_000_000
 ROUNDS, RATE = 40, 0.15
@@ -211,11 +216,24 @@ def _fit(own: np.ndarray, before: np.ndarray, after: np.ndarray, text: np.ndarra
     return Field(weights["own"].astype(np.float32), weights["near"].astype(np.float32), weights["text"].astype(np.float32), weights["step"])
 
 
+def _disguised(words: list[str], tags: list[int], rng: np.random.Generator) -> list[str]:
+    """The words with each secret as a random one of the same length, bare, and the word before it as one that names secrets
+    otherwise: so the field learns the shape of a secret and not the patterns' own keywords."""
+    out = list(words)
+    for k, tag in enumerate(tags):
+        if tag != OUT:
+            out[k] = "".join(rng.choice(LETTERS, max(SHORTEST, len(words[k].strip("\"'")))))
+        if tag == BEGIN and k:
+            out[k - 1] = str(rng.choice(NAMED[:-1]))
+    return out
+
+
 def fit(texts: list[str]) -> Field | None:
     """A field that learns the patterns' values in their surroundings, and the same number of plain passages; None
     without any match. An access key or hex run, and the value of an assignment, is one secret: its words are tagged
-    begin and inside."""
-    passages: list[tuple[list[str], list[int], list[float], list[str]]] = []
+    begin and inside. Each passage with a secret is learned a second time in disguise."""
+    examples: list[tuple[list[str], list[int], list[float], list[str]]] = []
+    rng = np.random.default_rng(SEED)
     for text in texts:
         secret = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, k, b in base_spans(text) if k]
         words = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -236,23 +254,26 @@ def fit(texts: list[str]) -> Field | None:
                 low = int(np.flatnonzero(tags[:low] == BEGIN)[-1])
             high = min(len(words), spot + AROUND)
             edge = ["" if low == 0 else strings[low - 1], "" if high == len(words) else strings[high]]
-            passages.append((strings[low:high], tags[low:high].tolist(), features, edge))
-    if not any(BEGIN in tags for _, tags, _, _ in passages):
+            own = tags[low:high].tolist()
+            examples.append((strings[low:high], own, features, edge))
+            if BEGIN in own:
+                examples.append((_disguised(strings[low:high], own, rng), own, features, edge))
+    if not any(BEGIN in tags for _, tags, _, _ in examples):
         return None
-    longest = min(4 * AROUND, max(len(w) for w, *_ in passages))
-    count = len(passages)
-    flat = list(dict.fromkeys(w for words, _, _, edge in passages for w in [*words, *edge]))
+    longest = min(4 * AROUND, max(len(w) for w, *_ in examples))
+    count = len(examples)
+    flat = list(dict.fromkeys(w for words, _, _, edge in examples for w in [*words, *edge]))
     index = {w: i for i, w in enumerate(flat)}
     table, bucket = word_features(pa.array(flat, pa.string())), near_bucket(pa.array(flat, pa.string()))
     own, tags, mask = np.zeros((count, longest, FEATURES), np.float32), np.zeros((count, longest), np.int64), np.zeros((count, longest), bool)
     before, after = np.zeros((count, longest), np.int64), np.zeros((count, longest), np.int64)
-    for b, (words, own_tags, _, edge) in enumerate(passages):
+    for b, (words, own_tags, _, edge) in enumerate(examples):
         words, own_tags = words[:longest], own_tags[:longest]
         around = [edge[0], *words, edge[1]]
         n, ids = len(words), [index[w] for w in words]
         own[b, :n], tags[b, :n], mask[b, :n] = table[ids], own_tags, True
         before[b, :n], after[b, :n] = bucket[[index[w] for w in around[:n]]], bucket[[index[w] for w in around[2:n + 2]]]
-    return _fit(own, before, after, np.array([f for _, _, f, _ in passages]), tags, mask)
+    return _fit(own, before, after, np.array([f for _, _, f, _ in examples]), tags, mask)
 
 
 def find_spans(texts: list[str], field: Field | None) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int]]]]:
@@ -296,7 +317,8 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: doc_id and spans array<struct<kind, start, stop>> by start, then kind (assign, access, hex, crf).
 
     Pattern matches are kept as they are; the field adds spans that overlap none of them. It is fitted on at most
-    ``sample`` rows with and as many without a match, in the order of a hash of the id. Spans count code points of the
+    ``sample`` rows with and as many without a match, in the order of a hash of the id, cut by the executors to ``TEXT_CHARS``
+    code points and the surroundings of the first matches; training passages are cut at 48 words. Spans count code points of the
     whole text, the end exclusive. Null and empty texts have no spans; repeated rows and null ids come back as they are;
     other columns are ignored; no rows give no rows; without any match in the table the field adds nothing.
     """
@@ -307,8 +329,10 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         rough = rough | lowered.contains(word)
     marked = rows.select("doc_id", rough.alias("hit"))
     ids = [marked.where(F.col("hit") == hit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for hit in (True, False)]
-    chosen = F.broadcast(ids[0].unionByName(ids[1]).select(F.col("doc_id").alias("_id")).distinct())
-    texts = rows.join(chosen, rows["doc_id"] == chosen["_id"]).select("doc_id", "text").toPandas().sort_values(["doc_id", "text"])
+    chosen = F.broadcast(ids[0].unionByName(ids[1]).select("doc_id").distinct())
+    near = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"(?is).{{0,{NEAR_CHARS}}}(?:{NEAR_WORDS}).{{0,{NEAR_CHARS}}}"), 0), 1, NEAR_HITS), "\n")
+    short = F.when(F.length("text") <= TEXT_CHARS, F.col("text")).otherwise(F.concat_ws("\n", near, passages(F.col("text"), TEXT_CHARS)))
+    texts = rows.join(chosen, "doc_id").select("doc_id", short.alias("text")).groupBy("doc_id").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     field = docs.sparkSession.sparkContext.broadcast(fit(texts["text"].tolist()))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -11,9 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldtrail.llm.common import chunks, remainder, split_words, whole_text
+from coldtrail.llm.common import chunks, passages, remainder, split_words, whole_text
 
 WINDOW, STRIDE = 24, 16  # words
+TEXT_CHARS = 40_000  # code points of a text that the model is fitted on, at most
 PER_CLASS = 1500  # labelled rows of each class the model is fitted on, at most
 CALIBRATION = 4  # of these, every fourth row calibrates the score and does not train the network
 TRAIN_WINDOWS = 12  # windows a training row gives at first, spread evenly over it
@@ -307,16 +308,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, per_class: int) -> tuple[list[str], list[int]]:
-    """Texts and labels to fit on, the first ``per_class`` of each class in the order of a hash of the id, mixed."""
-    known = labels.where(remainder(id_column, 5) != 0).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("_label"))
-    ids = []
-    for label in (0, 1):
-        ids.append(known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class))
-    chosen = F.broadcast(ids[0].unionByName(ids[1]))
-    rows = docs.join(chosen, docs[id_column] == chosen["_id"]).select("_id", "_label", whole_text(text_column).alias("_text"), F.xxhash64("_id").alias("_order")).toPandas()
-    rows = rows.sort_values(["_order", "_id", "_text"]).drop_duplicates("_id")
-    return rows["_text"].tolist(), rows["_label"].tolist()
+def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, per_class: int, most: int = TEXT_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels to fit on, the first ``per_class`` of each class in the order of a hash of the id, mixed. Of several labels of
+    an id the largest counts, of several rows of an id the least text. Executors cut longer texts to passages of ``most`` code points, so that the driver gets at
+    most 2 * per_class * most of them."""
+    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
+    known = known.where(remainder("id", 5) != 0).groupBy("id").agg(F.max("label").alias("label"))
+    ids = [known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class) for label in (0, 1)]
+    texts = docs.select(F.col(id_column).alias("id"), passages(whole_text(text_column), most).alias("text"))
+    rows = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("order", F.xxhash64("id")).toPandas().sort_values(["order", "id"])
+    return rows["text"].tolist(), rows["label"].tolist()
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:

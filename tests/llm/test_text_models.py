@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coldtrail.llm import lm, secrets, toxicity
+from coldtrail.llm.common import passages
 
 HELD = lambda doc, parts: zlib.crc32(("" if doc is None else str(doc)).encode()) % parts == 0
 
@@ -200,3 +201,97 @@ def test_field_finds_secrets_the_patterns_miss():
     probe = [f"{plain()} passphrase {code(36)} {plain()}" for _ in range(20)] + [plain() for _ in range(20)]
     found = secrets.find_spans(probe, field)[1]
     assert sum(bool(x) for x in found[:20]) >= 18 and not any(found[20:])
+
+
+def plain_logit(model, words):
+    """The network over one window, number by number."""
+    inputs, net, wide, hidden = model.inputs, model.net, toxicity.WIDE, toxicity.HIDDEN
+    known = {w: i + 1 for i, w in enumerate(inputs.words.to_pylist())}
+    pieces = {int(c): i + 1 for i, c in enumerate(inputs.pieces)}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    vectors = []
+    for word in words + [None] * (toxicity.WINDOW - len(words)):
+        if word is None:  # padding: read by the network, not attended to
+            vectors.append([0.0] * (2 * wide))
+            continue
+        word = word.strip(toxicity.EDGES)
+        raw = f"^{word}$".encode()
+        codes = [int.from_bytes(raw[i:i + n], "big") | n << 40 for n in (3, 4) for i in range(len(raw) - n + 1)]
+        own = [pieces[c] for c in codes if c in pieces]
+        tail = [sum(float(inputs.piece_vectors[p][k]) for p in own) / math.sqrt(max(1, len(own))) for k in range(wide)]
+        vectors.append([float(x) for x in inputs.word_vectors[known.get(word, 0)]] + tail)
+    states = [[0.0] * (2 * hidden) for _ in vectors]
+    for k, (side, order) in enumerate((("l", range(len(vectors))), ("r", range(len(vectors) - 1, -1, -1)))):
+        h = [0.0] * hidden
+        for t in order:
+            x = [sum(v * float(net[f"in_{side}"][i][j]) for i, v in enumerate(vectors[t])) + float(net[f"plus_{side}"][j]) for j in range(3 * hidden)]
+            gate = [sig(x[j] + sum(h[i] * float(net[f"gate_{side}"][i][j]) for i in range(hidden))) for j in range(2 * hidden)]
+            inner = [sum(h[i] * float(net[f"new_{side}"][i][j]) for i in range(hidden)) for j in range(hidden)]
+            new = [math.tanh(x[2 * hidden + j] + gate[hidden + j] * inner[j]) for j in range(hidden)]
+            h = [new[j] + gate[j] * (h[j] - new[j]) for j in range(hidden)]
+            states[t][k * hidden:(k + 1) * hidden] = h
+    states = states[:len(words)]
+    score = [sum(a * float(b) for a, b in zip(s, net["attend"])) for s in states]
+    weight = [math.exp(v - max(score)) for v in score]
+    pooled = [sum(w * s[j] for w, s in zip(weight, states)) / sum(weight) for j in range(2 * hidden)]
+    return sum(p * float(o) for p, o in zip(pooled, net["out"])) + float(net["bias"][0])
+
+
+def test_window_logits_equal_plain_loops(documents):
+    rows = documents.select("text").limit(60).collect()
+    texts = [r["text"] or "" for r in rows]
+    model = toxicity.fit(texts, [k % 2 for k in range(len(texts))])
+    some = [t for t in texts if len(t.split()) > 60][:2] + ["one two", "Wörter, mit \u00c4nderung!"]
+    got, edges = model.logits(pa.array(some))
+    for text, a, b in zip(some, edges, edges[1:]):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        for window, start in zip(got[a:b], toxicity.window_starts(len(words))):
+            if start in (0, int(toxicity.window_starts(len(words))[-1])):
+                assert window == pytest.approx(plain_logit(model, words[start:start + toxicity.WINDOW]), abs=2e-4)
+
+
+def test_a_held_out_label_changes_no_score_and_extra_columns_do_not_matter(spark, documents):
+    docs = documents.limit(80)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    names = {c: F.lit("x") for c in ("_id", "_label", "id", "label", "order", "toxic", "score", "held_out", "predicted")}
+    scores = [sorted(map(tuple, toxicity.toxicity_scores(d, l, per_class=40).collect())) for d, l in (
+        (docs, labels), (docs, turned), (docs.withColumns(names), labels.withColumns({c: x for c, x in names.items() if c != "toxic"})))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_what_reaches_the_driver_is_bounded(spark):
+    long = " ".join(f"w{k}" for k in range(40000))
+    docs = spark.createDataFrame([(k, long if k % 2 else "short one") for k in range(1, 9)] + [(3, "a second row")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 9)], "doc_id long, toxic int")
+    texts, marks = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 3, most=1000)
+    assert all(len(t) <= 1016 for t in texts) and len(texts) == len(marks) <= 6
+    passage = spark.range(1).select(passages(F.lit(long), 1600)).first()[0].split("\n")
+    assert len(passage) == 16 and all(len(p) == 100 and p in long for p in passage) and long.startswith(passage[0]) and long.endswith(passage[-1])
+
+
+def test_spans_that_the_field_adds_to_planted_secrets(spark):
+    """Secrets without a keyword the patterns know, planted in rows the field has not seen."""
+    rows = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(4000).collect()]
+    hits = [t for t in rows[:3200] if re.search(secrets.SUSPECT, t)]
+    field = secrets.fit(hits + [t for t in rows[:3200] if not re.search(secrets.SUSPECT, t)][:400])
+    rng, texts, planted = np.random.default_rng(11), [], {}
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for k, text in enumerate(rows[3200:]):
+        if k % 4 == 0:
+            words = text.split(" ")
+            at = int(rng.integers(0, len(words)))
+            before = " ".join(words[:at] + [str(rng.choice(["passphrase", "bearer", "credential:"]))])
+            planted[k] = (len(before) + 1, len(before) + 41)
+            text = f"{before} {''.join(rng.choice(letters, 40))} " + " ".join(words[at:])
+        texts.append(text)
+    base, more = secrets.find_spans(texts, field)
+    added = [[(a, b) for a, b in spans if all(b <= s or e <= a for s, _, e in own)] for own, spans in zip(base, more)]
+    right = sum(span in added[k] for k, span in planted.items())
+    assert right >= 0.9 * len(planted) and right >= 0.95 * sum(map(len, added))
+
+
+def test_secrets_ignore_columns_of_clashing_names(clashing):
+    few = clashing.limit(60).withColumns({c: F.lit("x") for c in ("_id", "hit", "spans", "text_")})
+    assert sorted(map(repr, secrets.secret_spans(few).collect())) == sorted(map(repr, secrets.secret_spans(few.select("doc_id", "text")).collect()))
