@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldtrail.llm.common import row_hash, rows_of, whole_text, without_blanks
+from coldtrail.operators.sized import small_side
 from coldtrail.sources.workspace import stored
 
 
@@ -37,9 +38,9 @@ def _keyed(rows: DataFrame, content_hash) -> DataFrame:
     hashed = rows.select("doc_id", "text", *rest, F.length("text").alias("length"), body.alias("body")).select(
         "doc_id", "text", *rest, "length", content_hash("body").alias("hash"), F.sha2("body", 256).alias("text_sha256"))
     digests = stored(hashed.select("doc_id", *rest, "length", "hash", "text_sha256"), "text-digests")
-    several = digests.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    several = stored(digests.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-hashes")
     texts = rows.select(body.alias("body")).select(content_hash("body").alias("hash"), "body")
-    shared = texts.join(several, "hash", "left_semi").distinct()
+    shared = texts.join(small_side(several), "hash", "left_semi").distinct()  # copies collapse before the shuffle
     collided = stored(shared.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "collisions")
     if collided.isEmpty():
         return digests.withColumnRenamed("hash", "key")
