@@ -100,14 +100,24 @@ def read_fleet(spark: SparkSession, root: str) -> FleetTables:
     )
 
 
+SPLIT_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def read_sim_billing(spark: SparkSession, path: str | None = None, *, jdbc_url: str | None = None,
                      table: str = "sim_billing", options: dict[str, str] | None = None) -> DataFrame:
-    """SIM billing history, kept outside the reports: a stored table or a federated one."""
+    """SIM billing history, kept outside the reports: a stored table or a federated one.
+
+    A federated read must say how it is split, by the options partitionColumn, lowerBound, upperBound and
+    numPartitions: without them one task would read the whole table.
+    """
     if path is not None:
         return read_table(spark, path, schema.SIM_BILLING)
     if jdbc_url is None:
         raise ValueError("give a path or a jdbc_url")
-    remote = spark.read.format("jdbc").options(**(options or {})).option("url", jdbc_url)
+    missing = [name for name in SPLIT_OPTIONS if name.lower() not in {given.lower() for given in options or {}}]
+    if missing:
+        raise ValueError(f"a federated read needs the options {', '.join(missing)}")
+    remote = spark.read.format("jdbc").options(**options).option("url", jdbc_url)
     frame = remote.option("dbtable", table).load()
     return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.SIM_BILLING])
 

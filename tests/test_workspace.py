@@ -62,3 +62,12 @@ def test_only_folders_that_can_match_are_opened(spark, tmp_path):
     folders = {file.rsplit("/", 1)[0] for file in near.inputFiles()}
     assert listed(near) == [(3, 1), (3, 2), (4, 1)] and len(folders) == 2
     assert listed(sinks.read_between(spark, path, STRUCT, dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 4, 1), {"StartDate": dt.date(2024, 1, 3)})) == [(4, 1)]
+
+
+def test_a_federated_read_must_be_split(spark):
+    from coldtrail.sources.tables import read_sim_billing
+
+    with pytest.raises(ValueError, match="path"):
+        read_sim_billing(spark)
+    with pytest.raises(ValueError, match="lowerBound, upperBound"):
+        read_sim_billing(spark, jdbc_url="jdbc:none", options={"partitioncolumn": "DEVICE_ID", "numPartitions": "8"})
