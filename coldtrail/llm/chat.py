@@ -84,15 +84,21 @@ def _listed(entries: Column, layout: Layout) -> Column:
     return F.transform(entries, lambda x: _turn(x[layout.role], x[layout.text]))
 
 
+def _widest(paths: set[str]) -> Layout | None:
+    """Of the layouts whose field paths are all there, the one with the most, then the first: other fields are extra ones."""
+    inside = [layout for layout in LAYOUTS if paths.issuperset(layout.paths)]
+    return max(inside, key=lambda layout: len(layout.paths), default=None)
+
+
 def canonical_turns(records: DataFrame, id_column: str) -> DataFrame:
     """(id, layout, turns) of a table whose schema, without the id of nested records, is one of ``LAYOUTS``.
 
-    The mapping is the one with the fingerprint of the schema's field paths; an unknown layout raises ValueError. Rows
-    by turn are sorted by turn, then role and text, null turns first, repeated rows kept. Null roles and texts become
+    The mapping is the one with the fingerprint of the schema's field paths; where there are extra columns or fields, that of
+    the most paths among them. An unknown layout raises ValueError. Rows by turn are sorted by turn, then role and text, null turns first, repeated rows kept. Null roles and texts become
     empty, a null list of turns an empty one.
     """
     layout = BY_FINGERPRINT.get(fingerprint_of(field_paths(records.schema)))
-    layout = layout or BY_FINGERPRINT.get(fingerprint_of(field_paths(records.drop(id_column).schema)))
+    layout = layout or BY_FINGERPRINT.get(fingerprint_of(field_paths(records.drop(id_column).schema))) or _widest(set(field_paths(records.schema)))
     if layout is None:
         raise ValueError(f"no mapping for the field paths {field_paths(records.schema)}")
     if layout.rows:

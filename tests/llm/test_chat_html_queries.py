@@ -5,6 +5,7 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from coldtrail.llm import chat, queries, simhash
@@ -104,3 +105,18 @@ def test_catalogue():
     import __spark_entry__ as entry
 
     assert set(queries.queries()) <= set(entry.queries()) and duckdb
+
+
+def test_extra_columns_of_any_name_and_very_long_texts(spark):
+    long = "</turn> " + "word \\n" * 50000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (2, None, None, None), (2, 0, "user", "")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    extra = {c: F.lit("x") for c in ("layout", "turns", "_entries", "said", "prompt", "id")}
+    for frame in (plain, plain.withColumns(extra)):
+        got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(chat.canonical_turns(frame, "conv_id")), "conv_id").collect()}
+        assert got[1]["loss_chars"] == len(long) and got[1]["n_turns"] == 2 and got[2]["n_turns"] == 2
+    nested = spark.createDataFrame([(7, [("user", "a", 1), ("assistant", "b", 2)], "z")], "id long, messages array<struct<role:string,content:string,name:int>>, other string")
+    turns = chat.canonical_turns(nested, "id").first()
+    assert turns["layout"] == "messages" and [tuple(t) for t in turns["turns"]] == [("user", "a"), ("assistant", "b")]
+    with pytest.raises(ValueError):
+        chat.canonical_turns(spark.createDataFrame([(1, "x")], "id long, other string"), "id")

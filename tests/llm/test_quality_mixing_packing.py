@@ -200,3 +200,13 @@ def test_plan_uses_every_piece_once():
             for length in pattern:
                 used[length] += n
         assert (used == histogram).all()
+
+
+def test_words_are_encoded_one_by_one_where_the_stream_does_not_split(monkeypatch):
+    coder = packing.encoder("byte_bpe_50k")
+    words = ["alpha", "", "beta,", "Ünïcode", "gamma" * 30]
+    want = [coder.fast.encode_ordinary(" " + w) for w in words]
+    for begins in (coder.begins, np.zeros_like(coder.begins)):  # as it is, and as if no id began with a blank
+        monkeypatch.setattr(coder, "begins", begins)
+        stream, first = coder.in_one_go(words)
+        assert [stream[a:b].tolist() for a, b in zip(first, first[1:])] == want
