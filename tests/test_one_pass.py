@@ -23,6 +23,7 @@ from coldtrail.plans.last_seen import last_seen
 from coldtrail.plans.tech_report import tech_report
 from coldtrail.sources import sinks
 from coldtrail.sources.events_adapter import fleet_from_events
+from coldtrail.sources.tables import FleetTables
 from oracle.settings import END, EXCLUDED, LIMITS, RUN_TIME, START
 from test_reports import world  # noqa: F401
 
@@ -60,6 +61,31 @@ def test_eng_report_reads_the_sensor_series_four_times(fleet):
     assert len(series) <= 4, len(series)
 
 
+@pytest.mark.parametrize("interval", ["Day", "All"])
+def test_rules_together_equal_rules_alone(fleet, interval):
+    """Also where solar devices have a table of their own."""
+    apart = FleetTables(**{n: getattr(fleet, n) for n in ("sensor", "errors", "bad_time_errors", "location_history", "device", "device_group")},
+                        sensor_solar=fleet.sensor.where("fridgeid % 3 = 0"))
+    for t in (fleet, apart):
+        alone = [eng.high_voltage(t, START, END, interval, LIMITS), eng.low_temperature(t, START, END, interval, LIMITS), eng.ambient_extremes(t, START, END, "Week", LIMITS),
+                 eng.high_compressor_power(t, START, END, interval, LIMITS), eng.solar_trips(t, START, END, "Week", LIMITS), eng.overlapping_data(t, START, END, "Hour", LIMITS),
+                 eng.no_door_openings(t, START, END, "Week", LIMITS)]
+        want = sorted(repr(tuple(r)) for frame in alone for r in frame.collect())
+        together = eng.point_findings(t, START, END, interval, LIMITS).select(*alone[0].columns)
+        assert len(want) > 100 and sorted(repr(tuple(r)) for r in together.collect()) == want
+
+
+@pytest.mark.parametrize("interval", ["Day", "All", "Week"])
+def test_edges_together_equal_edges_alone(fleet, interval):
+    from coldtrail.operators.edges import charge_frame, edge_power, trip_frames
+
+    edges = edge_power(fleet.sensor, START, END, [*trip_frames(LIMITS), charge_frame(LIMITS)])
+    alone = [eng.mains_trips(eng.trip_events(edges, LIMITS), "Week"), eng.low_charge(fleet, START, END, interval, LIMITS, edges)]
+    want = sorted(repr(tuple(r)) for frame in alone for r in frame.collect())
+    together = eng.edge_findings(edges, interval, LIMITS).select(*alone[0].columns)
+    assert want and sorted(repr(tuple(r)) for r in together.collect()) == want
+
+
 @pytest.mark.parametrize("build", [
     lambda t: eng.high_voltage(t, START, END, "Day", LIMITS), lambda t: eng.daq_errors(t, START, END, "Week", LIMITS), lambda t: eng.bad_time(t, START, END, "Day", LIMITS),
     lambda t: eng.mech_thermostat(t, START, END, "Week", LIMITS)], ids=["voltage", "codes", "clock", "edges"])
