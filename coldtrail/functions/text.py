@@ -29,10 +29,13 @@ def to_count(text: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Up to six significant digits, without trailing zeros; exponents have three digits."""
+    # a plain number whose own text has at most six digits is that text; formatting costs far more
+    own, size = value.cast("string"), F.abs(value)
+    short = (size >= 0.001) & (size < 1e6) & (F.length(own) <= 7)
     shown = F.format_string("%.6g", value)
     trimmed = F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     padded = F.regexp_replace(trimmed, r"e([+-])(\d\d)$", "e$10$2")
-    return F.when(value.isNotNull(), padded)
+    return F.when(short, F.when(own.endswith(".0"), F.substring_index(own, ".", 1)).otherwise(own)).when(value.isNotNull(), padded)
 
 
 def rounded(value: Column, precision: int, scale: int) -> Column:

@@ -404,29 +404,34 @@ def code_values(events: DataFrame, sensor: DataFrame, start, end, limits: Limits
     """Sensor extremes of each code in the days after its first event.
 
     ``events`` has one row per device and code, so a device is one row of five
-    times. Readings are summed up by (device, hour): an hour lies inside or outside
-    a code's days as a whole, but for the two hours at its borders, where each
-    time stays by itself. Devices without such a code leave before the shuffle as
-    long as the others can be broadcast (at most ``most``), and shuffle summaries only
-    beyond that.
+    times. As long as the devices can be broadcast (at most ``most``), readings meet
+    them in the map tasks and leave as one row of extremes. Beyond that they are
+    summed up by (device, hour): an hour lies inside or outside a code's days as a
+    whole, but for the two hours at its borders, where each time stays by itself.
     """
     valued = ("5881", "5882", "5888", "5889", "5084")
     first = events.where(F.col("id").isin(*valued)).groupBy("fridgeid").agg(
         *[F.min(F.when(F.col("id") == c, F.col("EventTime"))).alias(f"at_{c}") for c in valued])
     few = first.limit(most + 1).count() <= most
-    near = F.broadcast if few else (lambda frame: frame)
     span = F.expr(f"interval {limits.code_value_days} days")
     times = F.array_compact(F.array(*[f"at_{c}" for c in valued]))
     edges = F.concat(times, F.transform(times, lambda x: x + span))
     borders = first.select("fridgeid", F.explode(F.array_distinct(F.transform(edges, lambda x: slot_number(x, 3600)))).alias("hour"))
     measured = between(sensor, start, end, fwd_s=limits.code_value_days * 86400).select(
         "fridgeid", "measureddtm", slot_number(F.col("measureddtm"), 3600).alias("hour"), "SCPX", "EWCP2", "TEVIN", "TCPDISCTL", "ECDBAT")
+    def of_days(since: str, code: str, value: Column) -> Column:
+        at = F.col(f"at_{code}")
+        return F.when((F.col(since) >= at) & (F.col(since) < at + span), value)
+
     if few:
-        measured = measured.join(near(first.select("fridgeid")), "fridgeid", "left_semi")
-    groups = hour_extremes(measured, near(borders)).join(near(first), "fridgeid")
-    met = groups.groupBy("fridgeid").agg(*[
-        extreme(F.when((F.col("since") >= F.col(f"at_{code}")) & (F.col("since") < F.col(f"at_{code}") + span), F.col(name))).alias(name)
-        for name, (code, _, extreme, _) in CODE_EXTREMES.items()])
+        known = measured.join(F.broadcast(first.select("fridgeid")), "fridgeid", "left_semi")
+        groups = known.join(F.broadcast(first), "fridgeid")
+        values = {name: of_days("measureddtm", code, F.when(F.expr(condition), F.col(column)))
+                  for name, (code, column, _, condition) in CODE_EXTREMES.items()}
+    else:
+        groups = hour_extremes(measured, borders).join(first, "fridgeid")
+        values = {name: of_days("since", code, F.col(name)) for name, (code, *_) in CODE_EXTREMES.items()}
+    met = groups.groupBy("fridgeid").agg(*[CODE_EXTREMES[name][2](value).alias(name) for name, value in values.items()])
     battery = F.concat(F.lit("["), number_text(F.col("v5084_max")), F.lit(","), number_text(F.col("v5084_min")), F.lit("]"))
     texts = {
         "5881": number_text(F.col("v5881")), "5882": number_text(F.coalesce("v5882_on", "v5882_any")),

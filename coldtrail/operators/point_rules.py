@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.orderkey import detail_of, packed, time_of, value_of
+from ..functions.orderkey import bits_of, detail_of, packed_rank, rank_of, time_of, turned_rank
 from ..functions.timebucket import bucket, week_label
 from ..sources.tables import FleetTables, readings
 from .findings import eng_cases
@@ -45,7 +45,7 @@ class PointRule:
     earliest, then the smaller detail. ``both_ends`` keeps the time of the lowest as
     well; ``counted`` are conditions on ``value`` that are counted beside all events.
     ``weekly`` buckets are summed up to weeks, ``full`` is a condition on their
-    RecCount that is counted.
+    RecCount that is counted. ``keep`` names counts and sums, not the picked event.
     """
 
     number: int
@@ -75,7 +75,7 @@ def _entries(frame: DataFrame, start, end, rules: Sequence[PointRule]) -> DataFr
                 (null if match.value is None else match.value).cast("double").alias("value"), F.lit(match.detail).alias("detail"),
                 (null.cast("timestamp") if rule.interval is None else bucket(F.col(AT), rule.interval).cast("timestamp")).alias("bucket"))))
     rows = readings(frame, start, end, *columns).where(reduce(lambda a, b: a | b, conditions))
-    return rows.select("fridgeid", F.col(AT).alias("EventTime"), F.inline(F.array_compact(F.array(*entries))))
+    return rows.select("fridgeid", F.col(AT).alias("EventTime"), F.inline(F.array(*entries))).where("rule is not null")
 
 
 def _tables(t: FleetTables, start, end, rules: Sequence[PointRule]) -> DataFrame:
@@ -105,13 +105,16 @@ def _rolled(entries: DataFrame, rules: Sequence[PointRule]) -> DataFrame:
     at = F.col("EventTime")
     value = F.col("value")
     pick = _by_rule(rules, lambda r: None if r.pick is None else F.when(_turned(r), -value).otherwise(value)).cast("double")
-    rows = entries.withColumns({
-        "best": packed(pick, at, F.col("detail")),
-        "lowest": packed(_by_rule(rules, lambda r: F.col("value") if r.both_ends else None).cast("double"), at),
+    # each in a projection of its own, so that the bits are read once
+    ranked = entries.withColumn("pick", pick).withColumn("bits", bits_of(F.col("pick"))).withColumn("rank", rank_of(F.col("bits")))
+    low_rank = _by_rule(rules, lambda r: F.when(_turned(r), turned_rank(F.col("rank"), F.col("pick"))).otherwise(F.col("rank")) if r.both_ends else None)
+    rows = ranked.withColumns({
+        "best": packed_rank(F.col("rank"), at, F.col("detail")),
+        "lowest": packed_rank(low_rank.cast("bigint"), at),
         "is_low": _by_rule(rules, lambda r: r.counted[0] if r.counted else None).cast("boolean"),
         "is_high": _by_rule(rules, lambda r: r.counted[1] if r.counted else None).cast("boolean")})
     rolled = rows.groupBy("fridgeid", "rule", "key", "bucket").agg(
-        F.count(F.lit(1)).alias("RecCount"), F.min(at).alias("FirstTime"), F.max(at).alias("LastTime"), F.min("best").alias("best"), F.min("lowest").alias("lowest"),
+        F.count(F.lit(1)).alias("RecCount"), F.min(at).alias("FirstTime"), F.max(at).alias("LastTime"), F.min(F.col("pick") + F.lit(0.0)).alias("found"), F.min("best").alias("best"), F.min("lowest").alias("lowest"),
         F.count_if("is_low").alias("low_count"), F.count_if("is_high").alias("high_count"), F.sum("value").alias("total"))
     if not any(r.weekly or r.per_device for r in rules):
         return rolled.withColumn("full", F.lit(0).cast("bigint"))
@@ -122,7 +125,7 @@ def _rolled(entries: DataFrame, rules: Sequence[PointRule]) -> DataFrame:
     also = _by_rule(rules, lambda r: F.array(here, *[F.struct(F.lit(n).alias("rule"), F.lit(None).cast("timestamp").alias("bucket")) for n in r.per_device]) if r.per_device else None)
     spread = rolled.withColumn("to", F.coalesce(also, F.array(here))).drop("rule", "bucket").select("*", F.inline("to")).drop("to")
     return spread.groupBy("fridgeid", "rule", "key", "bucket").agg(
-        F.sum("RecCount").alias("RecCount"), F.min("FirstTime").alias("FirstTime"), F.max("LastTime").alias("LastTime"), F.min("best").alias("best"), F.min("lowest").alias("lowest"),
+        F.sum("RecCount").alias("RecCount"), F.min("FirstTime").alias("FirstTime"), F.max("LastTime").alias("LastTime"), F.min("found").alias("found"), F.min("best").alias("best"), F.min("lowest").alias("lowest"),
         F.sum("low_count").alias("low_count"), F.sum("high_count").alias("high_count"), F.sum("total").alias("total"), F.count_if("full").alias("full"))
 
 
@@ -143,11 +146,12 @@ def point_rows(t: FleetTables, start, end, rules: Sequence[PointRule], extra: Da
         rolled = _rolled(_tables(t, start, end, [r for r in several if r.matches]), several)
         if extra is not None:
             rolled = rolled.join(extra, ["fridgeid", "rule"], "left")
-        found = value_of(F.col("best"))
+        # before the picked events are decoded
+        rolled = rolled.where(F.coalesce(_by_rule(several, lambda r: F.lit(True) if r.keep is None else r.keep).cast("boolean"), F.lit(False)))
+        found = F.col("found")
         turned = _by_rule(several, lambda r: _turned(r) if r.pick else None).cast("boolean")
         rows = rolled.withColumns({
             "EventTime": F.coalesce(time_of(F.col("best")), "FirstTime"), "value": F.when(turned, -found).otherwise(found), "detail": detail_of(F.col("best")),
             "LowTime": time_of(F.col("lowest"))})
-        rows = rows.where(F.coalesce(_by_rule(several, lambda r: F.lit(True) if r.keep is None else r.keep).cast("boolean"), F.lit(False)))
         parts.append(eng_cases(rows, [(F.col("rule") == r.number, r.shape()) for r in several]))
     return reduce(DataFrame.unionByName, parts)

@@ -16,7 +16,7 @@ from ..operators.edges import charge_frame, edge_power, trip_frames
 from ..operators.findings import render_classed
 from ..schema import REPORT_ENG
 from ..sources.tables import FleetTables
-from .fleet import ALL, EXCLUDED_COUNTRY, eng_location, fleet
+from .fleet import ALL, EXCLUDED_COUNTRY, located_fleet
 
 
 def eng_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limits = Limits()) -> DataFrame:
@@ -39,11 +39,9 @@ def eng_findings(t: FleetTables, start, end, interval: str = "Day", limits: Limi
 def eng_report(t: FleetTables, start, end, country: str = ALL, interval: str = "Day", *, run_time: dt.datetime | str,
                limits: Limits = Limits(), excluded: str = EXCLUDED_COUNTRY, base: LinkBase = DEFAULT_BASE) -> DataFrame:
     """Report rows before the insert guard."""
-    devices = fleet(t, country, excluded).withColumn("is_solar", F.col("fridgeType") == "S")
-    found = render_classed(eng_findings(t, start, end, interval, limits).join(devices, "fridgeid"), base,
-                           carry=("FridgeShortSN", "fridgeType"))
-    place = eng_location(t, excluded).select("fridgeid", "country", "L1", "L3")
-    rows = found.join(place, "fridgeid", "left")
+    devices = located_fleet(t, country, excluded).withColumn("is_solar", F.col("fridgeType") == "S")
+    rows = render_classed(eng_findings(t, start, end, interval, limits).join(devices, "fridgeid"), base,
+                          carry=("FridgeShortSN", "fridgeType", "country", "L1", "L3"))
     columns = {
         "CreatedDtm": ts_lit(run_time), "Country": F.col("country"),
         "StartDate": F.lit(as_datetime(start).date()), "EndDate": F.lit(as_datetime(end).date()),

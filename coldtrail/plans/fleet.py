@@ -55,6 +55,15 @@ def fleet(t: FleetTables, country: str = ALL, excluded: str = EXCLUDED_COUNTRY)
     return placed_fleet(t, country, excluded).select("fridgeid", "FridgeShortSN", "fridgeType")
 
 
+def located_fleet(t: FleetTables, country: str = ALL, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
+    """The fleet with its newest place outside the excluded country. In a report on all countries the latest place of a device lies
+    outside of it, so the history is read once."""
+    chosen = placed_fleet(t, country, excluded)
+    if country.strip().lower() != ALL.lower():
+        chosen = chosen.drop(*PLACE).join(eng_location(t, excluded).select("fridgeid", "country", "L1", "L3"), "fridgeid", "left")
+    return chosen.select("fridgeid", "FridgeShortSN", "fridgeType", "country", "L1", "L3")
+
+
 def history_fleet(t: FleetTables, excluded: str = EXCLUDED_COUNTRY) -> DataFrame:
     """Older choice: every device that ever stood outside the excluded country."""
     rows = t.location_history.where(elsewhere(F.col("country"), excluded)).select("fridgeid").distinct()

@@ -54,7 +54,9 @@ INTS = {
     "SLNX": "if(event_id % 4 = 0, null, k % 2)",
     "SDXC": "if(event_type = 'signup' and event_id % 3 = 0, 1, 0)",
 }
-_SECOND = "date_trunc('second', cast(ts as timestamp) + interval 500 milliseconds)"
+# rounded to the second in whole microseconds
+_MICROS = "(unix_micros(cast(ts as timestamp)) + 500000)"
+_SECOND = f"timestamp_micros({_MICROS} - pmod({_MICROS}, 1000000))"
 
 
 class EventFleet:

@@ -58,7 +58,7 @@ def between(frame: DataFrame, start, end, *, back_s: int = 0, fwd_s: int = 0, at
     bounded on its stored time as well, a second wider.
     """
     until = epoch_of(end) + fwd_s
-    conditions = [f"{at} < timestamp_seconds({until})"]
+    conditions = []
     partitioned, derived = DAY_COLUMN in frame.columns, STORED_TIME in frame.columns
     if derived:
         conditions.append(f"{STORED_TIME} < timestamp_ntz '{_second(until + 1)}'")
@@ -66,11 +66,14 @@ def between(frame: DataFrame, start, end, *, back_s: int = 0, fwd_s: int = 0, at
         conditions.append(f"{DAY_COLUMN} <= date '{_day(until - 1)}'")
     if start is not None:
         since = epoch_of(start) - back_s
-        conditions.append(f"{at} >= timestamp_seconds({since})")
         if partitioned:
             conditions.append(f"{DAY_COLUMN} >= date '{_day(since)}'")
         if derived:
             conditions.append(f"{STORED_TIME} >= timestamp_ntz '{_second(since - 1)}'")
+    # the derived time last: it is costly, and worked out for the rows that are left
+    conditions.append(f"{at} < timestamp_seconds({until})")
+    if start is not None:
+        conditions.append(f"{at} >= timestamp_seconds({since})")
     return frame.where(" and ".join(conditions)).drop(STORED_TIME)
 
 
